@@ -112,6 +112,14 @@ def spans(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, np.flatnonzero(closes) + 1, np.searchsorted(start, off)
 
 
+def unique(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    out = np.sort(values)
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    return out[keep]
+
+
 def owner(ranges: np.ndarray) -> np.ndarray:
     """For each item the number of the range that it lies in."""
     return np.repeat(np.arange(len(ranges) - 1), np.diff(ranges))
