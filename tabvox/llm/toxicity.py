@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvox.llm.textbytes import Hasher, as_bytes, chunks, letters_only, owner, plus, share, spans, sums
+from tabvox.llm.textbytes import Hasher, chunks, letters_only, owner, plus, share, spans, sums
 
 BLOCK = 32
 BEGINNINGS = (4, 5, 6, 7)
@@ -34,7 +34,7 @@ def terms(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         longer = end - start > k
         out.append(h(start[longer], start[longer] + k) ^ np.uint64(k))
         of.append(doc[longer])
-    return np.concatenate(out), np.concatenate(of)
+    return np.concatenate(out), np.concatenate(of)  # select() and vectors() leave the lowest bit out
 
 
 @dataclass
@@ -57,10 +57,11 @@ class Index:
     def vectors(self, buf, off):
         """(text, term, tf-idf weight) of unit vectors, in the order of texts and terms."""
         h, doc = terms(buf, off)
+        h >>= np.uint64(1)
         if self.flags is None:
             self.flags = np.zeros(1 << 20, bool)
-            self.flags[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
-        maybe = np.flatnonzero(self.flags[(h >> np.uint64(44)).astype(np.int64)])
+            self.flags[(self.vocabulary >> np.uint64(43)).astype(np.int64)] = True
+        maybe = np.flatnonzero(self.flags[(h >> np.uint64(43)).astype(np.int64)])
         h, doc = h[maybe], doc[maybe]
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         hit = self.vocabulary[at] == h
@@ -99,17 +100,20 @@ class Index:
         return np.interp(votes, *self.knots)
 
 
-def select(buf, off, toxic: np.ndarray, weights: np.ndarray, least: float = 40.0, at_least: int = 6) -> np.ndarray:
+def select(texts: pa.Array, toxic: np.ndarray, least: float = 40.0, at_least: int = 6) -> np.ndarray:
     """Terms whose presence depends on the class: likelihood ratio statistic of at least `least`."""
-    h, doc = terms(buf, off)
-    order = np.lexsort((doc, h))
-    h, doc = h[order], doc[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[first], doc[first]
-    name, at, n = np.unique(h, return_index=True, return_counts=True)
-    ranges = np.append(at, len(h))
-    k = sums(toxic[doc].astype(np.int64), ranges)
+    held, first = [], 0
+    for _, buf, off in chunks([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        h, doc = terms(buf, off)
+        order = np.argsort(doc, kind="stable")
+        h, at = h[order], np.searchsorted(doc[order], np.arange(len(off)))
+        # the lowest bit holds the class
+        held += [(np.unique(h[at[i] : at[i + 1]] >> np.uint64(1)) << np.uint64(1)) | np.uint64(toxic[first + i]) for i in range(len(off) - 1)]
+        first += len(off) - 1
+    h = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+    del held
+    name, at, n = np.unique(h >> np.uint64(1), return_index=True, return_counts=True)
+    k = sums((h & np.uint64(1)).astype(np.int64), np.append(at, len(h)))
     total, total_k = len(toxic), int(toxic.sum())
 
     def g(observed, expected):
@@ -119,10 +123,14 @@ def select(buf, off, toxic: np.ndarray, weights: np.ndarray, least: float = 40.0
     return name[(stat >= least) & (n >= at_least) & (n <= total / 2)]
 
 
-def build(index: Index, buf, off, toxic, weights, keys) -> Index:
+def build(index: Index, texts: pa.Array, toxic, weights, keys) -> Index:
     """Put the examples into blocks and fit the calibration."""
-    n = len(off) - 1
-    doc, term, value = index.vectors(buf, off)
+    n, first, parts = len(texts), 0, []
+    for _, buf, off in chunks([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        doc, term, value = index.vectors(buf, off)
+        parts.append((doc + first, term, value))
+        first += len(off) - 1
+    doc, term, value = (np.concatenate(x) for x in zip(*parts, strict=True))
     ranges = np.searchsorted(doc, np.arange(n + 1))
     by: dict[bytes, int] = {}
     at = np.full(n, -1)
@@ -175,34 +183,31 @@ def isotonic(x, y, w) -> tuple[np.ndarray, np.ndarray]:
     return px, np.clip(py, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_examples: int = 3000, k: int = 16) -> Index:
-    """Build the index from labelled rows of docs (label 0 or 1; null: unlabelled).
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_examples: int = 2000, k: int = 16) -> Index:
+    """Build the index from the texts of docs that labels (key, label 0 or 1) marks.
 
-    About max_examples rows of each class are sampled by a hash of key; document frequencies of the
-    terms are counted over all rows of docs.
+    At most about max_examples rows of each class, picked by a hash of key, are the examples: few
+    enough to be sent to every task. Document frequencies of the terms are counted over all rows of
+    docs. Null keys and labels are left out; of a key's several labels the largest counts.
     """
-    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy((F.col(label) > 0).cast("int").alias("y")).count().collect()}
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("y"))
+    sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     empty = Index(np.zeros(0, np.uint64), np.zeros(0))
     if not sizes:
         return empty
     rates = {y: min(1.0, max_examples / n) for y, n in sizes.items()}
-    rate = F.when(F.col(label) > 0, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
-    rows = known.where(share(F.col(key), rate, 13)).select(F.col(key).cast("string").alias("k"), (F.col(label) > 0).cast("int").alias("y"), F.col(text).alias("t")).limit(4 * max_examples).toArrow().sort_by([("k", "ascending"), ("y", "ascending"), ("t", "ascending")]).combine_chunks()
-    buf, off = as_bytes(rows.column("t").combine_chunks() if rows.num_rows else pa.array([], pa.string()))
+    picked = known.where(share(F.col(key), F.when(F.col("y") > 0, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0))), 13)).limit(4 * max_examples)
+    rows = docs.join(F.broadcast(picked), key).select(F.col(key).cast("string").alias("k"), "y", F.coalesce(F.col(text), F.lit("")).alias("t")).limit(4 * max_examples)
+    rows = rows.toArrow().sort_by([("k", "ascending"), ("y", "ascending"), ("t", "ascending")])
+    texts = pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("t").chunks]) if rows.num_rows else pa.array([], pa.large_string())
     toxic = rows.column("y").to_numpy().astype(int)
     weights = np.where(toxic > 0, 1 / max(rates.get(1, 1.0), 1e-9), 1 / max(rates.get(0, 1.0), 1e-9))
-    n_all = sum(sizes.values())
-    if not len(toxic) or toxic.min() == toxic.max():
-        empty.prior = empty.none_rate = sizes.get(1, 0) / n_all
-        return empty
-    names = select(buf, off, toxic, weights)
+    empty.prior = empty.none_rate = sizes.get(1, 0) / sum(sizes.values())
+    names = select(texts, toxic) if len(toxic) and toxic.min() != toxic.max() else np.zeros(0, np.uint64)
     if not len(names):
-        empty.prior = empty.none_rate = sizes.get(1, 0) / n_all
         return empty
     df, n = frequencies(docs, text, names)
-    index = Index(names, np.log((n + 1) / (df + 1)) + 1, k=k)
-    return build(index, buf, off, toxic, weights, rows.column("k").to_pylist())
+    return build(Index(names, np.log((n + 1) / (df + 1)) + 1, k=k), texts, toxic, weights, rows.column("k").to_pylist())
 
 
 def frequencies(docs: DataFrame, text: str, names: np.ndarray) -> tuple[np.ndarray, int]:
