@@ -84,11 +84,11 @@ def d15_roi_volume(spark, sf):
     return rounded(_volumes(spark, sf), 6)
 
 
-@query(f"{OBJ} SELECT run_id AS mode, animal, channel, round(avg(intden),3) AS intden_mean, round(avg(overlap),6) AS overlap_mean, round(avg(mean),6) AS mean_mean, count(DISTINCT z) AS num_z FROM objects GROUP BY 1, 2, 3")
+@query(f"{OBJ} SELECT run_id AS mode, animal, channel, round(avg(intden),3) AS intden_mean, round(avg(overlap),9) AS overlap_mean, round(avg(mean),9) AS mean_mean, count(DISTINCT z) AS num_z FROM objects GROUP BY 1, 2, 3")
 def d16_master_intensity(spark, sf):
     o = role(spark, sf, "objects").withColumnRenamed("run_id", "mode")
     out = o.groupBy("mode", "animal", "channel").agg(F.avg("intden").alias("intden_mean"), F.avg("overlap").alias("overlap_mean"), F.avg("mean").alias("mean_mean"), F.countDistinct("z").alias("num_z"))
-    return rounded(out, 6).withColumn("intden_mean", F.round("intden_mean", 3))
+    return rounded(out, 9).withColumn("intden_mean", F.round("intden_mean", 3))
 
 
 @query(f"{OBJ} SELECT animal, max(n) AS num_z FROM (SELECT animal, channel, count(z) n FROM objects GROUP BY 1, 2) GROUP BY animal")
