@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
@@ -71,28 +72,28 @@ def range_upper(q: float, k: int, df: float, inner: int = 240, outer: int = 400)
     return float(np.clip(1 - np.trapezoid(within * weight, s) / np.trapezoid(weight, s), 0, 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of Student's t."""
     return pd.Series(t_two_sided(t.to_numpy(float), df.to_numpy(float))).where(t.notna().to_numpy() & df.notna().to_numpy())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_upper(f.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float))).where(f.notna().to_numpy())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_975(df: pd.Series) -> pd.Series:
     return pd.Series(t_quantile(0.975, df.to_numpy(float))).where(df.notna().to_numpy())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def tukey_p(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([range_upper(a, int(b), c) if a == a and c == c else None for a, b, c in zip(q, k, df, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def wilcoxon_exact_p(w: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided exact p of the smaller signed-rank sum, for n nonzero differences without ties."""
     def one(w, n):

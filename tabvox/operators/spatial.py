@@ -34,9 +34,8 @@ def nearest(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], id: str
     radius can't be beaten from outside it. The rounds end when the radius covers the whole extent.
     """
     todo, found, radius = a.select(*by, id, *axes), None, step
-    extent = b.agg(*[(F.max(x) - F.min(x)).alias(x) for x in axes]).first()
-    outer = a.agg(*[F.max(F.abs(F.col(x))).alias(x) for x in axes]).first()
-    span = sum((float(v or 0) ** 2 for v in [*extent, *(2 * (v or 0) for v in outer)]), 0.0) ** 0.5
+    box = a.select(*axes).union(b.select(*axes)).agg(*[(F.max(x) - F.min(x)).alias(x) for x in axes]).first()
+    span = sum((float(v or 0) ** 2 for v in box), 0.0) ** 0.5
     alive = b.select(*by).distinct()
     todo = todo.join(alive, by, "left_semi")
     for _ in range(most_rounds):
