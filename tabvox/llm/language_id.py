@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvox.llm.textbytes import as_bytes, chunks, letters_only, plus, share, sums
+from tabvox.llm.textbytes import chunks, letters_only, plus, share, sums
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -59,13 +59,13 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 6
     names = sorted(set(languages))
     if not names:
         return Model([], np.zeros((2**BITS, 0), np.float32), np.zeros(0), 1.0)
-    buf, off = as_bytes(pa.array(texts, pa.large_string()))
-    parts = list(grams(buf, off))
     docs = []
-    for i in range(len(texts)):
-        got = np.concatenate([b[r[i] : r[i + 1]] for b, r in parts])
-        ids, count = np.unique(got, return_counts=True)
-        docs.append((ids, (count / max(1, count.sum())).astype(np.float32)))
+    for _, buf, off in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])], limit=1 << 20):
+        parts = list(grams(buf, off))
+        for i in range(len(off) - 1):
+            count = np.bincount(np.concatenate([b[r[i] : r[i + 1]] for b, r in parts]))
+            ids = np.flatnonzero(count)
+            docs.append((ids.astype(np.int32), (count[ids] / max(1, count.sum())).astype(np.float32)))
     label = np.array([names.index(x) for x in languages])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(docs))
@@ -101,7 +101,7 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 6
     return Model(names, logits.astype(np.float32), bias.astype(np.float64), temperature)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 800, **settings) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500, **settings) -> Model:
     """Train on about per_language rows of each language, picked by a hash of the key."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 4 << 20  # bytes of text that one round of numpy works on
+CHUNK = 2 << 20  # bytes of text that one round of numpy works on
 U = np.uint64
 
 _WHITE = np.zeros(256, bool)
@@ -36,7 +36,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, CHUNK + (1 << 16))
+        size = 1 << max(16, (n - 1).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, U)
             steps[0] = 1

@@ -103,7 +103,7 @@ class Index:
 def select(texts: pa.Array, toxic: np.ndarray, least: float = 40.0, at_least: int = 6) -> np.ndarray:
     """Terms whose presence depends on the class: likelihood ratio statistic of at least `least`."""
     held, first = [], 0
-    for _, buf, off in chunks([pa.RecordBatch.from_arrays([texts], ["text"])]):
+    for _, buf, off in chunks([pa.RecordBatch.from_arrays([texts], ["text"])], limit=1 << 20):
         h, doc = terms(buf, off)
         order = np.argsort(doc, kind="stable")
         h, at = h[order], np.searchsorted(doc[order], np.arange(len(off)))
@@ -126,7 +126,7 @@ def select(texts: pa.Array, toxic: np.ndarray, least: float = 40.0, at_least: in
 def build(index: Index, texts: pa.Array, toxic, weights, keys) -> Index:
     """Put the examples into blocks and fit the calibration."""
     n, first, parts = len(texts), 0, []
-    for _, buf, off in chunks([pa.RecordBatch.from_arrays([texts], ["text"])]):
+    for _, buf, off in chunks([pa.RecordBatch.from_arrays([texts], ["text"])], limit=1 << 20):
         doc, term, value = index.vectors(buf, off)
         parts.append((doc + first, term, value))
         first += len(off) - 1
@@ -183,7 +183,7 @@ def isotonic(x, y, w) -> tuple[np.ndarray, np.ndarray]:
     return px, np.clip(py, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_examples: int = 2000, k: int = 16) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_examples: int = 1500, k: int = 16) -> Index:
     """Build the index from the texts of docs that labels (key, label 0 or 1) marks.
 
     At most about max_examples rows of each class, picked by a hash of key, are the examples: few
