@@ -211,13 +211,20 @@ def _prune(conditions: tuple, x, bad) -> tuple:
     return kept
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = 20_000, **settings) -> list[Rule]:
-    """Learn from about max_rows labelled rows (label 1 good, 0 bad; null: unlabelled), by a hash of key."""
-    known = docs.where(F.col(label).isNotNull())
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_rows: int = 10_000, where: Column | None = None, **settings) -> list[Rule]:
+    """Learn from the texts of docs that labels (key, label 1 good or 0 bad) marks.
+
+    About max_rows of them, picked by a hash of key, are used: few enough to send their keys to every
+    task. Null keys and labels are left out; of a key's several labels the smallest counts. where, over
+    the counts, keeps rows that other rules decide out of the learning.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label_"))
     n = known.count()
     if not n:
         return []
-    got = statistics(known.where(share(F.col(key), min(1.0, max_rows / n), 17)).select(F.col(key).cast("string").alias("k"), F.col(label).alias("label_"), F.col(text).alias("t")), "t")
+    picked = known.where(share(F.col(key), min(1.0, max_rows / n), 17)).limit(2 * max_rows)
+    got = statistics(docs.join(F.broadcast(picked), key).select(F.col(key).cast("string").alias("k"), "label_", F.col(text).alias("t")), "t")
+    got = got if where is None else got.where(where)
     rows = got.select("k", "label_", *[c.alias(f) for f, c in features().items()]).toArrow().sort_by([("k", "ascending"), *((f, "ascending") for f in features())])
     return learn({f: rows.column(f).to_numpy() for f in features()}, rows.column("label_").to_numpy() == 0, **settings)
 
