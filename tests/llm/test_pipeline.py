@@ -1,0 +1,31 @@
+"""The pipeline's stages take effect, one after the other."""
+
+import public_tokenizers as P
+from pyspark.sql import functions as F
+
+import corpus_pipeline as C
+from tabvox.llm import bpe
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = docs.where(F.col("text").isNotNull()).limit(1).select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text", "lang", "source", "n_chars")
+    blank = spark.createDataFrame([(20_000_000, "123", None, None, None), (20_000_001, None, None, None, None)], docs.schema)
+    now, kept = docs.unionByName(extra).unionByName(blank), []
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, now, SF)
+        assert out.columns == docs.columns, name
+        now = spark.createDataFrame(out.collect(), docs.schema)
+        kept.append({r["doc_id"] for r in now.collect()})
+    assert all(b <= a for a, b in zip(kept, kept[1:], strict=False))
+    assert 20_000_000 in kept[0] and not {20_000_000, 20_000_001} & kept[1]
+    assert 10_000_000 + extra.first()["doc_id"] - 10_000_000 not in kept[2]
+    last = C.STAGES[-1][1](spark, now, SF)
+    assert {r["doc_id"] for r in last.collect()} == kept[-1]
+    assert bpe.digests(now.select("doc_id", "text"), P.path("byte_bpe_50k.tiktoken")).exceptAll(last).count() == 0
+
+
+def test_run(spark):
+    assert C.run(spark, SF).count() > 0
