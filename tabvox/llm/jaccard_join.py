@@ -1,15 +1,17 @@
 """Exact Jaccard join of word-shingle sets, with its connected components.
 
-Equal sets are one class first. Of each class's set, in the order of hashes, the first tokens are
-indexed, so many that two linked sets share several of them; of those, the rarest ones that must still
-hold a common token make its index entries. A set with too few shared tokens is skipped altogether, and
-so are all tokens that occur once: the index lists hold little but sets that are alike.
-
-In each list one set (the pivot) is compared with the others, not all with each other. From
-the computed overlaps with the pivot the answers of sets that are like it are derived: two sets that
+Equal sets are one class first. Of each class's set the first tokens in the order of hashes are
+counted over all sets; a set that shares too few of them with any other has no link and is skipped. Of
+the sets left, all tokens are counted, and the rarest ones that must still hold a common token make a
+set's index entries; tokens that occur once take up places but no entries. So the index lists hold
+little but sets that are alike.
+
+In each list one set (the pivot) is compared with the others, not all with each other. From the
+computed overlaps with the pivot the answers of sets that are like it are derived: two sets that
 overlap it enough are linked without looking at them, two that can't overlap each other enough are
-skipped. What stays undecided between different components is compared exactly, so no link is lost
-that joins two components.
+skipped, and so are those whose sketches differ in more bits than the sets may in tokens. What stays
+undecided between different components is compared exactly, so no link is lost that joins two
+components.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabvox.llm.components import connected
-from tabvox.llm.textbytes import Hasher, chunks, mix, table, words
+from tabvox.llm.textbytes import Hasher, chunks, mix, plus, table, unique, words
 
-#: Sets of tokens for one range of hashes: about so many entries meet in one group.
-RANGE_ENTRIES = 2_000_000
+#: About so many tokens of sets are in a block, and of blocks' distinct tokens in a range of hashes.
+BLOCK_TOKENS, RANGE_TOKENS = 500_000, 1_000_000
+#: Bits of a set's sketch, in 64-bit words.
+SKETCH_WORDS = 16
 #: Ids are sent to every task up to this number of rows (8 bytes each); beyond it the texts are joined.
 SEND_IDS = 1_000_000
 
@@ -39,7 +43,7 @@ def shingles(buf: np.ndarray, off: np.ndarray, width: int):
     for i in range(len(off) - 1):
         a, b = ranges[i], ranges[i + 1]
         if b - a >= width:
-            yield np.unique(h[a : b - width + 1])
+            yield unique(h[a : b - width + 1])
         elif b > a:
             one = np.uint64(b - a)
             for x in w[a:b]:
@@ -59,13 +63,6 @@ def _spare(n, percent: int):
     return np.maximum(1, n * (100 - percent) // 100)
 
 
-def _columns(n: Column, percent: int) -> tuple[Column, Column]:
-    """For a set's size: tokens looked at, and tokens that must be shared."""
-    least = lambda x: F.floor((x * percent + 99) / 100)
-    spare = lambda x: F.greatest(F.lit(1), F.floor(x * (100 - percent) / 100))
-    return F.least(n, n - least(n) + spare(n)), spare(least(n))
-
-
 def sets(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """(key, n, s1, s2, first): size and signature of each text's set and its first tokens in the order of hashes."""
 
@@ -82,79 +79,95 @@ def sets(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, s1 long, s2 long, first binary")
 
 
-def _shared(reps: DataFrame, n_ranges: int) -> DataFrame:
-    """(key, n, tokens: array of (df, token)) for the first tokens that more than one set has, in pieces."""
-    bits = int(np.ceil(np.log2(max(1, n_ranges))))
-    kind = reps.schema["key"].dataType.simpleString()
+def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
+    """use(keys, sizes, sets, frequencies) for blocks of sets, with in how many sets of all each token is.
 
-    def deal(batches):
-        """Rows of one range each, with the tokens of many sets."""
-        for batch in batches:
-            raw = batch.column("first").to_pylist()
-            size = np.array([len(x) // 8 for x in raw], np.int64)
-            token, row = np.frombuffer(b"".join(raw), np.uint64), np.repeat(np.arange(len(raw)), size)
-            r = (token >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(token), np.int64)
-            order = np.argsort(r, kind="stable")
-            cut = np.searchsorted(r[order], np.arange((1 << bits) + 1))
-            keys, n = batch.column("key"), batch.column("n").to_numpy()
-            for i in np.flatnonzero(np.diff(cut)):
-                at = order[cut[i] : cut[i + 1]]
-                used, local = np.unique(row[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), keys.take(pa.array(used))), pa.array([n[used].tolist()], pa.list_(pa.int64())), pa.array([local.astype(np.uint16 if len(raw) < 65536 else np.uint32).tobytes()], pa.binary()), pa.array([token[at].tobytes()], pa.binary())],
-                    ["range", "keys", "sizes", "rows", "tokens"],
-                )
-
-    def count(group: pa.Table) -> pa.Table:
-        tokens = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
-        keys = pa.concat_arrays([c.values.slice(c.offsets[0].as_py(), c.offsets[-1].as_py() - c.offsets[0].as_py()) for c in group.column("keys").chunks])
-        sizes = [len(x) for x in group.column("keys")]
-        n = np.concatenate([np.asarray(x.values.to_numpy()) for x in group.column("sizes")])
-        base = np.cumsum([0, *sizes])
-        row = np.concatenate([np.frombuffer(x, np.uint16 if len(x) == 2 * len(t) else np.uint32).astype(np.int64) + b for x, t, b in zip(group.column("rows").to_pylist(), tokens, base, strict=False)])
-        token = np.concatenate(tokens)
-        ordered = np.sort(token)
-        twice = np.flatnonzero(ordered[1:] == ordered[:-1])
-        name = np.unique(ordered[twice])
-        if not len(name):
-            return pa.table({"key": keys.slice(0, 0), "n": pa.array([], pa.int64()), "dfs": pa.array([], pa.list_(pa.int32())), "tokens": pa.array([], pa.list_(pa.int64()))})
-        df = np.searchsorted(ordered, name, "right") - np.searchsorted(ordered, name)
-        at = np.minimum(np.searchsorted(name, token), len(name) - 1)
-        hit = np.flatnonzero(name[at] == token)
-        hit = hit[np.argsort(row[hit], kind="stable")]
-        own, begin = np.unique(row[hit], return_index=True)
-        offsets = pa.array(np.append(begin, len(hit)), pa.int32())
-        return pa.table({
-            "key": keys.take(pa.array(own)), "n": pa.array(n[own]),
-            "dfs": pa.ListArray.from_arrays(offsets, pa.array(df[at[hit]].astype(np.int32))),
-            "tokens": pa.ListArray.from_arrays(offsets, pa.array(token[hit].astype(np.int64))),
-        })
-
-    dealt = reps.select("key", "n", "first").mapInArrow(deal, f"range int, keys array<{kind}>, sizes array<long>, rows binary, tokens binary")
-    return dealt.groupBy("range").applyInArrow(count, f"key {kind}, n long, dfs array<int>, tokens array<long>")
-
-
-def entries(reps: DataFrame, percent: int) -> DataFrame:
+    Blocks send their distinct tokens to ranges of hashes, which add up and answer each block in its
+    own order; no row is made for a token. Frequencies stop at 65535.
+    """
+    n_blocks = max(1, total // BLOCK_TOKENS)
+    bits = int(np.ceil(np.log2(max(1, total / RANGE_TOKENS))))
+    placed = sets.select("key", "n", F.col(tokens).alias("tokens"), F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int").alias("block"))
+
+    def ask(group: pa.Table) -> pa.Table:
+        u, n = np.unique(np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint64), return_counts=True)
+        n = np.minimum(n, 255).astype(np.uint8)
+        r = (u >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
+        cut = np.flatnonzero(np.diff(r, prepend=-1))
+        ends = [*cut[1:].tolist(), len(u)]
+        block = group.column("block")[0].as_py()
+        return pa.table({"range": pa.array(r[cut], pa.int32()), "block": pa.array([block] * len(cut), pa.int32()), "names": pa.array([u[i:j].tobytes() for i, j in zip(cut, ends, strict=True)] if len(u) else [], pa.binary()), "counts": pa.array([n[i:j].tobytes() for i, j in zip(cut, ends, strict=True)] if len(u) else [], pa.binary())})
+
+    def answer(group: pa.Table) -> pa.Table:
+        names = [np.frombuffer(x, np.uint64) for x in group.column("names").to_pylist()]
+        own = [np.frombuffer(x, np.uint8) for x in group.column("counts").to_pylist()]
+        u, inverse = np.unique(np.concatenate(names), return_inverse=True)
+        df = np.minimum(np.bincount(inverse, np.concatenate(own)), 65535).astype(np.uint16)[inverse]
+        at = np.cumsum([0, *map(len, names)])
+        return pa.table({"block": group.column("block"), "range": group.column("range"), "dfs": pa.array([df[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())})
+
+    def give(group: pa.Table, answered: pa.Table) -> pa.Table:
+        raw = group.column("tokens").to_pylist()
+        token = np.frombuffer(b"".join(raw), np.uint64)
+        dfs = answered.column("dfs").to_pylist()
+        df = np.frombuffer(b"".join(dfs[i] for i in np.argsort(answered.column("range").to_numpy())), np.uint16)
+        df = df[np.searchsorted(unique(token), token)]
+        at = np.cumsum([0, *(len(x) // 8 for x in raw)])
+        return use(group.column("key"), group.column("n").to_numpy(), token, df, at)
+
+    answers = placed.groupBy("block").applyInArrow(ask, "range int, block int, names binary, counts binary").groupBy("range").applyInArrow(answer, "block int, range int, dfs binary")
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(give, schema)
+
+
+def candidates(reps: DataFrame, percent: int) -> DataFrame:
+    """(key): the sets that share enough of their first tokens with others."""
+    total = (reps.agg(F.sum(F.octet_length("first"))).first()[0] or 0) // 8
+
+    def use(keys, n, token, df, at):
+        shared = np.add.reduceat(df > 1, at[:-1], dtype=np.int64) if len(n) else np.zeros(0, np.int64)
+        return pa.table({"key": keys.filter(pa.array(shared >= _spare(_least(n, percent), percent)))})
+
+    return _count(reps, "first", total, use, reps.select("key").schema)
+
+
+def entries(full: DataFrame, percent: int) -> DataFrame:
     """Index entries (token, key, n): of the sets that share enough tokens, the rarest that must hold a common one."""
-    total = reps.agg(F.sum(F.octet_length("first"))).first()[0] or 0
-    got = _shared(reps, max(1, total // 8 // RANGE_ENTRIES)).select("key", "n", F.arrays_zip("dfs", "tokens").alias("t"))
-    got = got.groupBy("key", "n").agg(F.sort_array(F.flatten(F.collect_list("t"))).alias("t"))
-    looked, needed = _columns(F.col("n"), percent)
-    # tokens of one set alone come first in the order of rarity and use up their places
-    got = got.where(F.size("t") >= needed).withColumn("t", F.slice("t", 1, (F.size("t") - needed + 1).cast("int")))
-    return got.select("key", "n", F.explode("t.tokens").alias("token"))
+    total = full.agg(F.sum("n")).first()[0] or 0
+
+    def use(keys, n, token, df, at):
+        least, out, own = _least(n, percent), [], []
+        for i in range(len(n)):
+            d, t = df[at[i] : at[i + 1]], token[at[i] : at[i + 1]]
+            d, t = d[d > 1], t[d > 1]
+            if len(t) >= least[i]:
+                out.append(t[np.lexsort((t, d))[: len(t) - least[i] + 1]])
+                own.append(i)
+        size = [len(x) for x in out]
+        who = np.repeat(np.array(own, np.int64), size)
+        return pa.table({"key": keys.take(pa.array(who)), "n": pa.array(n[who], pa.int64()), "token": pa.array(np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64))})
+
+    return _count(full, "set", total, use, plus(full.select("key").schema, ("n", "long"), ("token", "long")))
 
 
 def _full(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(key, set) of the wanted keys, sets as sorted 64-bit hashes."""
+    """(key, n, set, sketch) of the wanted keys: sets as sorted 64-bit hashes.
+
+    A bit of the sketch is the parity of the tokens that fall on it, so two sketches differ in no more
+    bits than the sets in tokens.
+    """
     few = wanted.count() <= SEND_IDS
     docs = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "key", "left_semi")
 
+    def sketch(h: np.ndarray) -> list[int]:
+        bit = np.bincount((mix(h) >> np.uint64(54)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+        return np.packbits(bit.astype(np.uint8)).view(np.int64).tolist()
+
     def run(batches):
         for part, buf, off in chunks(batches, text):
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([h.tobytes() for h in shingles(buf, off, width)], pa.binary())], ["key", "set"])
+            sets_ = list(shingles(buf, off, width))
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(h) for h in sets_], pa.int64()), pa.array([h.tobytes() for h in sets_], pa.binary()), pa.array([sketch(h) for h in sets_], pa.list_(pa.int64()))], ["key", "n", "set", "sketch"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, set binary")
+    return docs.mapInArrow(run, plus(docs.select("key").schema, ("n", "long"), ("set", "binary"), ("sketch", "array<long>"))).dropDuplicates(["key"])
 
 
 def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -173,8 +186,6 @@ def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
                 out.append(int((both[1:] == both[:-1]).sum()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.int64())], [*kept, "both"])
 
-    from tabvox.llm.textbytes import plus
-
     return got.select(*kept, "set_x", "set_y").mapInArrow(run, plus(pairs.schema, ("both", "long")))
 
 
@@ -188,8 +199,8 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
 
 def link_classes(docs: DataFrame, reps: DataFrame, text: str, width: int, percent: int, rounds: int = 3) -> DataFrame:
     """(key, root) for the class representatives that have a link."""
-    index = table(entries(reps, percent), "entries")
-    full = table(_full(docs, text, width, index.select("key").distinct()), "sets")
+    full = table(_full(docs, text, width, table(candidates(reps, percent).distinct(), "candidates")), "sets")
+    index = table(entries(full, percent), "entries")
     links = compared = labels = None
     for r in range(rounds):
         order = F.col("key") if r == 0 else F.xxhash64(F.lit(r), F.col("key"))
@@ -211,7 +222,7 @@ def link_classes(docs: DataFrame, reps: DataFrame, text: str, width: int, percen
         labels = table(connected(links).withColumnRenamed("node", "key"), "labels")
     if compared is None:
         return index.select("key", F.col("key").alias("root")).limit(0)
-    rest = table(_undecided(index, labels, compared, percent), "undecided")
+    rest = table(_undecided(index, labels, compared, full, percent), "undecided")
     derived = rest.where("derived").select(F.col("x").alias("a"), F.col("y").alias("b"))
     open_ = rest.where("NOT derived").select("x", "nx", "y", "ny")
     got = _edges(table(_verify(open_, full), "compared"), percent)
@@ -225,22 +236,24 @@ def _edges(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(_linked(F.col("both"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _undecided(index: DataFrame, labels: DataFrame, compared: DataFrame, percent: int) -> DataFrame:
+def _undecided(index: DataFrame, labels: DataFrame, compared: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Pairs of a list that lie in different components and haven't been compared; derived where their overlaps with one pivot settle the link."""
     here = index.join(labels.hint("shuffle_hash"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = here.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    here = here.join(mixed.hint("merge"), "token")
-    a = here.select("token", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    b = here.select("token", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    pairs = a.join(b.hint("merge"), "token").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _sizes_fit("nx", "ny", percent)).select("x", "nx", "y", "ny").distinct()
+    known = compared.groupBy(F.col("x").alias("key")).agg(F.min_by(F.struct("y", "ny", "both"), "y").alias("k"))
+    here = here.join(mixed.hint("merge"), "token").join(full.select("key", "sketch").hint("merge"), "key").join(known.hint("merge"), "key", "left")
+    a = here.select("token", *[F.col(c).alias(f"{c}_x") for c in ("key", "n", "root", "sketch", "k")])
+    b = here.select("token", *[F.col(c).alias(f"{c}_y") for c in ("key", "n", "root", "sketch", "k")])
+    nx, ny = F.col("n_x"), F.col("n_y")
+    need = F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
+    apart = sum((F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    same = F.coalesce(F.col("k_x.y") == F.col("k_y.y"), F.lit(False))
+    low = F.when(same, F.col("k_x.both") + F.col("k_y.both") - F.col("k_x.ny")).otherwise(F.lit(0))
+    high = F.when(same, F.least("k_x.both", "k_y.both") + F.least(nx - F.col("k_x.both"), ny - F.col("k_y.both"))).otherwise(F.least(nx, ny))
+    may = (F.col("key_x") < F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & _sizes_fit("n_x", "n_y", percent) & (apart <= nx + ny - 2 * need) & _linked(high, nx, ny, percent)
+    pairs = a.join(b.hint("merge"), (a["token"] == b["token"]) & may).select(F.col("key_x").alias("x"), nx.alias("nx"), F.col("key_y").alias("y"), ny.alias("ny"), _linked(low, nx, ny, percent).alias("derived")).distinct()
     done = compared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pairs = pairs.join(done.hint("shuffle_hash"), ["x", "y"], "left_anti")
-    known = compared.groupBy("x").agg(F.min_by(F.struct("y", "ny", "both"), "y").alias("k"))
-    pairs = pairs.join(known.select("x", F.col("k").alias("kx")).hint("shuffle_hash"), "x", "left").join(known.select(F.col("x").alias("y"), F.col("k").alias("ky")).hint("shuffle_hash"), "y", "left")
-    same = F.coalesce(F.col("kx.y") == F.col("ky.y"), F.lit(False))
-    low = F.when(same, F.col("kx.both") + F.col("ky.both") - F.col("kx.ny")).otherwise(F.lit(0))
-    high = F.when(same, F.least("kx.both", "ky.both") + F.least(F.col("nx") - F.col("kx.both"), F.col("ny") - F.col("ky.both"))).otherwise(F.least("nx", "ny"))
-    return pairs.where(_linked(high, F.col("nx"), F.col("ny"), percent)).select("x", "nx", "y", "ny", _linked(low, F.col("nx"), F.col("ny"), percent).alias("derived"))
+    return pairs.join(done.hint("shuffle_hash"), ["x", "y"], "left_anti")
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:
