@@ -94,13 +94,13 @@ def tukey_p(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def wilcoxon_exact_p(w: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided exact p of the smaller signed-rank sum, for n nonzero differences without ties."""
-    def one(w, n):
-        ways = np.zeros(n * (n + 1) // 2 + 1)
+def wilcoxon_exact_p(w: pd.Series, ranks: pd.Series) -> pd.Series:
+    """Two-sided exact p of the smaller signed-rank sum, from twice the (perhaps tied) ranks of the nonzero differences."""
+    def one(w, twice):
+        ways = np.zeros(int(sum(twice)) + 1)
         ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[:-r].copy()
-        return min(1.0, 2 * ways[: int(math.floor(w)) + 1].sum() / 2.0**n)
+        for r in twice:
+            ways[r:] = ways[r:] + ways[: len(ways) - r].copy()
+        return min(1.0, 2 * ways[: int(round(2 * w)) + 1].sum() / 2.0 ** len(twice))
 
-    return pd.Series([one(a, int(b)) if a == a and 0 < b <= 60 else None for a, b in zip(w, n, strict=True)], dtype=float)
+    return pd.Series([one(a, [int(x) for x in b]) if b is not None and len(b) else None for a, b in zip(w, ranks, strict=True)], dtype=float)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tabvox.functions.lineage import cut
 from tabvox.operators.spatial import nearest, neighbours
 
 
@@ -239,11 +240,6 @@ def components(mask: DataFrame, by: list[str], most_rounds: int = 200) -> DataFr
 
     Each few rounds are written to the checkpoint folder, so lineage stays short.
     """
-    spark = mask.sparkSession
-    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabvox-"))
     key = F.col("y") * 1_000_003 + F.col("x")
     now = mask.select(*by, "y", "x", key.alias("id"), key.alias("label"))
     four = [(0, 1), (0, -1), (1, 0), (-1, 0)]
@@ -253,7 +249,8 @@ def components(mask: DataFrame, by: list[str], most_rounds: int = 200) -> DataFr
         # everything under an old label takes the best that any of its pixels saw, then that label's own label
         jump = step.groupBy(*by, "label").agg(F.min("best").alias("to"))
         to = jump.join(jump.select(*by, F.col("label").alias("to"), F.col("to").alias("to2")), [*by, "to"], "left").select(*by, "label", F.coalesce("to2", "to").alias("to"))
-        new = now.join(to, [*by, "label"]).select(*by, "y", "x", "id", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved")).checkpoint()
+        new = now.join(to, [*by, "label"]).select(*by, "y", "x", "id", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved"))
+        new = cut(new)
         done = new.where("moved").isEmpty()
         now = new.drop("moved")
         if done:

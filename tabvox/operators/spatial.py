@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabvox.functions.lineage import cut
+
 
 def cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
@@ -30,7 +32,7 @@ def radius_join(a: DataFrame, b: DataFrame, by: list[str], radius: float, axes:
 def nearest(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], id: str = "id", step: float = 1.0, exclude_self: bool = False, most_rounds: int = 40) -> DataFrame:
     """(by, id, nearest, distance) of every row of a: its nearest row of b in the group, ties to the smaller id; null if there is none.
 
-    Rounds of radius join with a doubling radius; rows that have found one leave, as a hit within the
+    Rounds of radius join with a growing radius; rows that have found one leave, as a hit within the
     radius can't be beaten from outside it. The rounds end when the radius covers the whole extent.
     """
     todo, found, radius = a.select(*by, id, *axes), None, step
@@ -42,12 +44,13 @@ def nearest(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], id: str
         pairs = radius_join(todo, b.select(*by, id, *axes), by, radius, axes)
         if exclude_self:
             pairs = pairs.where(F.col(f"a_{id}") != F.col(f"b_{id}"))
-        got = pairs.groupBy(*by, F.col(f"a_{id}").alias(id)).agg(F.min_by(F.struct(F.col(f"b_{id}").alias("nearest"), "distance"), F.struct("distance", f"b_{id}")).alias("m")).select(*by, id, "m.nearest", "m.distance").persist()
+        got = pairs.groupBy(*by, F.col(f"a_{id}").alias(id)).agg(F.min_by(F.struct(F.col(f"b_{id}").alias("nearest"), "distance"), F.struct("distance", f"b_{id}")).alias("m")).select(*by, id, "m.nearest", "m.distance")
+        got = cut(got)
         found = got if found is None else found.union(got)
-        todo = todo.join(got.select(*by, id), [*by, id], "left_anti").persist()
+        todo = cut(todo.join(got.select(*by, id), [*by, id], "left_anti"))
         if radius > span or todo.isEmpty():
             break
-        radius *= 2
+        radius *= 4
     return a.select(*by, id).join(found, [*by, id], "left")
 
 

@@ -122,10 +122,12 @@ def wilcoxon(df: DataFrame, exact_to: int = 25) -> DataFrame:
     by = ["metric", "a_condition", "b_condition"]
     r = midrank(differences(df).withColumn("abs", F.round(F.abs("d"), 12)), by, "abs")
     g = r.groupBy(*by).agg(F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("down"), F.count(F.when(F.col("d") != 0, 1)).alias("n"), F.sum(F.when(F.col("d") != 0, F.col("rank") * F.col("rank")).otherwise(0.0)).alias("rr"))
-    g = g.withColumn("w", F.least("up", "down"))
+    # the ranks of groups small enough for the exact distribution, at most exact_to of each
+    few = r.where("d <> 0").join(g.where(F.col("n").between(1, exact_to)).select(*by), by, "left_semi").groupBy(*by).agg(F.collect_list((2 * F.col("rank")).cast("int")).alias("twice"))
+    g = g.join(few, by, "left").withColumn("w", F.least("up", "down"))
     z = (F.abs(F.col("w") - (F.col("up") + F.col("down")) / 2) - 0.5) / F.sqrt(F.col("rr") / 4)
     normal = F.least(F.lit(1.0), 2 * (1 - norm_cdf(F.greatest(F.lit(0.0), z))))
-    return g.select(*by, "n", "w", F.when(F.col("n") == 0, 1.0).when(F.col("n") <= exact_to, dist.wilcoxon_exact_p("w", "n")).otherwise(normal).alias("p"))
+    return g.select(*by, "n", "w", F.when(F.col("n") == 0, 1.0).when(F.col("n") <= exact_to, dist.wilcoxon_exact_p("w", "twice")).otherwise(normal).alias("p"))
 
 
 def rm_anova(df: DataFrame) -> DataFrame:

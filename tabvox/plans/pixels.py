@@ -184,7 +184,7 @@ def _lab(spark, sf):
     return labels(spark, sf).select("channel", "y", "x", "label").distinct()
 
 
-@query(f"WITH {GRID}, o AS (SELECT label, avg(v.value) FILTER (v.channel='A') AS target, avg(v.value) FILTER (v.channel='N') AS contaminant, count(*) FILTER (v.channel='N' AND v.value>=40)/count(*)::DOUBLE AS overlap FROM (SELECT DISTINCT z,y,x,label FROM labels WHERE channel='A') l JOIN voxels v USING (z,y,x) GROUP BY 1) SELECT label, round(contaminant/target,5) AS ratio, round(greatest(0,1-0.5*least(1,contaminant/target)-0.5*least(1,overlap)),5) AS score, CASE WHEN contaminant/target>0.8 AND overlap>0.06 THEN 'ratio;overlap' WHEN contaminant/target>0.8 THEN 'ratio' WHEN overlap>0.06 THEN 'overlap' ELSE '' END AS reasons FROM o")
+@query(f"WITH {GRID}, o AS (SELECT label, avg(v.value) FILTER (v.channel='A') AS target, avg(v.value) FILTER (v.channel='N') AS contaminant, count(*) FILTER (v.channel='N' AND v.value>=40)/count(*)::DOUBLE AS overlap FROM (SELECT DISTINCT z,y,x,label FROM labels WHERE channel='A') l JOIN voxels v USING (z,y,x) GROUP BY 1) SELECT label, round(contaminant/target,5) AS ratio, round(greatest(0,1-0.5*least(1,coalesce(contaminant/target,1))-0.5*least(1,overlap)),5) AS score, CASE WHEN coalesce(contaminant/target,1)>0.8 AND overlap>0.06 THEN 'ratio;overlap' WHEN coalesce(contaminant/target,1)>0.8 THEN 'ratio' WHEN overlap>0.06 THEN 'overlap' ELSE '' END AS reasons FROM o")
 def k36_contamination(spark, sf):
     l = labels(spark, sf).where("channel = 'A'").select("z", "y", "x", "label")
     v = l.join(_v(spark, sf), ["z", "y", "x"])
