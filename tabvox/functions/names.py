@@ -136,3 +136,63 @@ def curve_normalise(curve: Column, how: str) -> Column:
 def date_gaps(df: DataFrame, by: list[str], time: str) -> DataFrame:
     """Add days: whole days since the row before in the group."""
     return df.withColumn("days", F.datediff(time, F.lag(time).over(W.partitionBy(*by).orderBy(time))))
+
+
+def normal_name(c: Column) -> Column:
+    """Trimmed, lower case, inner blanks as one; null counts as empty."""
+    return F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\s+", " ")
+
+
+def region_selected(region: Column, include: list[str], exclude: list[str]) -> Column:
+    """Named in include (an empty list names all) and not in exclude; spelling of case and blanks doesn't count."""
+    norm = lambda names: [" ".join(n.lower().split()) for n in names]
+    name = normal_name(region)
+    wanted = name.isin(*norm(include)) if include else F.lit(True)
+    return wanted & ~name.isin(*norm(exclude)) if exclude else wanted
+
+
+def grammar(name: Column, rules: dict[str, list[tuple[str, float]]], vocabulary: dict[str, list[str]] | None = None) -> Column:
+    """struct of (value, confidence) for each field, from its rules (pattern with one group, confidence).
+
+    The surest rule that matches wins, the first one among equals. Values outside a field's vocabulary,
+    where it has one, count as no match; case doesn't matter there and the vocabulary's spelling is returned.
+    """
+    fields = []
+    for field, options in rules.items():
+        known = (vocabulary or {}).get(field)
+        spell = F.create_map(*[F.lit(x) for v in known for x in (v.lower(), v)]) if known else None
+        tried = []
+        for pattern, sure in sorted(options, key=lambda o: -o[1]):
+            hit = F.nullif(F.regexp_extract(name, pattern, 1), F.lit(""))
+            hit = F.try_element_at(spell, F.lower(hit)) if spell is not None else hit
+            tried.append(F.when(hit.isNotNull(), F.struct(hit.alias("value"), F.lit(float(sure)).alias("confidence"))))
+        fields.append(F.coalesce(*tried).alias(field))
+    return F.struct(*fields)
+
+
+def search_rank(query: str, id: Column, name: Column) -> Column:
+    """0 the id itself, 1 the name itself, 2 a beginning of the name, 3 a beginning of one of its words, 4 within it, else null."""
+    q, n = query.strip().lower(), F.lower(name)
+    return F.when(F.lower(id) == q, 0).when(n == q, 1).when(n.startswith(q), 2).when(F.contains(n, F.lit(f" {q}")), 3).when(F.contains(n, F.lit(q)), 4)
+
+
+def curve_measures(curve: Column, threshold_pct: float = 50.0) -> Column:
+    """struct(core_edge, peak, ring, uniformity) of an array of doubles, missing values left out.
+
+    core_edge: mean of the first third over that of the last, null unless that is positive; peak: place of
+    the first largest value as a share of the length; ring: share of places that reach threshold_pct of
+    the largest value; uniformity: 1 - sd / mean, at least 0. Each is null where it isn't defined.
+    """
+    n = F.size(curve)
+    there = lambda a: F.filter(a, lambda x: x.isNotNull() & ~F.isnan(x))
+    mean = lambda a: F.when(F.size(there(a)) > 0, F.aggregate(there(a), F.lit(0.0), lambda s, x: s + x) / F.size(there(a)))
+    third, two = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    inner, outer = mean(F.slice(curve, F.lit(1), third)), mean(F.slice(curve, two + 1, n - two))
+    top, m = F.array_max(there(curve)), mean(curve)
+    variance = F.aggregate(there(curve), F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(there(curve))
+    return F.struct(
+        F.when(outer > 0, inner / outer).alias("core_edge"),
+        F.when(top.isNotNull(), (F.array_position(curve, top) - 0.5) / n).alias("peak"),
+        F.when(top > 0, F.size(F.filter(curve, lambda x: x.isNotNull() & ~F.isnan(x) & (x >= threshold_pct / 100 * top))) / n).alias("ring"),
+        F.when(m > 0, F.greatest(F.lit(0.0), 1 - F.sqrt(variance) / m)).alias("uniformity"),
+    )

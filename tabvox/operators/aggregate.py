@@ -208,3 +208,29 @@ def top_share_mean(df: DataFrame, by: list[str], value: str, share: float = 0.01
     ahead = F.coalesce(F.sum("c").over(n.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     top = counted.withColumns({"ahead": ahead, "n": F.sum("c").over(n)}).where(F.col("ahead") < F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n"))))
     return top.groupBy(*by).agg((F.sum(F.col("c") * F.col(value)) / F.sum("c")).alias("top_mean"))
+
+
+def detections(df: DataFrame, size: str, low: float, high: float, least: dict[str, float]) -> DataFrame:
+    """Rows of a size from low to high (high of 0 or less: no bound) whose named columns reach their least values."""
+    test = F.col(size) >= low
+    test = test & (F.col(size) <= high) if high > 0 else test
+    for c, v in least.items():
+        test = test & (F.col(c) >= v)
+    return df.where(test)
+
+
+def percent_within(df: DataFrame, by: list[str], classes: list[str]) -> DataFrame:
+    """(by, classes, n, pct): counts of classes and their share of the group, windowed over counts only."""
+    n = df.groupBy(*by, *classes).agg(F.count("*").alias("n"))
+    return n.withColumn("pct", 100 * F.col("n") / F.sum("n").over(W.partitionBy(*by)))
+
+
+def pair_summary(objects: DataFrame, by: list[str], pairs: dict[tuple[str, str], tuple[str, str]]) -> DataFrame:
+    """(by, source, target, objects, coloc, coloc_pct, contains, contains_pct) of the pairs' (flag, count) columns, in one pass."""
+    hits = {}
+    for i, (flag, held) in enumerate(pairs.values()):
+        hits |= {f"c{i}": F.col(flag) == 1, f"h{i}": F.col(held) > 0}
+    sums = objects.groupBy(*by).agg(F.count("*").alias("objects"), *[F.sum(F.coalesce(h, F.lit(False)).cast("long")).alias(n) for n, h in hits.items()])
+    pct = lambda c: 100 * F.col(c) / F.col("objects")
+    rows = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), "objects", F.col(f"c{i}").alias("coloc"), pct(f"c{i}").alias("coloc_pct"), F.col(f"h{i}").alias("contains"), pct(f"h{i}").alias("contains_pct")) for i, (s, t) in enumerate(pairs)])
+    return sums.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")

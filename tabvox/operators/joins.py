@@ -147,3 +147,13 @@ def mutual_nearest(pairs: DataFrame, a: str, b: str, distance: str) -> DataFrame
     """Pairs in which each is the other's nearest; ties go to the smaller id."""
     wa, wb = W.partitionBy(a).orderBy(distance, b), W.partitionBy(b).orderBy(distance, a)
     return pairs.withColumns({"ra": F.row_number().over(wa), "rb": F.row_number().over(wb)}).where("ra = 1 AND rb = 1").drop("ra", "rb")
+
+
+def naming_drift(df: DataFrame, name: str, most: int = 2) -> DataFrame:
+    """(name, usual): names with a near namesake that more rows bear (or as many, and first by name); usual is the most frequent one."""
+    counts = df.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
+    pairs = near_names(counts.select("name"), "name", most)
+    both = pairs.select(F.col("a").alias("name"), F.col("b").alias("usual")).union(pairs.select("b", "a"))
+    j = both.join(counts, "name").join(counts.select(F.col("name").alias("usual"), F.col("n").alias("m")), "usual")
+    j = j.where((F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("usual") < F.col("name"))))
+    return j.groupBy("name").agg(F.min_by("usual", F.struct(-F.col("m"), F.col("usual"))).alias("usual"))

@@ -96,3 +96,10 @@ def ragged_export(df: DataFrame, metric: str, condition: str, conditions: list[s
     """(metric, row, one column for each condition): the values of each condition one below the other."""
     rows = df.withColumn("row", F.row_number().over(W.partitionBy(metric, condition).orderBy(*order)))
     return rows.groupBy(metric, "row").pivot(condition, conditions).agg(F.first(value))
+
+
+def condition_order(df: DataFrame, animal: str, condition: str) -> DataFrame:
+    """(condition, ord): conditions numbered by the first animal that has them; blank ones have no number."""
+    firsts = df.where(F.trim(condition) != "").groupBy(condition).agg(F.min(animal).alias("__first"))
+    # a row for each condition
+    return firsts.select(condition, F.row_number().over(W.orderBy("__first", condition)).alias("ord"))
