@@ -24,6 +24,13 @@ def safe_divide(a: Column, b: Column, least: float = 1e-10) -> Column:
     return F.when(F.abs(b) >= least, a / b)
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's r over rows that have both values, as an aggregate; null where either is constant."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 

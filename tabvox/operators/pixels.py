@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabvox.functions.lineage import cut
+from tabvox.functions.scalar import correlation
 from tabvox.operators.spatial import nearest, neighbours
 
 
@@ -84,7 +85,7 @@ def granularity(voxels: DataFrame, by: list[str], lags: list[int]) -> DataFrame:
     """(by, lag, r): correlation of each pixel with the one lag to the right."""
     n = neighbours(voxels, by, [(0, k) for k in lags], ["y", "x"])
     lag = F.element_at(F.array(*[F.lit(k) for k in lags]), F.col("offset") + 1)
-    return n.groupBy(*by, lag.alias("lag")).agg(F.corr("value", "other").alias("r"))
+    return n.groupBy(*by, lag.alias("lag")).agg(correlation("value", "other").alias("r"))
 
 
 def shells(voxels: DataFrame, mask: DataFrame, by: list[str], width: float, step: float = 2.0) -> DataFrame:
@@ -131,14 +132,14 @@ def cross_correlation(a: DataFrame, b: DataFrame, by: list[str], reach: int) ->
     from tabvox.operators.spatial import shifted
 
     j = a.select(*by, "y", "x", "value").join(shifted(b.select(*by, "y", "x", "value"), shifts, ["y", "x"], "value"), [*by, "y", "x"])
-    r = j.groupBy(*by, "offset").agg(F.corr("value", "other").alias("r")).where("r IS NOT NULL")
+    r = j.groupBy(*by, "offset").agg(correlation("value", "other").alias("r")).where("r IS NOT NULL")
     name = F.element_at(F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in shifts]), F.col("offset") + 1)
     return r.withColumn("s", name).groupBy(*by).agg(F.max_by(F.struct("s.dy", "s.dx", "r"), F.struct(F.round("r", 9), -(F.abs("s.dy") + F.abs("s.dx")), -F.col("s.dy"), -F.col("s.dx"))).alias("m")).select(*by, "m.*")
 
 
 def manders(ab: DataFrame, by: list[str], ta: float, tb: float) -> DataFrame:
     """(by, pearson, m1, m2) of columns a and b: shares of a where b is over its threshold, and the reverse."""
-    return ab.groupBy(*by).agg(F.corr("a", "b").alias("pearson"), (F.sum(F.when(F.col("b") > tb, F.col("a")).otherwise(0.0)) / F.sum("a")).alias("m1"), (F.sum(F.when(F.col("a") > ta, F.col("b")).otherwise(0.0)) / F.sum("b")).alias("m2"))
+    return ab.groupBy(*by).agg(correlation("a", "b").alias("pearson"), (F.sum(F.when(F.col("b") > tb, F.col("a")).otherwise(0.0)) / F.nullif(F.sum("a"), F.lit(0.0))).alias("m1"), (F.sum(F.when(F.col("a") > ta, F.col("b")).otherwise(0.0)) / F.nullif(F.sum("b"), F.lit(0.0))).alias("m2"))
 
 
 def costes(ab: DataFrame, by: list[str], steps: int = 12, least: float = 0.01) -> DataFrame:
@@ -149,7 +150,7 @@ def costes(ab: DataFrame, by: list[str], steps: int = 12, least: float = 0.01) -
     spark = ab.sparkSession
     for _ in range(steps):
         now = spark.createDataFrame([tuple(s[c] for c in schema.names) for s in state], schema).withColumn("t", (F.col("lo") + F.col("hi")) / 2)
-        got = ab.join(F.broadcast(now), by).where((F.col("a") < F.col("t")) | (F.col("b") < F.col("slope") * F.col("t") + F.col("cut"))).groupBy(*by).agg(F.corr("a", "b").alias("r")).collect()
+        got = ab.join(F.broadcast(now), by).where((F.col("a") < F.col("t")) | (F.col("b") < F.col("slope") * F.col("t") + F.col("cut"))).groupBy(*by).agg(correlation("a", "b").alias("r")).collect()
         r = {tuple(g[c] for c in by): g["r"] for g in got}
         for s in state:
             mid = (s["lo"] + s["hi"]) / 2
@@ -361,3 +362,17 @@ def orient(voxels: DataFrame, width: int, height: int, turns: int = 0, flip: boo
         voxels = voxels.withColumns({"x": F.lit(height - 1) - F.col("y"), "y": F.col("x")})
         width, height = height, width
     return voxels.withColumn("x", F.lit(width - 1) - F.col("x")) if flip else voxels
+
+
+def object_features(labels: DataFrame, voxels: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label, volume, faces, sphericity, compactness, mean, sd, least, most, z): what classifiers of objects read.
+
+    Volumes count voxels and faces their open sides; an absent value counts as 0. Sphericity and compactness are 0 without faces.
+    """
+    v = F.coalesce("value", F.lit(0.0))
+    own = labels.where("label > 0")
+    stats = own.join(voxels, [*by, "z", "y", "x"], "left").groupBy(*by, "label").agg(F.count("*").alias("volume"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg("z").alias("z"))
+    j = stats.join(surface(labels, by), [*by, "label"])
+    n, s = F.col("volume"), F.col("faces")
+    ball = F.pow(F.lit(math.pi), F.lit(1 / 3)) * F.pow(6 * n, F.lit(2 / 3))
+    return j.select(*by, "label", "volume", "faces", F.when(s > 0, ball / s).otherwise(0.0).alias("sphericity"), F.when(s > 0, 36 * math.pi * n * n / (s * s * s)).otherwise(0.0).alias("compactness"), "mean", "sd", "least", "most", "z")

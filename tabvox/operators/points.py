@@ -187,3 +187,21 @@ def forest_score(model, df: DataFrame, features: list[str], least: float = 0.5)
 
     out = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(df))
     return out.select(*df.columns, vector_to_array("probability")[1].alias("score")).withColumn("keep", F.col("score") >= least)
+
+
+def radii(windows: DataFrame, by: list[str], steps: int = 10) -> DataFrame:
+    """(by, radius): equal steps up to a quarter of the window's shorter side."""
+    return windows.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 4 * i / steps)).alias("radius"))
+
+
+def centroids(model, features: list[str], spark) -> DataFrame:
+    """The centres of a fitted k-means as a table (cluster, features), to be written and used again."""
+    rows = [(i, *map(float, c)) for i, c in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows, "cluster int, " + ", ".join(f"`{f}` double" for f in features))
+
+
+def assign(df: DataFrame, centres: DataFrame, features: list[str]) -> DataFrame:
+    """Add cluster and distance: the nearest of (cluster, features), ties to the smaller number; null features count as 0."""
+    rows = centres.orderBy("cluster").collect()  # one row a cluster
+    near = F.array_min(F.array(*[F.struct(F.sqrt(sum((F.pow(F.coalesce(F.col(f), F.lit(0.0)) - float(r[f]), 2) for f in features), F.lit(0.0))).alias("distance"), F.lit(r["cluster"]).alias("cluster")) for r in rows]))
+    return df.withColumn("__n", near).select(*df.columns, "__n.cluster", "__n.distance")

@@ -6,11 +6,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tabvox.functions.lineage import cut
+
+
+def counts_below(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Add below: the sum of n over smaller values of the group, for distinct (by, value, n).
+
+    A window per group would sort a hot group in one task. Instead rows are range-partitioned by group
+    and value; each range is summed on its own, and the sums of the ranges before it are added. Only
+    these, a row for a group and range, meet in a window over the group. Nulls come first.
+    """
+    # a written table, so that the ranges that rows lie in don't change between their two uses
+    placed = cut(counts.repartitionByRange(*[F.col(c) for c in by], F.col(value)).withColumn("__range", F.spark_partition_id()))
+    before = W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy(*by, "__range").agg(F.sum("n").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    ranges = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__r"), "__before")
+    test = F.col("__range") == F.col("__r")
+    for c in by:
+        test = test & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    own = W.partitionBy(*by, "__range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    inside = placed.withColumn("__in", F.coalesce(F.sum("n").over(own), F.lit(0)))
+    return inside.join(ranges, test).select(*counts.columns, (F.col("__before") + F.col("__in")).alias("below"))
+
 
 def midrank(df: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
     """Average ranks of ties, and ties: the number of equal values."""
-    over, same = W.partitionBy(*by).orderBy(value), W.partitionBy(*by, value)
-    return df.withColumns({"ties": F.count("*").over(same), out: F.rank().over(over) + (F.count("*").over(same) - 1) / 2.0})
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    ranks = counts_below(counts, by, value).select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate([*by, value])], F.col("n").alias("ties"), (F.col("below") + (F.col("n") + 1) / 2.0).alias(out))
+    test = F.lit(True)
+    for i, c in enumerate([*by, value]):
+        test = test & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(ranks, test).drop(*[f"__k{i}" for i in range(len(by) + 1)])
 
 
 def composite_pick(df: DataFrame, by: str, series: str, channel: str, value: str) -> DataFrame:
