@@ -3,13 +3,15 @@
 Every text is cut into overlapping passages of `window` words (step `window // 2`; the last one ends with
 the text), and every passage is a query against the index of items. Postings of each term are cut into
 blocks of items with the largest weight of each block: passages whose terms' largest weights can't reach
-the threshold are left at once, then blocks that can't, and only then items are scored. The threshold of
-an item is a share of the score that its own words get, so all items above it are found. A hit is
+the threshold are left at once, then blocks that can't, and only then items are scored. An item longer
+than half a window is indexed as a whole and as overlapping stretches of half a window, and one of them is
+enough: any such stretch of a text lies whole in a passage. The threshold of a stretch is a share of the
+score that its own words get, so all stretches above it are found, whatever the item's length. A hit is
 verified on the words around the passage: enough of the item's question and of its answer must be there
 in order, as n-grams.
 
 Items are indexed in groups of at most `group_items`; a group's index is sent to every task (its size is
-bounded by the group's words), and further groups take further passes over the texts.
+bounded by three times the group's words), and further groups take further passes over the texts.
 """
 
 from __future__ import annotations
@@ -58,13 +60,14 @@ class Index:
     block: np.ndarray  # of each entry
     block_max: np.ndarray  # largest weight of each entry
     posting_of: np.ndarray  # where each entry's postings begin
-    item: np.ndarray
+    item: np.ndarray  # stretch of each posting; a whole item is a stretch too
     weight: np.ndarray
-    threshold: np.ndarray  # of each item
+    threshold: np.ndarray  # of each stretch
     lowest: np.ndarray  # threshold of each block
     question: list[np.ndarray]  # word hashes
     answer: list[np.ndarray]
     length: np.ndarray
+    whole: np.ndarray  # the item of each stretch
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:
@@ -76,21 +79,30 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def build(rows: list[tuple], share: float) -> Index:
+def stretches(n: int, size: int) -> list[tuple[int, int]]:
+    """First word and end of the stretches of an item of n words: the whole, and if it is longer than size those of size words, half overlapping."""
+    return [(0, n), *((a, a + size) for a in ([*range(0, n - size, max(1, size // 2)), n - size] if n > size else []))]
+
+
+def build(rows: list[tuple], share: float, window: int = 64) -> Index:
     """Index (key, text[, answer]) rows, short items first; items without a word are left out."""
     rows = [(r, *parts(r[1], r[2] if len(r) > 2 else None)) for r in rows if r[1] is not None and plain_words(r[1])]
     rows.sort(key=lambda x: (len(x[1]) + len(x[2]), str(x[0][0]), x[0][1]))
     hashed = [(hash_bytes(q), hash_bytes(a)) for _, q, a in rows]
     docs = [np.concatenate(x) for x in hashed]
     vocabulary = np.unique(np.concatenate(docs)) if docs else np.zeros(0, np.uint64)
+    half = max(1, window // 2)
+    cut = sorted(((i, d[a:b]) for i, d in enumerate(docs) for a, b in stretches(len(d), half)), key=lambda x: len(x[1]))
     length = np.array([len(d) for d in docs], np.int64)
-    counted = [np.unique(np.searchsorted(vocabulary, d), return_counts=True) for d in docs]
+    whole, size = np.array([i for i, _ in cut], np.int64), np.array([len(d) for _, d in cut], np.int64)
+    counted = [np.unique(np.searchsorted(vocabulary, d), return_counts=True) for _, d in cut]
     term, tf = (np.concatenate([c[j] for c in counted]) if docs else np.zeros(0, np.int64) for j in (0, 1))
-    item = np.repeat(np.arange(len(docs)), [len(c[0]) for c in counted])
-    df = np.bincount(term, minlength=len(vocabulary))
+    item = np.repeat(np.arange(len(cut)), [len(c[0]) for c in counted])
+    # an item counts once for a term that several of its stretches hold
+    df = np.bincount(unique(whole[item] * np.int64(len(vocabulary)) + term) % max(1, len(vocabulary)), minlength=len(vocabulary))
     idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(1.0, length.mean() if len(docs) else 1.0)))
-    threshold = share * np.bincount(item, weight, len(docs))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(1.0, length.mean() if len(docs) else 1.0)))
+    threshold = share * np.bincount(item, weight, len(cut))
     order = np.lexsort((item, term))
     term, item, weight = term[order], item[order], weight[order]
     first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(item // BLOCK, prepend=-1))
@@ -99,14 +111,14 @@ def build(rows: list[tuple], share: float) -> Index:
     np.maximum.at(term_max, term, weight)
     flags = np.zeros(1 << 20, bool)
     flags[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
-    lowest = np.array([threshold[b : b + BLOCK].min() for b in range(0, len(docs), BLOCK)])
-    return Index([r[0][0] for r in rows], vocabulary, flags, term_max, np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), item[first] // BLOCK, block_max, np.append(first, len(term)), item, weight, threshold, lowest, [q for q, _ in hashed], [a for _, a in hashed], length)
+    lowest = np.array([threshold[b : b + BLOCK].min() for b in range(0, len(cut), BLOCK)])
+    return Index([r[0][0] for r in rows], vocabulary, flags, term_max, np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), item[first] // BLOCK, block_max, np.append(first, len(term)), item, weight, threshold, lowest, [q for q, _ in hashed], [a for _, a in hashed], length, whole)
 
 
 def above(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, item, score) of all scores at or over an item's threshold; passage and term: distinct pairs, sorted.
+    """(passage, stretch, score) of all scores at or over a stretch's threshold; passage and term: distinct pairs, sorted.
 
-    Passages, then blocks of items for a passage, are left when the sum of their terms' largest
+    Passages, then blocks of stretches for a passage, are left when the sum of their terms' largest
     weights is under the threshold; what is left is scored exactly.
     """
     n = int(passage[-1]) + 1 if len(passage) else 0
@@ -155,7 +167,10 @@ def find(index: Index, buf: np.ndarray, off: np.ndarray, window: int, n: int, qu
     lo, hi = np.searchsorted(place, first), np.searchsorted(place, last)
     pair = unique(np.repeat(np.arange(len(first)), hi - lo) * np.int64(len(index.vocabulary)) + gather(term, lo, hi - lo))
     best: dict[tuple[int, int], tuple] = {}
-    for p, item, score in zip(*above(index, pair // len(index.vocabulary), pair % len(index.vocabulary)), strict=True):
+    top: dict[tuple[int, int], float] = {}  # an item scores as its best stretch in the passage
+    for p, stretch, score in zip(*above(index, pair // len(index.vocabulary), pair % len(index.vocabulary)), strict=True):
+        top[p, index.whole[stretch]] = max(score, top.get((p, index.whole[stretch]), 0.0))
+    for (p, item), score in top.items():
         i, reach = int(doc[p]), int(index.length[item])
         # the item's words may begin before or end after the passage
         x, y = max(int(ranges[i]), int(first[p]) - reach), min(int(ranges[i + 1]), int(last[p]) + reach)
@@ -177,24 +192,25 @@ def _overlap(part: np.ndarray, around: np.ndarray, n: int) -> float:
     return float(np.isin(np.unique(grams(part, n)), grams(around, n)).mean()) if len(around) >= n else 0.0
 
 
-def _indexes(benchmark: DataFrame, item_key: str, item_text: str, answer: str | None, score_share: float, group_items: int):
+def _indexes(benchmark: DataFrame, item_key: str, item_text: str, answer: str | None, score_share: float, group_items: int, window: int):
     """Yield the broadcast index of each group of items, and the type of their keys."""
     items = benchmark.select(*[F.col(f"`{c}`") for c in (item_key, item_text, *([answer] if answer else []))])
     n_groups = max(1, -(-items.count() // group_items))
     for g in range(n_groups):
         own = items if n_groups == 1 else items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(n_groups)) == g)
-        yield items.sparkSession.sparkContext.broadcast(build([tuple(r) for r in own.collect()], score_share)), items.schema[item_key].dataType
+        yield items.sparkSession.sparkContext.broadcast(build([tuple(r) for r in own.collect()], score_share, window)), items.schema[item_key].dataType
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", answer: str | None = None, window: int = 64, score_share: float = 0.5, n: int = 5, question_share: float = 0.6, answer_share: float = 0.6, group_items: int = 20_000) -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap, first_word, n_words), a row for each text and item found in it.
 
     The passage of the best overlap is named by its first word (counted in words of letters) and
-    length. Null and wordless texts and items have no hit; repeated rows of docs have a row each,
-    repeated items too. Columns other than those named are left out.
+    length; score is that of the item's best stretch in it. Null and wordless texts and items have no
+    hit; repeated rows of docs have a row each, repeated items too. Columns other than those named are
+    left out.
     """
     docs, out = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), None
-    for shared, kind in _indexes(benchmark, item_key, item_text, answer, score_share, group_items):
+    for shared, kind in _indexes(benchmark, item_key, item_text, answer, score_share, group_items, window):
         schema = T.StructType([*docs.select("key").schema.fields, T.StructField("item_id", kind), *plus(T.StructType([]), ("score", "double"), ("question_overlap", "double"), ("answer_overlap", "double"), ("first_word", "int"), ("n_words", "int")).fields])
 
         def run(batches, shared=shared, names=schema.names):
@@ -214,7 +230,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: st
     """docs with contaminated: does hits find an item in the row's text? A column of that name is replaced."""
     docs = docs.drop("contaminated").withColumn("contaminated", F.lit(False))
     at = docs.columns.index("contaminated")
-    for shared, _ in _indexes(benchmark, item_key, item_text, answer, score_share, group_items):
+    for shared, _ in _indexes(benchmark, item_key, item_text, answer, score_share, group_items, window):
 
         def run(batches, shared=shared):
             for part, buf, off in chunks(batches, text):

@@ -231,6 +231,19 @@ def test_bm25_finds_all_above_the_threshold():
                 assert got[p, i] == pytest.approx(s)
 
 
+@pytest.mark.parametrize("size", [5, 33, 64, 100, 150, 200, 300, 400])
+def test_copies_are_found_at_every_length_and_offset(size):
+    rng = random.Random(size)
+    words = ["q" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(600)]
+    items = [(i, " ".join(rng.choices(words, k=size))) for i in range(20)]
+    index = decontaminate.build(items, 0.5)
+    order = [k[0] if isinstance(k, tuple) else k for k in index.items]
+    texts = [" ".join(["zz"] * offset + [items[offset % 20][1]] + ["zz"] * (offset * 7 % 90)) for offset in range(70)]
+    buf, off = as_bytes(pa.array(texts, pa.large_string()))
+    got = {(row[0], order[row[1]]) for row in decontaminate.find(index, buf, off, 64, 5, 0.6, 0.6)}
+    assert got == {(offset, offset % 20) for offset in range(70)}
+
+
 def test_leaks_are_found_and_clean_texts_kept(spark, docs, odd):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r["item_id"]: re.findall(r"[^\W\d_]+", r["text"].lower()) for r in benchmark.collect()}
