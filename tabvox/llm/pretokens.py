@@ -21,16 +21,23 @@ WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 
 
 @functools.cache
-def _classes() -> np.ndarray:
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each code point, and whether Python's Unicode has no character there."""
+    kinds, names = {"L": LETTER, "N": NUMBER}, [unicodedata.category(chr(i)) for i in range(0x110000)]
+    out = np.fromiter((kinds.get(x[0], OTHER) for x in names), np.uint8, len(names))
     out[list(WHITE_SPACE)] = SPACE
-    return out
+    return out, np.fromiter((x == "Cn" for x in names), bool, len(names))
 
 
-def code_points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each character of UTF-8 bytes starts, and its code point."""
-    at = np.flatnonzero((buf & 0xC0) != 0x80)
+def unknown(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The texts with a character that Python's Unicode doesn't have: a library of later Unicode may class it as a letter or number."""
+    at, cp = code_points(buf, np.flatnonzero(buf >= 0xC0))
+    return np.unique(np.searchsorted(off, at[_classes()[1][cp]], "right") - 1)
+
+
+def code_points(buf: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each character of UTF-8 bytes starts (or those that start at `at`), and its code point."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80) if at is None else at
     lead = buf[at].astype(np.int32)
     if len(at) == len(buf):
         return at, lead
@@ -51,7 +58,7 @@ def split(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     at, cp = code_points(buf)
-    kind = _classes()[cp]
+    kind = _classes()[0][cp]
     m = len(at)
     first = np.zeros(m + 3, bool)  # first character of a text; also just after the last one
     begin = np.searchsorted(at, off)

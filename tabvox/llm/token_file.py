@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabvox.llm import pretokens
-from tabvox.llm.textbytes import chunks, gather, plus, shared_dir
+from tabvox.llm.textbytes import chunks, gather, owner, plus, shared_dir
 
 LINE = 512  # bits of a bitmap for each entry of its rank directory
 SEGMENT = 1 << 19  # a segment closes after so many ids
@@ -86,14 +86,14 @@ class Codes:
 
 _LEVELS = "array<struct<chunks:binary,bitmap:binary,ranks:binary>>"
 _LEVEL_ARROW = pa.list_(pa.struct([("chunks", pa.binary()), ("bitmap", pa.binary()), ("ranks", pa.binary())]))
-_WORKER: dict[str, pretokens.Memory] = {}
+_WORKER: dict[str, tuple[pretokens.Memory, list[bytes]]] = {}
 
 
-def library_memory(path: str) -> pretokens.Memory:
-    """Ids of pieces by the tokenizers library, one for each Python worker.
+def library_memory(path: str) -> tuple[pretokens.Memory, list[bytes]]:
+    """Ids of pieces by the tokenizers library, one for each Python worker, and its added tokens.
 
     The tokenizer splits by the pattern of pretokens before it merges, and a piece alone is split
-    into itself, so a text's ids are those of its pieces.
+    into itself, so a text's ids are those of its pieces. Not so in the texts of apart().
     """
     if path not in _WORKER:
         import os
@@ -102,7 +102,7 @@ def library_memory(path: str) -> pretokens.Memory:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        added = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values() if x.content]
 
         def encode(buf, start, end):
             raw = buf.tobytes()
@@ -110,12 +110,25 @@ def library_memory(path: str) -> pretokens.Memory:
             return [np.array(x.ids, np.uint32).tobytes() for x in made]
 
         _WORKER.clear()
-        _WORKER[path] = pretokens.Memory(encode)
+        _WORKER[path] = pretokens.Memory(encode), added
     return _WORKER[path]
 
 
+def apart(buf: np.ndarray, off: np.ndarray, added: list[bytes]) -> np.ndarray:
+    """The texts that the library must split itself: those with an added token, or a character that pretokens can't class."""
+    raw, out = buf.tobytes(), pretokens.unknown(buf, off).tolist()
+    for token in added:
+        at = raw.find(token)
+        while at >= 0:
+            i = int(np.searchsorted(off, at, "right")) - 1
+            inside = at + len(token) <= off[i + 1]
+            out += [i] if inside else []
+            at = raw.find(token, int(off[i + 1]) if inside else at + 1)
+    return np.unique(np.array(out, np.int64))
+
+
 def write(docs: DataFrame, to: str, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", bits: int = 8, parts: int | None = None) -> None:
-    """Encode every whole text (null: empty), append end_id to each, and write the file.
+    """Encode every whole text (null: empty) as the library does at its default settings, append end_id to each, and write the file.
 
     Documents go out in ascending order of key (nulls first; equal keys side by side): the ranges of
     key are the parts. tokenizer is the path of a tokenizer file on every machine.
@@ -128,7 +141,7 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int, text: str = "te
     schema = T.StructType([*schema.fields, T.StructField("keys", T.ArrayType(kind))])
 
     def run(batches):
-        memory, part, seq, before = library_memory(tokenizer), None, 0, 0
+        (memory, added), part, seq, before = library_memory(tokenizer), None, 0, 0
         held, keys, starts, n = [], [], [0], 0
 
         def row():
@@ -142,10 +155,21 @@ def write(docs: DataFrame, to: str, tokenizer: str, end_id: int, text: str = "te
 
         for batch, buf, off in chunks(batches):
             start, end, ranges = pretokens.split(buf, off)
+            alone = apart(buf, off, added)
+            if len(alone):
+                keep = ~np.isin(owner(ranges), alone)
+                start, end, ranges = start[keep], end[keep], np.concatenate([[0], np.cumsum(keep)])[ranges]
             ids, begin, number = memory.ids(buf, start, end)
             size = np.diff(begin)[number]
             at = np.concatenate([[0], np.cumsum(size)])[ranges]
-            own = np.insert(gather(ids, begin[:-1][number], size).astype(np.int64), at[1:], end_id)
+            own = gather(ids, begin[:-1][number], size).astype(np.int64)
+            if len(alone):
+                made = [np.frombuffer(x, np.uint32) for x in memory.encode(buf, off[alone], off[alone + 1])]
+                more = np.zeros(len(at), np.int64)
+                more[alone + 1] = [len(x) for x in made]
+                own = np.insert(own, np.repeat(at[alone], more[alone + 1]), np.concatenate(made))
+                at = at + np.cumsum(more)
+            own = np.insert(own, at[1:], end_id)
             part = batch.column("part")[0].as_py()
             held.append(own)
             keys.append(batch.column("key"))

@@ -296,6 +296,36 @@ def test_token_file(spark, odd):
     assert found == sorted((p, flat[p]) for p in (0, 7, 7, len(flat) - 1))
 
 
+def test_token_file_is_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    rng = random.Random(7)
+    end = "<|endoftext|>"
+    parts = ["a", " b", "it's", "\n\n", "  ", "é", "字", "9", "!", end, "<|endof", "text|>", "\u1c89", "a\ua7cb", "\U000105c0\U000105c1", "\U00013460", "\u0378", "👍"]
+    texts = [end, end * 3, f"a {end} b", "<|endof", "text|> next", "\u1c89 x\ua7cby", "plain words only", ""] + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(300)]
+    for some in (texts, texts[:2]):
+        path = token_file.new_path(spark)
+        token_file.write(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), path, TOKENIZER, end_id=2, parts=2)
+        got = {r["key"]: list(r["ids"]) for r in token_file.read(spark, path).collect()}
+        assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(some)}
+
+
+def test_classes_are_the_librarys_where_python_knows_the_character():
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(TOKENIZER).pre_tokenizer.pre_tokenize_str
+    kinds, no = pretokens._classes()
+    some = [c for c in (*range(0x32000), *range(0xE0000, 0xE1000)) if not no[c] and not 0xD800 <= c < 0xE000]
+
+    def joined(x):  # is the character in one piece with x?
+        begins = {a for _, (a, _) in split("".join(f"{x}{chr(c)}\n" for c in some))}
+        return np.array([3 * i + 1 not in begins for i in range(len(some))])
+
+    want = np.select([joined("a"), joined("1"), joined("!")], [pretokens.LETTER, pretokens.NUMBER, pretokens.OTHER], pretokens.SPACE)
+    assert (kinds[some] == want).all()
+
+
 # ---- quality rules
 
 
