@@ -3,33 +3,39 @@
 Equal sets are one class first. Of each class's set the first tokens in the order of hashes are
 counted over all sets; a set that shares too few of them with any other has no link and is skipped. Of
 the sets left, all tokens are counted, and the rarest ones that must still hold a common token make a
-set's index entries; tokens that occur once take up places but no entries. So the index lists hold
-little but sets that are alike.
-
-In each list one set (the pivot) is compared with the others, not all with each other. From the
-computed overlaps with the pivot the answers of sets that are like it are derived: two sets that
-overlap it enough are linked without looking at them, two that can't overlap each other enough are
-skipped, and so are those whose sketches differ in more bits than the sets may in tokens. What stays
-undecided between different components is compared exactly, so no link is lost that joins two
-components.
+set's index entries, each with its position in the set; tokens that occur once take up no place.
+
+Index-level skipping: a list is kept in blocks of entries of like size and position. From the bounds of
+a block (sizes, last position, most tokens after it) follows the largest overlap that any of its sets
+can have with a query, or with a set of another block; a block that can't reach the link is skipped
+without reading its entries.
+
+Answer-level skipping: of each list one set (the pivot) is compared with the others. From the computed
+overlaps with a pivot the answers of sets that are like it are derived: two sets that overlap it enough
+are linked without looking at them, two that can't overlap each other enough are skipped, and so are
+those whose sketches differ in more bits than the sets may in tokens. What stays undecided between
+different components is compared exactly, so no link is lost that joins two components; `links` gives
+every link between different sets.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabvox.llm.components import connected
-from tabvox.llm.textbytes import Hasher, chunks, mix, plus, table, unique, words
+from tabvox.llm.textbytes import Hasher, chunks, join_hot, mix, plus, table, unique, words
 
 #: About so many tokens of sets are in a block, and of blocks' distinct tokens in a range of hashes.
 BLOCK_TOKENS, RANGE_TOKENS = 500_000, 1_000_000
 #: Bits of a set's sketch, in 64-bit words.
 SKETCH_WORDS = 16
-#: Ids are sent to every task up to this number of rows (8 bytes each); beyond it the texts are joined.
-SEND_IDS = 1_000_000
+#: About so many entries are in a block of an index list, and blocks of one list in a task of a list's pairs.
+BLOCK_ENTRIES, TASK_BLOCKS = 64, 32
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, width: int):
@@ -63,6 +69,11 @@ def _spare(n, percent: int):
     return np.maximum(1, n * (100 - percent) // 100)
 
 
+def _sign(h: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    return int(mix(h).sum(dtype=np.uint64).astype(np.int64)), int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
+
+
 def sets(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     """(key, n, s1, s2, first): size and signature of each text's set and its first tokens in the order of hashes."""
 
@@ -72,7 +83,7 @@ def sets(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
             for h in shingles(buf, off, width):
                 n = len(h)
                 first = h[: min(n, n - _least(n, percent) + int(_spare(n, percent)))] if n else h
-                rows.append((n, int(mix(h).sum(dtype=np.uint64).astype(np.int64)), int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)), first.tobytes()))
+                rows.append((n, *_sign(h), first.tobytes()))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["key", "n", "s1", "s2", "first"])
 
@@ -83,7 +94,7 @@ def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
     """use(keys, sizes, sets, frequencies) for blocks of sets, with in how many sets of all each token is.
 
     Blocks send their distinct tokens to ranges of hashes, which add up and answer each block in its
-    own order; no row is made for a token. Frequencies stop at 65535.
+    own order; no row is made for a token.
     """
     n_blocks = max(1, total // BLOCK_TOKENS)
     bits = int(np.ceil(np.log2(max(1, total / RANGE_TOKENS))))
@@ -91,7 +102,7 @@ def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
 
     def ask(group: pa.Table) -> pa.Table:
         u, n = np.unique(np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint64), return_counts=True)
-        n = np.minimum(n, 255).astype(np.uint8)
+        n = n.astype(np.uint32)
         r = (u >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
         cut = np.flatnonzero(np.diff(r, prepend=-1))
         ends = [*cut[1:].tolist(), len(u)]
@@ -100,9 +111,9 @@ def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
 
     def answer(group: pa.Table) -> pa.Table:
         names = [np.frombuffer(x, np.uint64) for x in group.column("names").to_pylist()]
-        own = [np.frombuffer(x, np.uint8) for x in group.column("counts").to_pylist()]
+        own = [np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()]
         u, inverse = np.unique(np.concatenate(names), return_inverse=True)
-        df = np.minimum(np.bincount(inverse, np.concatenate(own)), 65535).astype(np.uint16)[inverse]
+        df = np.bincount(inverse, np.concatenate(own)).astype(np.uint32)[inverse]
         at = np.cumsum([0, *map(len, names)])
         return pa.table({"block": group.column("block"), "range": group.column("range"), "dfs": pa.array([df[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())})
 
@@ -110,7 +121,7 @@ def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
         raw = group.column("tokens").to_pylist()
         token = np.frombuffer(b"".join(raw), np.uint64)
         dfs = answered.column("dfs").to_pylist()
-        df = np.frombuffer(b"".join(dfs[i] for i in np.argsort(answered.column("range").to_numpy())), np.uint16)
+        df = np.frombuffer(b"".join(dfs[i] for i in np.argsort(answered.column("range").to_numpy())), np.uint32)
         df = df[np.searchsorted(unique(token), token)]
         at = np.cumsum([0, *(len(x) // 8 for x in raw)])
         return use(group.column("key"), group.column("n").to_numpy(), token, df, at)
@@ -127,36 +138,41 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
         shared = np.add.reduceat(df > 1, at[:-1], dtype=np.int64) if len(n) else np.zeros(0, np.int64)
         return pa.table({"key": keys.filter(pa.array(shared >= _spare(_least(n, percent), percent)))})
 
-    return _count(reps, "first", total, use, reps.select("key").schema)
+    return _count(reps.drop("s1"), "first", total, use, reps.select("key").schema)
 
 
 def entries(full: DataFrame, percent: int) -> DataFrame:
-    """Index entries (token, key, n): of the sets that share enough tokens, the rarest that must hold a common one."""
+    """Index entries (token, key, n, pos, rest, df): of the sets that share enough tokens, the rarest that must hold a common one.
+
+    pos: shared tokens of the set before this one, the rarest first; rest: those after it; df: length of the list, at most.
+    """
     total = full.agg(F.sum("n")).first()[0] or 0
 
     def use(keys, n, token, df, at):
-        least, out, own = _least(n, percent), [], []
+        least, own, made = _least(n, percent), [], [[], [], [], []]
         for i in range(len(n)):
             d, t = df[at[i] : at[i + 1]], token[at[i] : at[i + 1]]
             d, t = d[d > 1], t[d > 1]
             if len(t) >= least[i]:
-                out.append(t[np.lexsort((t, d))[: len(t) - least[i] + 1]])
+                order = np.lexsort((t, d))[: len(t) - least[i] + 1]
+                pos = np.arange(len(order))
                 own.append(i)
-        size = [len(x) for x in out]
-        who = np.repeat(np.array(own, np.int64), size)
-        return pa.table({"key": keys.take(pa.array(who)), "n": pa.array(n[who], pa.int64()), "token": pa.array(np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64))})
+                for a, b in zip(made, (t[order], pos, len(t) - 1 - pos, d[order]), strict=True):
+                    a.append(b)
+        who = np.repeat(np.array(own, np.int64), [len(x) for x in made[0]])
+        cols = [pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in made]
+        return pa.table({"key": keys.take(pa.array(who)), "n": pa.array(n[who], pa.int64()), "token": cols[0], "pos": cols[1], "rest": cols[2], "df": cols[3]})
 
-    return _count(full, "set", total, use, plus(full.select("key").schema, ("n", "long"), ("token", "long")))
+    return _count(full, "set", total, use, plus(full.select("key").schema, *((c, "long") for c in ("n", "token", "pos", "rest", "df"))))
 
 
 def _full(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(key, n, set, sketch) of the wanted keys: sets as sorted 64-bit hashes.
+    """(key, n, set, sketch) of the wanted (key, s1): sets as sorted 64-bit hashes.
 
     A bit of the sketch is the parity of the tokens that fall on it, so two sketches differ in no more
     bits than the sets in tokens.
     """
-    few = wanted.count() <= SEND_IDS
-    docs = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "key", "left_semi")
+    docs = docs.join(wanted.select("key").hint("shuffle_hash"), "key", "left_semi")
 
     def sketch(h: np.ndarray) -> list[int]:
         bit = np.bincount((mix(h) >> np.uint64(54)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
@@ -165,9 +181,10 @@ def _full(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFram
     def run(batches):
         for part, buf, off in chunks(batches, text):
             sets_ = list(shingles(buf, off, width))
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(h) for h in sets_], pa.int64()), pa.array([h.tobytes() for h in sets_], pa.binary()), pa.array([sketch(h) for h in sets_], pa.list_(pa.int64()))], ["key", "n", "set", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(h) for h in sets_], pa.int64()), pa.array([_sign(h)[0] for h in sets_], pa.int64()), pa.array([h.tobytes() for h in sets_], pa.binary()), pa.array([sketch(h) for h in sets_], pa.list_(pa.int64()))], ["key", "n", "s1", "set", "sketch"])
 
-    return docs.mapInArrow(run, plus(docs.select("key").schema, ("n", "long"), ("set", "binary"), ("sketch", "array<long>"))).dropDuplicates(["key"])
+    made = docs.mapInArrow(run, plus(docs.select("key").schema, ("n", "long"), ("s1", "long"), ("set", "binary"), ("sketch", "array<long>")))
+    return made.join(wanted.hint("shuffle_hash"), ["key", "s1"], "left_semi").drop("s1").dropDuplicates(["key"])
 
 
 def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -197,63 +214,133 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _need(nx, ny, percent: int) -> Column:
+    """The overlap from which on sets of these sizes are linked."""
+    return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
+
+
+def _reach(a: str, b: str, percent: int, ends: tuple = (("n", "n", "pos", "rest"),) * 2) -> Column:
+    """Can entries (or blocks) a and b, columns of these prefixes, be of linked sets? ends: names of least and largest size, position, rest.
+
+    Before the places of a common token lie no more common tokens than the smaller position, after it
+    no more than the smaller rest.
+    """
+    (al, ah, ap, ar), (bl, bh, bp, br) = ([F.col(f"{side}.{c}") for c in names] for side, names in zip((a, b), ends, strict=True))
+    sizes = (100 * ah >= percent * bl) & (100 * bh >= percent * al)
+    return sizes & (F.least(ap, bp) + 1 + F.least(ar, br) >= _need(al, bl, percent))
+
+
+_BLOCK, _ENTRY = ("n0", "n1", "pos1", "rest1"), ("n", "n", "pos", "rest")
+
+
+def in_blocks(index: DataFrame, percent: int, *carried: str, where: Column | None = None) -> DataFrame:
+    """The lists in blocks (token, id, b: bounds, entries) of like sizes and positions; where chooses the entries that blocks keep."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99))).alias("band")
+    step = F.floor(F.log2(F.col("pos") + 1)).alias("step")
+    salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("df") / BLOCK_ENTRIES)).alias("salt")
+    entry = F.struct("key", "n", "pos", "rest", *carried)
+    bounds = F.struct(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("pos1"), F.max("rest").alias("rest1")).alias("b")
+    kept = index if where is None else index.where(where)
+    return kept.groupBy("token", band, step, salt).agg(bounds, F.max("df").alias("df"), F.collect_list(entry).alias("entries")).select("token", F.struct("band", "step", "salt").alias("id"), "b", "df", "entries")
+
+
 def link_classes(docs: DataFrame, reps: DataFrame, text: str, width: int, percent: int, rounds: int = 3) -> DataFrame:
     """(key, root) for the class representatives that have a link."""
-    full = table(_full(docs, text, width, table(candidates(reps, percent).distinct(), "candidates")), "sets")
-    index = table(entries(full, percent), "entries")
-    links = compared = labels = None
+    full, index = _index(docs, reps, text, width, percent)
+    compared = labels = None
     for r in range(rounds):
         order = F.col("key") if r == 0 else F.xxhash64(F.lit(r), F.col("key"))
-        if labels is None:
-            here = index.withColumn("root", F.col("key"))
-        else:
-            here = index.join(labels.hint("shuffle_hash"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        lists = here.groupBy("token").agg(F.min(F.struct(order.alias("o"), "key", "n", "root")).alias("p"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        pairs = here.join(lists.select("token", "p").hint("merge"), "token").where((F.col("root") != F.col("p.root")) & (F.col("key") != F.col("p.key")))
-        pairs = pairs.select(F.col("key").alias("x"), F.col("n").alias("nx"), F.col("p.key").alias("y"), F.col("p.n").alias("ny")).where(_sizes_fit("nx", "ny", percent))
+        here = index.withColumn("root", F.col("key")) if labels is None else _rooted(index, labels)
+        pivot = F.min(F.struct(order.alias("o"), "key", "n", "pos", "rest", "root")).alias("p")
+        lists = here.groupBy("token").agg(pivot, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token", "p")
+        # sets that have found a link leave the search to those that haven't
+        seekers = in_blocks(here, percent, "root", where=None if labels is None else F.col("free"))
+        pairs = seekers.join(lists.hint("merge"), "token").where(_reach("p", "b", percent, (_ENTRY, _BLOCK)))
+        pairs = pairs.select("token", "p", F.explode("entries").alias("e")).where(_reach("p", "e", percent) & (F.col("e.root") != F.col("p.root")))
         # the pivot that most of its lists have
-        votes = pairs.groupBy("x", "nx", "y", "ny").count()
-        pairs = votes.groupBy("x", "nx").agg(F.max_by(F.struct("y", "ny"), F.struct("count", "y")).alias("p")).select("x", "nx", "p.y", "p.ny")
-        got = table(_verify(pairs, full), "compared")
+        votes = pairs.groupBy(F.col("e.key").alias("x"), F.col("e.n").alias("nx"), F.col("p.key").alias("y"), F.col("p.n").alias("ny")).count()
+        got = table(_verify(votes.groupBy("x", "nx").agg(F.max_by(F.struct("y", "ny"), F.struct("count", "y")).alias("p")).select("x", "nx", "p.y", "p.ny"), full), "compared")
         if got.isEmpty():
             break
         compared = got if compared is None else compared.union(got)
-        links = _edges(compared, percent)
-        labels = table(connected(links).withColumnRenamed("node", "key"), "labels")
+        labels = table(_labels(_edges(compared, percent)), "labels")
     if compared is None:
         return index.select("key", F.col("key").alias("root")).limit(0)
-    rest = table(_undecided(index, labels, compared, full, percent), "undecided")
+    rest = table(_undecided(_rooted(index, labels), compared, full, percent, F.col("x.root") != F.col("y.root")), "undecided")
     derived = rest.where("derived").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    open_ = rest.where("NOT derived").select("x", "nx", "y", "ny")
-    got = _edges(table(_verify(open_, full), "compared"), percent)
-    more = table(got.union(derived), "links")
-    if more.isEmpty():
-        return labels
-    return connected(labels.select(F.col("key").alias("a"), F.col("root").alias("b")).union(more)).withColumnRenamed("node", "key")
+    exact = _edges(_verify(rest.where("NOT derived").select("x", "nx", "y", "ny"), full), percent)
+    return connected(_edges(compared, percent).union(exact).union(derived)).withColumnRenamed("node", "key")
+
+
+def _index(docs: DataFrame, reps: DataFrame, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sets that may have links, and their index entries."""
+    wanted = reps.join(candidates(reps, percent).distinct().hint("shuffle_hash"), "key", "left_semi").select("key", "s1")
+    full = table(_full(docs, text, width, table(wanted, "candidates")), "sets")
+    return full, table(entries(full, percent), "entries")
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(key, root) of linked keys: the smallest neighbour, then twice that one's root. Equal roots mean one component."""
+    both = links.select("a", "b").union(links.select("b", "a"))
+    now = both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("m")).select("key", F.least("key", "m").alias("root"))
+    for _ in range(2):
+        up = now.select(F.col("key").alias("root"), F.col("root").alias("above"))
+        now = now.join(up.hint("shuffle_hash"), "root", "left").select("key", F.coalesce("above", "root").alias("root"))
+    return now
+
+
+def _rooted(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries with their set's root; free: without a link so far."""
+    return index.join(labels.hint("shuffle_hash"), "key", "left").withColumns({"free": F.col("root").isNull(), "root": F.coalesce("root", "key")})
 
 
 def _edges(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(_linked(F.col("both"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _undecided(index: DataFrame, labels: DataFrame, compared: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list that lie in different components and haven't been compared; derived where their overlaps with one pivot settle the link."""
-    here = index.join(labels.hint("shuffle_hash"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = here.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    known = compared.groupBy(F.col("x").alias("key")).agg(F.min_by(F.struct("y", "ny", "both"), "y").alias("k"))
-    here = here.join(mixed.hint("merge"), "token").join(full.select("key", "sketch").hint("merge"), "key").join(known.hint("merge"), "key", "left")
-    a = here.select("token", *[F.col(c).alias(f"{c}_x") for c in ("key", "n", "root", "sketch", "k")])
-    b = here.select("token", *[F.col(c).alias(f"{c}_y") for c in ("key", "n", "root", "sketch", "k")])
-    nx, ny = F.col("n_x"), F.col("n_y")
-    need = F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
-    apart = sum((F.bit_count(F.col("sketch_x")[i].bitwiseXOR(F.col("sketch_y")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    same = F.coalesce(F.col("k_x.y") == F.col("k_y.y"), F.lit(False))
-    low = F.when(same, F.col("k_x.both") + F.col("k_y.both") - F.col("k_x.ny")).otherwise(F.lit(0))
-    high = F.when(same, F.least("k_x.both", "k_y.both") + F.least(nx - F.col("k_x.both"), ny - F.col("k_y.both"))).otherwise(F.least(nx, ny))
-    may = (F.col("key_x") < F.col("key_y")) & (F.col("root_x") != F.col("root_y")) & _sizes_fit("n_x", "n_y", percent) & (apart <= nx + ny - 2 * need) & _linked(high, nx, ny, percent)
-    pairs = a.join(b.hint("merge"), (a["token"] == b["token"]) & may).select(F.col("key_x").alias("x"), nx.alias("nx"), F.col("key_y").alias("y"), ny.alias("ny"), _linked(low, nx, ny, percent).alias("derived")).distinct()
+def _undecided(index: DataFrame, compared: DataFrame | None, full: DataFrame, percent: int, differ: Column) -> DataFrame:
+    """Pairs (x, nx, y, ny, derived) of a list that differ and haven't been compared; derived where their overlaps with one pivot settle the link.
+
+    Blocks are paired, not entries. The block pairs of a long list are dealt over tasks: one side has a
+    part by hash, the other goes to all parts.
+    """
+    mixed = index.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
+    here = index.join(mixed.hint("merge"), "token").join(full.select("key", "sketch").hint("merge"), "key")
+    if compared is None:
+        here = here.withColumn("k", F.lit(None).cast(f"struct<y:{full.schema['key'].dataType.simpleString()},ny:long,both:long>"))
+    else:
+        known = compared.groupBy(F.col("x").alias("key")).agg(F.min_by(F.struct("y", "ny", "both"), "y").alias("k"))
+        here = here.join(known.hint("merge"), "key", "left")
+    blocks = in_blocks(here, percent, "root", "sketch", "k")
+    parts = F.ceil(F.col("df") / (BLOCK_ENTRIES * TASK_BLOCKS))
+    a = blocks.select("token", F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("ia"), F.col("b").alias("ba"), F.col("entries").alias("ea"))
+    b = blocks.select("token", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("id").alias("ib"), F.col("b").alias("bb"), F.col("entries").alias("eb"))
+    pairs = a.join(b.hint("merge"), ["token", "part"]).where((F.col("ia") <= F.col("ib")) & _reach("ba", "bb", percent, (_BLOCK, _BLOCK)))
+    pairs = pairs.select("ia", "ib", F.explode("ea").alias("x"), "eb").select("ia", "ib", "x", F.explode("eb").alias("y"))
+    nx, ny = F.col("x.n"), F.col("y.n")
+    apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
+    same = F.coalesce(F.col("x.k.y") == F.col("y.k.y"), F.lit(False))
+    low = F.when(same, F.col("x.k.both") + F.col("y.k.both") - F.col("x.k.ny")).otherwise(F.lit(0))
+    high = F.when(same, F.least("x.k.both", "y.k.both") + F.least(nx - F.col("x.k.both"), ny - F.col("y.k.both"))).otherwise(F.least(nx, ny))
+    once = F.col("x.key") != F.col("y.key")
+    once &= (F.col("ia") != F.col("ib")) | (F.col("x.key") < F.col("y.key"))
+    may = once & differ & _reach("x", "y", percent) & (apart <= nx + ny - 2 * _need(nx, ny, percent)) & _linked(high, nx, ny, percent)
+    swap = F.col("x.key") > F.col("y.key")
+    first, second = F.when(swap, F.struct("y.key", "y.n")).otherwise(F.struct("x.key", "x.n")), F.when(swap, F.struct("x.key", "x.n")).otherwise(F.struct("y.key", "y.n"))
+    out = pairs.where(may).select(first.alias("f"), second.alias("s"), _linked(low, nx, ny, percent).alias("derived")).select(F.col("f.key").alias("x"), F.col("f.n").alias("nx"), F.col("s.key").alias("y"), F.col("s.n").alias("ny"), "derived").distinct()
+    if compared is None:
+        return out
     done = compared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return pairs.join(done.hint("shuffle_hash"), ["x", "y"], "left_anti")
+    return out.join(done.hint("shuffle_hash"), ["x", "y"], "left_anti")
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All rows' sets; those that stand for the keys; the classes of equal sets with their representative; its first tokens."""
+    own = table(sets(docs, "text", width, percent), "signatures")
+    one = own.where("key IS NOT NULL AND n > 0").groupBy("key").agg(F.min(F.struct("n", "s1", "s2")).alias("c")).select("key", "c.*")
+    classes = table(one.groupBy("n", "s1", "s2").agg(F.min("key").alias("key"), F.count("*").alias("members")), "classes")
+    reps = own.join(classes.hint("shuffle_hash"), ["key", "n", "s1", "s2"], "left_semi").dropDuplicates(["key", "n", "s1", "s2"])
+    return own, one, classes, table(reps.select("key", "n", "s1", "first"), "representatives")
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:
@@ -261,16 +348,32 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
 
     Sets of width-word shingles link when 100 * intersection >= percent * union; component_id is the
     smallest key reachable. Null and wordless texts have no shingle and are linked with nothing. Rows of
-    equal keys count as one document; null keys never become a component_id unless a text has no other.
+    equal keys count as one document, whose text for the links is the one of the fewest shingles (ties:
+    by their hashes). Rows without a key get their text's component and never give it its name, unless
+    no row of that text has a key. Other columns are left out.
     """
     kind = docs.schema[key].dataType
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    own = table(sets(docs, "text", width, percent), "signatures")
-    ids = own.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("key").alias("key")).where("key IS NOT NULL")
-    ids = table(ids, "classes")
-    # one row for each class: equal sets have equal first tokens
-    reps = own.join(ids.hint("shuffle_hash"), ["key", "n", "s1", "s2"], "left_semi").dropDuplicates(["key", "n", "s1", "s2"])
-    labels = link_classes(docs, table(reps.select("key", "n", "first"), "representatives"), "text", width, percent)
-    of = ids.join(labels.hint("shuffle_hash"), "key", "left").select("n", "s1", "s2", F.coalesce("root", "key").alias("component"))
-    out = own.select("key", "n", "s1", "s2").join(of.hint("merge"), ["n", "s1", "s2"], "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").cast(kind).alias("component_id"))
+    own, one, classes, reps = _classes(docs, width, percent)
+    labels = link_classes(docs, reps, "text", width, percent)
+    of = table(classes.join(labels.hint("shuffle_hash"), "key", "left").select("n", "s1", "s2", F.coalesce("root", "key").alias("component"), "members"), "components")
+    hot = of.where(F.col("members") >= max(1000, own.count() // 1000)).select("n", "s1", "s2")
+    chosen = join_hot(one, of.drop("members"), ["n", "s1", "s2"], hot).select("key", "component")
+    keyed = own.where("key IS NOT NULL").select("key", "n").join(chosen.hint("shuffle_hash"), "key", "left")
+    nameless = own.where("key IS NULL").join(of.drop("members").hint("merge"), ["n", "s1", "s2"], "left").select("key", "n", "component")
+    return keyed.union(nameless).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").cast(kind).alias("component_id"))
+
+
+def links(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, as pairs (x, y) of class representatives, x < y, and the membership (key, representative).
+
+    The rules for nulls, empty texts and repeated keys are those of components; rows without a key are left out.
+    """
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    _, one, classes, reps = _classes(docs, width, percent)
+    full, index = _index(docs, reps, "text", width, percent)
+    rest = table(_undecided(index.withColumn("root", F.col("key")), None, full, percent, F.lit(True)), "undecided")
+    got = _edges(_verify(rest.select("x", "nx", "y", "ny"), full), percent).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    hot = classes.where(F.col("members") >= max(1000, one.count() // 1000)).select("n", "s1", "s2")
+    members = join_hot(one, classes.select("n", "s1", "s2", F.col("key").alias("representative")), ["n", "s1", "s2"], hot)
+    return got, members.select(F.col("key").alias(key), "representative")

@@ -159,13 +159,20 @@ def letters_only(buf: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a local one is made and set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir, or of SparkContext.setCheckpointDir.
+
+    Where neither is set, a session in local mode (tests) gets a folder of its own; on a cluster
+    executors couldn't share one, so that is an error.
+    """
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not conf:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         conf = tempfile.mkdtemp(prefix="tabvox-")
-        spark.sparkContext.setCheckpointDir(conf)
+        context.setCheckpointDir(conf)
     return conf
 
 
@@ -177,6 +184,20 @@ def table(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows, small, on: list[str], hot):
+    """rows LEFT JOIN small on columns on; small has one row a key.
+
+    hot: keys that hold a fixed share of rows, so that their number is bounded by that share. Their rows
+    of small are broadcast, all others joined by shuffle: no key's rows are gathered in one task.
+    """
+    from pyspark.sql import functions as F
+
+    tagged = rows.join(F.broadcast(hot.withColumn("hot_", F.lit(True))), on, "left")
+    few = small.join(F.broadcast(hot), on, "left_semi")
+    rare = tagged.where("hot_ IS NULL").drop("hot_").join(small.hint("shuffle_hash"), on, "left")
+    return rare.unionByName(tagged.where("hot_").drop("hot_").join(F.broadcast(few), on, "left"))
+
+
 def plus(schema, *columns: tuple[str, str]):
     """A copy of schema with columns of the given names and types added."""
     from pyspark.sql import types as T

@@ -181,6 +181,27 @@ def test_jaccard_components(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+def test_jaccard_links_and_a_word_that_many_sets_share(spark):
+    rng = random.Random(8)
+    rows = [(i, f"same four words here u{i} v{i} w{i}") for i in range(3000)]  # one shingle in all sets, no link
+    base = " ".join(f"b{i}" for i in range(120)).split()
+    for i in range(300):
+        words = list(base)
+        for _ in range(i % 4):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((5000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(df).collect()}
+    want = {i: c for i, (_, c) in brute_components(rows[3000:], 4, 85).items()} | {i: i for i, _ in rows[:3000]}
+    assert got == want
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, t in rows for w in [t.split()]}
+    pairs, members = jaccard_join.links(df.where("doc_id >= 3000"))
+    of = {r["doc_id"]: r["representative"] for r in members.collect()}
+    assert all(sets[i] == sets[r] for i, r in of.items())
+    reps = sorted(set(of.values()))
+    assert {(r["x"], r["y"]) for r in pairs.collect()} == {(a, b) for a in reps for b in reps if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+
+
 def test_jaccard_odd_rows(odd):
     got = jaccard_join.components(odd).collect()
     assert len(got) == len(ODD)
