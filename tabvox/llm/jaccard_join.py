@@ -10,12 +10,13 @@ a block (sizes, last position, most tokens after it) follows the largest overlap
 can have with a query, or with a set of another block; a block that can't reach the link is skipped
 without reading its entries.
 
-Answer-level skipping: of each list one set (the pivot) is compared with the others. From the computed
-overlaps with a pivot the answers of sets that are like it are derived: two sets that overlap it enough
-are linked without looking at them, two that can't overlap each other enough are skipped, and so are
-those whose sketches differ in more bits than the sets may in tokens. What stays undecided between
-different components is compared exactly, so no link is lost that joins two components; `links` gives
-every link between different sets.
+Answer-level skipping: of each list one set (the pivot) is compared with the others, and from then on
+sets that are like it are told apart by their differences to it alone: the overlap of two of them is
+what both have of the pivot, less its size, plus the differences that they share. If that needs no
+shared difference, both are linked to the pivot, so the pair tells nothing new. Else they must share
+rare differences, and only these are indexed for them. Sets of unlike pivots meet in the plain lists;
+sketches that differ in more bits than the sets may in tokens skip a pair. What stays is compared
+exactly, so no link is lost that joins two components; `links` gives every link between different sets.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabvox.llm.components import connected
@@ -187,8 +188,8 @@ def _full(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFram
     return made.join(wanted.hint("shuffle_hash"), ["key", "s1"], "left_semi").drop("s1").dropDuplicates(["key"])
 
 
-def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """pairs (x, y, ...) with both = size of the intersection."""
+def _verify(pairs: DataFrame, full: DataFrame, differences: bool = False) -> DataFrame:
+    """pairs (x, y, ...) with both = size of the intersection; delta: the tokens of one set only, where both is half of y or more."""
     left = full.select(F.col("key").alias("x"), F.col("set").alias("set_x"))
     right = full.select(F.col("key").alias("y"), F.col("set").alias("set_y"))
     got = pairs.join(left.hint("merge"), "x").join(right.hint("merge"), "y")
@@ -196,14 +197,21 @@ def _verify(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, deltas = [], []
             for a, b in zip(batch.column("set_x").to_pylist(), batch.column("set_y").to_pylist(), strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = np.sort(np.concatenate([a, b]))
-                out.append(int((both[1:] == both[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.int64())], [*kept, "both"])
+                twice = both[1:] == both[:-1]
+                out.append(int(twice.sum()))
+                if differences:
+                    once = np.ones(len(both), bool)
+                    once[1:] &= ~twice
+                    once[:-1] &= ~twice
+                    deltas.append(both[once].view(np.int64) if 2 * out[-1] >= len(b) else None)
+            cols = [*(batch.column(c) for c in kept), pa.array(out, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(deltas, pa.list_(pa.int64()))] * differences, [*kept, "both"] + ["delta"] * differences)
 
-    return got.select(*kept, "set_x", "set_y").mapInArrow(run, plus(pairs.schema, ("both", "long")))
+    return got.select(*kept, "set_x", "set_y").mapInArrow(run, plus(pairs.schema, ("both", "long"), *[("delta", "array<long>")] * differences))
 
 
 def _linked(both, nx, ny, percent: int) -> Column:
@@ -219,57 +227,91 @@ def _need(nx, ny, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (nx + ny) / F.lit(100 + percent))
 
 
-def _reach(a: str, b: str, percent: int, ends: tuple = (("n", "n", "pos", "rest"),) * 2) -> Column:
-    """Can entries (or blocks) a and b, columns of these prefixes, be of linked sets? ends: names of least and largest size, position, rest.
+def _reach(a: str, b: str, percent: int, ends: tuple = (("n", "n", "pos", "rest", "have"),) * 2) -> Column:
+    """Can entries (or blocks) a and b of one list, columns of these prefixes, be of linked sets?
 
-    Before the places of a common token lie no more common tokens than the smaller position, after it
-    no more than the smaller rest.
+    ends: names of least and largest size, position, rest and what is known of the overlap. Before the
+    places of a common token lie no more common ones than the smaller position, after it no more than
+    the smaller rest; the others of the overlap are known.
     """
-    (al, ah, ap, ar), (bl, bh, bp, br) = ([F.col(f"{side}.{c}") for c in names] for side, names in zip((a, b), ends, strict=True))
+    (al, ah, ap, ar, av), (bl, bh, bp, br, bv) = ([F.col(f"{side}.{c}") for c in names] for side, names in zip((a, b), ends, strict=True))
     sizes = (100 * ah >= percent * bl) & (100 * bh >= percent * al)
-    return sizes & (F.least(ap, bp) + 1 + F.least(ar, br) >= _need(al, bl, percent))
+    return sizes & (F.least(ap, bp) + 1 + F.least(ar, br) + av + bv - F.col("list.np") >= _need(al, bl, percent))
 
 
-_BLOCK, _ENTRY = ("n0", "n1", "pos1", "rest1"), ("n", "n", "pos", "rest")
+_BLOCK, _ENTRY = ("n0", "n1", "pos1", "rest1", "have1"), ("n", "n", "pos", "rest", "have")
 
 
 def in_blocks(index: DataFrame, percent: int, *carried: str, where: Column | None = None) -> DataFrame:
-    """The lists in blocks (token, id, b: bounds, entries) of like sizes and positions; where chooses the entries that blocks keep."""
+    """The lists in blocks (list, id, b: bounds, df, entries) of like sizes, positions and knowledge; where chooses the entries that blocks keep."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99))).alias("band")
     step = F.floor(F.log2(F.col("pos") + 1)).alias("step")
+    end = F.floor(F.log2(F.col("rest") + 1)).alias("end")
+    more = F.floor(F.log2(F.col("n") - F.col("have") + 1)).alias("more")
     salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("df") / BLOCK_ENTRIES)).alias("salt")
-    entry = F.struct("key", "n", "pos", "rest", *carried)
-    bounds = F.struct(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("pos1"), F.max("rest").alias("rest1")).alias("b")
+    entry = F.struct("key", "n", "pos", "rest", "have", *carried)
+    bounds = F.struct(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("pos1"), F.max("rest").alias("rest1"), F.max("have").alias("have1")).alias("b")
     kept = index if where is None else index.where(where)
-    return kept.groupBy("token", band, step, salt).agg(bounds, F.max("df").alias("df"), F.collect_list(entry).alias("entries")).select("token", F.struct("band", "step", "salt").alias("id"), "b", "df", "entries")
+    return kept.groupBy("list", "pivot", band, step, end, more, salt).agg(bounds, F.max("df").alias("df"), F.collect_list(entry).alias("entries")).select("list", "pivot", F.struct("band", "step", "end", "more", "salt", "pivot").alias("id"), "b", "df", "entries")
 
 
-def link_classes(docs: DataFrame, reps: DataFrame, text: str, width: int, percent: int, rounds: int = 3) -> DataFrame:
+def _plain(index: DataFrame) -> DataFrame:
+    """Entries of the plain lists: nothing is known of an overlap beforehand."""
+    kind = index.schema["key"].dataType
+    none = F.lit(None).cast(kind)
+    return index.select(F.struct("token", none.alias("of"), F.lit(0).cast("long").alias("np")).alias("list"), "key", "n", "pos", "rest", F.lit(0).cast("long").alias("have"), "df")
+
+
+def link_classes(docs: DataFrame, reps: DataFrame, text: str, width: int, percent: int, rounds: int = 1) -> DataFrame:
     """(key, root) for the class representatives that have a link."""
     full, index = _index(docs, reps, text, width, percent)
+    plain = _plain(index).withColumn("pivot", F.lit(None).cast(index.schema["key"].dataType))
     compared = labels = None
     for r in range(rounds):
         order = F.col("key") if r == 0 else F.xxhash64(F.lit(r), F.col("key"))
-        here = index.withColumn("root", F.col("key")) if labels is None else _rooted(index, labels)
-        pivot = F.min(F.struct(order.alias("o"), "key", "n", "pos", "rest", "root")).alias("p")
-        lists = here.groupBy("token").agg(pivot, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token", "p")
-        # sets that have found a link leave the search to those that haven't
-        seekers = in_blocks(here, percent, "root", where=None if labels is None else F.col("free"))
-        pairs = seekers.join(lists.hint("merge"), "token").where(_reach("p", "b", percent, (_ENTRY, _BLOCK)))
-        pairs = pairs.select("token", "p", F.explode("entries").alias("e")).where(_reach("p", "e", percent) & (F.col("e.root") != F.col("p.root")))
+        here = plain.withColumn("root", F.col("key")) if labels is None else _rooted(plain, labels)
+        pivot = F.min(F.struct(order.alias("o"), "key", "n", "pos", "rest", "have", "root")).alias("p")
+        lists = here.groupBy("list").agg(pivot, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("list", "p")
+        # first every set gets a pivot, linked or not; then only sets without a link seek one
+        seekers = in_blocks(here, percent, "root", where=None if r == 0 else F.col("free"))
+        block, entry = (F.lit(True), F.lit(True)) if r == 0 else (_reach("p", "b", percent, (_ENTRY, _BLOCK)), _reach("p", "e", percent))
+        pairs = seekers.join(lists.hint("merge"), "list").where(block)
+        pairs = pairs.select("list", "p", F.explode("entries").alias("e")).where(entry & (F.col("e.root") != F.col("p.root")))
         # the pivot that most of its lists have
         votes = pairs.groupBy(F.col("e.key").alias("x"), F.col("e.n").alias("nx"), F.col("p.key").alias("y"), F.col("p.n").alias("ny")).count()
-        got = table(_verify(votes.groupBy("x", "nx").agg(F.max_by(F.struct("y", "ny"), F.struct("count", "y")).alias("p")).select("x", "nx", "p.y", "p.ny"), full), "compared")
+        chosen = votes.groupBy("x", "nx").agg(F.max_by(F.struct("y", "ny"), F.struct("count", "y")).alias("p")).select("x", "nx", "p.y", "p.ny")
+        got = table(_verify(chosen, full, differences=True).withColumn("round", F.lit(r)), "compared")
         if got.isEmpty():
             break
         compared = got if compared is None else compared.union(got)
         labels = table(_labels(_edges(compared, percent)), "labels")
     if compared is None:
         return index.select("key", F.col("key").alias("root")).limit(0)
-    rest = table(_undecided(_rooted(index, labels), compared, full, percent, F.col("x.root") != F.col("y.root")), "undecided")
-    derived = rest.where("derived").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    exact = _edges(_verify(rest.where("NOT derived").select("x", "nx", "y", "ny"), full), percent)
-    return connected(_edges(compared, percent).union(exact).union(derived)).withColumnRenamed("node", "key")
+    known = compared.where("delta IS NOT NULL").groupBy("x").agg(F.max_by(F.struct("y", "nx", "ny", "both", "delta"), F.struct(-F.col("round"), "both")).alias("k")).select(F.col("x").alias("key"), "k.*")
+    known = table(known, "differences")
+    plain = _plain(index).join(known.select("key", F.col("y").alias("pivot")).hint("merge"), "key", "left")
+    lists = plain.unionByName(_difference_lists(known, percent))
+    open_ = table(_undecided(_rooted(lists, labels), full, percent, (F.col("x.root") != F.col("y.root"))), "undecided")
+    done = compared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    exact = _edges(_verify(open_.join(done.hint("shuffle_hash"), ["x", "y"], "left_anti"), full), percent)
+    return connected(_edges(compared, percent).union(exact)).withColumnRenamed("node", "key")
+
+
+def _difference_lists(known: DataFrame, percent: int) -> DataFrame:
+    """Entries of the differences to a pivot (key, y: its pivot, nx, ny, both, delta).
+
+    Two sets of one pivot share at least need(nx, ny) - (both_x + both_y - ny) differences if linked.
+    Over all partners that is at least need(nx, ny) - both_x with the pivot's own size, so a set that
+    has no such number of differences in common with any other has no entries.
+    """
+    rows = known.select("key", "y", "nx", "ny", "both", F.explode("delta").alias("token"))
+    often = rows.groupBy("y", "token").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(often.hint("merge"), ["y", "token"])
+    by = Window.partitionBy("key")
+    rows = rows.withColumns({"pos": F.row_number().over(by.orderBy("df", "token")).cast("long") - 1, "m": F.count("*").over(by)})
+    least = F.greatest(F.lit(1), _need(F.col("nx"), F.col("ny"), percent) - F.col("both"))
+    rows = rows.where((F.col("m") >= least) & (F.col("pos") <= F.col("m") - least))
+    return rows.select(F.struct("token", F.col("y").alias("of"), F.col("ny").alias("np")).alias("list"), "key", F.col("nx").alias("n"), "pos", (F.col("m") - 1 - F.col("pos")).alias("rest"), F.col("both").alias("have"), "df", F.lit(None).cast(known.schema["key"].dataType).alias("pivot"))
 
 
 def _index(docs: DataFrame, reps: DataFrame, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -298,40 +340,29 @@ def _edges(compared: DataFrame, percent: int) -> DataFrame:
     return compared.where(_linked(F.col("both"), F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def _undecided(index: DataFrame, compared: DataFrame | None, full: DataFrame, percent: int, differ: Column) -> DataFrame:
-    """Pairs (x, nx, y, ny, derived) of a list that differ and haven't been compared; derived where their overlaps with one pivot settle the link.
+def _undecided(index: DataFrame, full: DataFrame, percent: int, differ: Column) -> DataFrame:
+    """Pairs (x, nx, y, ny) of a list that differ and may be linked; those of one pivot only where they are in a list of differences to it.
 
     Blocks are paired, not entries. The block pairs of a long list are dealt over tasks: one side has a
     part by hash, the other goes to all parts.
     """
-    mixed = index.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    here = index.join(mixed.hint("merge"), "token").join(full.select("key", "sketch").hint("merge"), "key")
-    if compared is None:
-        here = here.withColumn("k", F.lit(None).cast(f"struct<y:{full.schema['key'].dataType.simpleString()},ny:long,both:long>"))
-    else:
-        known = compared.groupBy(F.col("x").alias("key")).agg(F.min_by(F.struct("y", "ny", "both"), "y").alias("k"))
-        here = here.join(known.hint("merge"), "key", "left")
-    blocks = in_blocks(here, percent, "root", "sketch", "k")
+    mixed = index.groupBy("list").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("list")
+    here = index.join(mixed.hint("merge"), "list").join(full.select("key", "sketch").hint("merge"), "key")
+    blocks = in_blocks(here, percent, "root", "sketch")
     parts = F.ceil(F.col("df") / (BLOCK_ENTRIES * TASK_BLOCKS))
-    a = blocks.select("token", F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("ia"), F.col("b").alias("ba"), F.col("entries").alias("ea"))
-    b = blocks.select("token", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("id").alias("ib"), F.col("b").alias("bb"), F.col("entries").alias("eb"))
-    pairs = a.join(b.hint("merge"), ["token", "part"]).where((F.col("ia") <= F.col("ib")) & _reach("ba", "bb", percent, (_BLOCK, _BLOCK)))
-    pairs = pairs.select("ia", "ib", F.explode("ea").alias("x"), "eb").select("ia", "ib", "x", F.explode("eb").alias("y"))
+    a = blocks.select("list", F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("ia"), F.col("b").alias("ba"), F.col("entries").alias("ea"))
+    b = blocks.select("list", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("id").alias("ib"), F.col("b").alias("bb"), F.col("entries").alias("eb"))
+    apart = F.coalesce(F.col("ia.pivot") != F.col("ib.pivot"), F.lit(True))
+    pairs = a.join(b.hint("merge"), ["list", "part"]).where((F.col("ia") <= F.col("ib")) & apart & _reach("ba", "bb", percent, (_BLOCK, _BLOCK)))
+    pairs = pairs.select("list", "ia", "ib", F.explode("ea").alias("x"), "eb").select("list", "ia", "ib", "x", F.explode("eb").alias("y"))
     nx, ny = F.col("x.n"), F.col("y.n")
-    apart = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
-    same = F.coalesce(F.col("x.k.y") == F.col("y.k.y"), F.lit(False))
-    low = F.when(same, F.col("x.k.both") + F.col("y.k.both") - F.col("x.k.ny")).otherwise(F.lit(0))
-    high = F.when(same, F.least("x.k.both", "y.k.both") + F.least(nx - F.col("x.k.both"), ny - F.col("y.k.both"))).otherwise(F.least(nx, ny))
+    bits = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
     once = F.col("x.key") != F.col("y.key")
     once &= (F.col("ia") != F.col("ib")) | (F.col("x.key") < F.col("y.key"))
-    may = once & differ & _reach("x", "y", percent) & (apart <= nx + ny - 2 * _need(nx, ny, percent)) & _linked(high, nx, ny, percent)
+    may = once & differ & _reach("x", "y", percent) & (bits <= nx + ny - 2 * _need(nx, ny, percent))
     swap = F.col("x.key") > F.col("y.key")
     first, second = F.when(swap, F.struct("y.key", "y.n")).otherwise(F.struct("x.key", "x.n")), F.when(swap, F.struct("x.key", "x.n")).otherwise(F.struct("y.key", "y.n"))
-    out = pairs.where(may).select(first.alias("f"), second.alias("s"), _linked(low, nx, ny, percent).alias("derived")).select(F.col("f.key").alias("x"), F.col("f.n").alias("nx"), F.col("s.key").alias("y"), F.col("s.n").alias("ny"), "derived").distinct()
-    if compared is None:
-        return out
-    done = compared.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    return out.join(done.hint("shuffle_hash"), ["x", "y"], "left_anti")
+    return pairs.where(may).select(first.alias("f"), second.alias("s")).select(F.col("f.key").alias("x"), F.col("f.n").alias("nx"), F.col("s.key").alias("y"), F.col("s.n").alias("ny")).distinct()
 
 
 def _classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -372,8 +403,8 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     _, one, classes, reps = _classes(docs, width, percent)
     full, index = _index(docs, reps, "text", width, percent)
-    rest = table(_undecided(index.withColumn("root", F.col("key")), None, full, percent, F.lit(True)), "undecided")
-    got = _edges(_verify(rest.select("x", "nx", "y", "ny"), full), percent).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    plain = _plain(index).withColumns({"pivot": F.lit(None).cast(index.schema["key"].dataType), "root": F.col("key")})
+    got = _edges(_verify(table(_undecided(plain, full, percent, F.lit(True)), "undecided"), full), percent).select(F.col("a").alias("x"), F.col("b").alias("y"))
     hot = classes.where(F.col("members") >= max(1000, one.count() // 1000)).select("n", "s1", "s2")
     members = join_hot(one, classes.select("n", "s1", "s2", F.col("key").alias("representative")), ["n", "s1", "s2"], hot)
     return got, members.select(F.col("key").alias(key), "representative")
