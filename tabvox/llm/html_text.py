@@ -3,8 +3,9 @@
 One pass keeps the stack of open elements, opening and closing those that the page leaves out, and
 writes visible text to a canvas: blocks on lines of their own with blank lines around paragraphs,
 list items behind bullets or numbers, table cells in aligned columns. Text is visible unless an open
-element hides it (by kind, `hidden`, or display and visibility of its style). Nothing recurses, so
-nesting may be as deep as a page likes.
+element hides it: by kind, `hidden` or display none, with all that is in it, or by visibility, until an
+element in it is made visible again. Nothing recurses or looks through the open elements, so the time
+grows with the page however deep it nests; a tag that never ends swallows the rest, as in browsers.
 """
 
 from __future__ import annotations
@@ -36,9 +37,15 @@ ENDS = {
     "body": (("head",), ()),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|</[^a-zA-Z][^>]*>?", re.S)
+#: A tag's name, and the rest of it: quotes count only after an equals sign, and only if they are closed.
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_GONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
+#: Columns that nested lists and quotes may indent a line by.
+MOST_INDENT = 60
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HEAD = frozenset("html head title meta link base script style noscript template".split())
 
@@ -89,13 +96,13 @@ class Canvas:
         if self.lines and self.margin and self.lines[-1]:
             self.lines += [""] * self.margin
         self.margin = 0
-        lead = " " * self.indent
+        lead = " " * min(self.indent, MOST_INDENT)
         if self.bullet:
             lead = lead[: max(0, len(lead) - len(self.bullet))] + self.bullet
             self.bullet = ""
         for line in lines:
             self.lines.append((lead + line) if line else "")
-            lead = " " * self.indent
+            lead = " " * min(self.indent, MOST_INDENT)
 
     def block(self, margin: int) -> None:
         self.flush()
@@ -108,69 +115,110 @@ class Canvas:
         return self.lines
 
 
-def lay_out(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: cells side by side, each column as wide as its widest cell of one column."""
-    widths: list[int] = []
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            widths += [0] * (at + span - len(widths))
-            if span == 1:
-                widths[at] = max([widths[at], *map(width, lines)])
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int, int]]]:
+    """The cells of each row as (lines, first column, column after): below a cell of several rows its columns stay free."""
+    held, out = [], []  # (first column, column after, row after) of such cells
+    for r, row in enumerate(rows):
+        held, at, k, made = [x for x in held if x[2] > r], 0, 0, []
+        taken = sorted(held)
+        for lines, span, down in row:
+            while k < len(taken) and taken[k][0] <= at:
+                at = max(at, taken[k][1])
+                k += 1
+            made.append((lines, at, at + span))
+            if down > 1:
+                held.append((at, at + span, r + down))
             at += span
+        out.append(made)
+    return out
+
+
+def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table of cells (lines, columns, rows): side by side, each column as wide as its widest cell of one column."""
+    placed = _placed(rows)
+    # only columns where a cell begins or ends count, however many a cell spans
+    edges = sorted({x for row in placed for _, a, z in row for x in (a, z)})
+    number = {x: i for i, x in enumerate(edges)}
+    widths = [0] * len(edges)
+    for row in placed:
+        for lines, a, z in row:
+            if number[z] == number[a] + 1:
+                widths[number[a]] = max([widths[number[a]], *map(width, lines)])
+    begin = [0]  # where each column begins, two blanks after the one before
+    for w in widths:
+        begin.append(begin[-1] + w + 2)
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at, owed = "", 0, 0
-            for lines, span in row:
+    for row in placed:
+        for i in range(max((len(lines) for lines, _, _ in row), default=0)):
+            line, used = [], 0
+            for lines, a, z in row:
                 text = lines[i] if i < len(lines) else ""
-                room = sum(widths[at : at + span]) + 2 * (span - 1)
-                line += " " * owed + text
-                owed = max(0, room - width(text)) + 2
-                at += span
-            out.append(line.rstrip(" "))
+                if text:
+                    gap = begin[number[a]] - used if used <= begin[number[a]] else 2
+                    line.append(" " * gap + text)
+                    used += gap + width(text)
+            out.append("".join(line).rstrip(" "))
     return out
 
 
 class Renderer:
-    """The stack of open elements and the canvases of the cells among them."""
+    """The open elements, where each kind of them is open, and the canvases of the cells among them."""
 
     def __init__(self):
-        self.open: list[tuple] = []  # (tag, hides, preformatted, state)
+        self.open: list[tuple] = []  # (tag, hides, preformatted, unseen before, state); state is False in a hidden element
+        self.where: dict[str, list[int]] = {}
+        self.lists: list[tuple[str, list]] = []
         self.canvas = [Canvas()]
         self.tables: list[list] = []
-        self.hidden = self.pre = 0
+        self.gone = self.pre = 0
+        self.unseen = False
 
     # -- the stack --
 
+    def _nearest(self, tags) -> int:
+        """Place of the innermost open element of one of tags, -1 if none is open."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def _spaced(self, tag: str) -> bool:
+        return tag in SPACED and not (tag in LISTS and self.where.get("li"))
+
     def _push(self, tag: str, attributes: str) -> None:
-        hides = tag in HIDDEN
-        got = {}
+        hides, before, got = tag in HIDDEN, self.unseen, {}
         if attributes and ("hidden" in (low := attributes.lower()) or "style" in low or tag in ("ol", "li", "td", "th", "dialog")):
             got = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(attributes)))}
-            hides |= "hidden" in got or bool(_GONE.search(got.get("style", "")))
+            style = got.get("style", "")
+            hides |= "hidden" in got or bool(_NONE.search(style))
+            seen = _SEEN.findall(style)
+            self.unseen = seen[-1].lower() != "visible" if seen else self.unseen
         hides |= tag == "dialog" and "open" not in got
+        pre = tag in ("pre", "textarea", "xmp")
+        self.gone += hides
+        self.pre += pre
+        state = False if self.gone else self._begin(tag, got)
+        self.where.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, hides, pre, before, state))
+
+    def _begin(self, tag: str, got: dict[str, str]):
+        """What the beginning of an element does to the canvas; what its end needs to know."""
         state = None
         if tag in BLOCK:
-            self.canvas[-1].block(tag in SPACED and not (tag in LISTS and any(t[0] == "li" for t in self.open)))
+            self.canvas[-1].block(self._spaced(tag))
         c = self.canvas[-1]
         if tag in LISTS:
             start = got.get("start", "")
-            state = [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, c.indent]
-            c.indent += 2 if tag != "ol" else 4
+            self.lists.append((tag, [int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]))
+            state, c.indent = c.indent, c.indent + (2 if tag != "ol" else 4)
         elif tag == "li":
-            near = next((t for t in reversed(self.open) if t[0] in LISTS), None)
-            if near and near[0] == "ol":
+            if self.lists and self.lists[-1][0] == "ol":
+                number = self.lists[-1][1]
                 if re.fullmatch(r"-?\d{1,9}", got.get("value", "")):
-                    near[3][0] = int(got["value"])
-                c.bullet = f"{near[3][0]}. ".rjust(4)
-                near[3][0] += 1
+                    number[0] = int(got["value"])
+                c.bullet = f"{number[0]}. ".rjust(4)
+                number[0] += 1
             else:
                 c.bullet = "* "
-                state = None
-                if not near:
-                    state = c.indent
-                    c.indent += 2
+                if not self.lists:
+                    state, c.indent = c.indent, c.indent + 2
         elif tag in ("blockquote", "dd"):
             state, c.indent = c.indent, c.indent + 4
         elif tag == "table":
@@ -178,55 +226,49 @@ class Renderer:
         elif tag == "tr" and self.tables:
             self.tables[-1].append([])
         elif tag in CELLS:
-            span = got.get("colspan", "")
-            state = min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1
+            span, down = got.get("colspan", ""), got.get("rowspan", "")
+            state = (min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1, 65534 if down == "0" else int(down) if re.fullmatch(r"[1-9]\d{0,4}", down) else 1)
             self.canvas.append(Canvas())
-        pre = tag in ("pre", "textarea", "xmp")
-        self.hidden += hides
-        self.pre += pre
-        self.open.append((tag, hides, pre, state))
+        return state
 
     def _pop(self) -> None:
-        tag, hides, pre, state = self.open.pop()
+        tag, hides, pre, before, state = self.open.pop()
+        self.where[tag].pop()
+        self.gone -= hides
+        self.pre -= pre
+        self.unseen = before
+        if state is False:
+            return
         if tag in CELLS:
             lines = self.canvas.pop().done()
             if tag == "caption":
                 self.canvas[-1].block(0)
                 self.canvas[-1].put(lines) if lines else None
             elif self.tables and self.tables[-1]:
-                self.tables[-1][-1].append((lines, state))
+                self.tables[-1][-1].append((lines, *state))
         elif tag == "table":
             lines = lay_out(self.tables.pop())
-            if any(lines) and not self.hidden - hides:
+            if any(lines):
                 self.canvas[-1].put(lines)
         c = self.canvas[-1]
         if tag in BLOCK:
-            c.block(tag in SPACED and not (tag in LISTS and any(t[0] == "li" for t in self.open)))
+            c.block(self._spaced(tag))
         if tag in LISTS:
-            c.indent = state[1]
+            self.lists.pop()
+            c.indent = state
         elif tag in ("blockquote", "dd") or tag == "li":
             c.bullet = ""
             c.indent = c.indent if state is None else state
-        self.hidden -= hides
-        self.pre -= pre
 
     def _close(self, tags: tuple, until: tuple) -> None:
         """Close the nearest of tags, if it is nearer than any of until, with all that is open in it."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if self.open[i][0] in until:
-                return
+        at = self._nearest(tags)
+        if at > self._nearest(until):
+            while len(self.open) > at:
+                self._pop()
 
     def _inside(self, tag: str, until: tuple) -> bool:
-        for t in reversed(self.open):
-            if t[0] == tag:
-                return True
-            if t[0] in until:
-                return False
-        return False
+        return self._nearest((tag,)) > self._nearest(until)
 
     # -- tokens --
 
@@ -249,10 +291,11 @@ class Renderer:
         if tag in ("tr", *GROUPS, "caption") and not self._inside("table", CELLS):
             return
         if tag == "br":
-            if not self.hidden:
+            if not self.gone and not self.unseen:
                 self.canvas[-1].line_break()
         elif tag == "hr":
-            self.canvas[-1].block(1)
+            if not self.gone:
+                self.canvas[-1].block(1)
         elif tag not in VOID and not (closed and tag in ("svg", "math")):
             self._push(tag, attributes)
 
@@ -260,7 +303,8 @@ class Renderer:
         if tag == "br":
             self.start("br", "", False)
         elif tag == "p" and not self._inside("p", ("table", *CELLS, "button")):
-            self.canvas[-1].block(1)
+            if not self.gone:
+                self.canvas[-1].block(1)
         elif tag in ("html", "body"):
             pass
         elif tag in ("table", "tr", *GROUPS, *CELLS):
@@ -269,7 +313,7 @@ class Renderer:
             self._close((tag,), ("table", *CELLS) if tag not in CELLS else ("table",))
 
     def text(self, raw: str) -> None:
-        if self.hidden or not raw:
+        if self.gone or self.unseen or not raw:
             return
         if self.open and self.open[-1][0] in ("table", "tr", *GROUPS):
             if raw.strip():  # text between cells comes before the table
@@ -285,23 +329,28 @@ def render(page: str | None) -> str:
         return ""
     r, at = Renderer(), 0
     page = page.replace("\0", "")
-    while True:
-        m = _TOKEN.search(page, at)
-        if not m:
-            r.text(page[at:])
-            break
-        if m.start() > at:
-            r.text(page[at : m.start()])
-        at, tag = m.end(), m[1]
-        if not tag:
+    while at < len(page):
+        open_ = page.find("<", at)
+        if open_ < 0 or open_ > at:
+            r.text(page[at:open_] if open_ > at else page[at:])
+            if open_ < 0:
+                break
+        name = _NAME.match(page, open_)
+        if not name:
+            at = _other(page, open_)
+            if at == open_ + 1:
+                r.text("<")
             continue
-        tag = tag.lower()
-        if page.startswith("</", m.start()):
+        rest = _REST.match(page, name.end())
+        if not rest:
+            break
+        at, tag, attributes = rest.end(), name[1].lower(), rest[1]
+        if page[open_ + 1] == "/":
             r.end(tag)
             continue
-        r.start(tag, m[2], bool(m[3]))
+        r.start(tag, attributes, attributes.endswith("/"))
         if tag in RAW and r.open and r.open[-1][0] == tag:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            close = _CLOSING[tag].search(page, at)
             stop, after = (close.start(), close.end()) if close else (len(page), len(page))
             if tag == "textarea":
                 r.text(page[at:stop])
@@ -312,6 +361,18 @@ def render(page: str | None) -> str:
     return "\n".join(r.canvas[0].done())
 
 
+def _other(page: str, at: int) -> int:
+    """The end of a comment, declaration or bogus closing tag at a `<`; just after it if it is none."""
+    if page.startswith("<!--", at):
+        ends = [page.find(x, at + 4) for x in ("-->", "--!>")] if not page.startswith(("<!-->", "<!--->"), at) else [page.index(">", at) - 2]
+        found = [(x, n) for x, n in zip(ends, (3, 4), strict=False) if x >= 0]
+        return sum(min(found)) if found else len(page)
+    if page.startswith(("<!", "<?"), at) or (page.startswith("</", at) and len(page) > at + 2):
+        end = page.find(">", at)
+        return end + 1 if end >= 0 else len(page)
+    return at + 1
+
+
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """pages with html replaced by text. Null and empty pages give an empty text; other columns stay."""
     rest = [c for c in pages.columns if c not in (html_column, "text")]
