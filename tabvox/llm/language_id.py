@@ -101,15 +101,20 @@ def train(texts: list[str], languages: list[str], dim: int = 16, epochs: int = 6
     return Model(names, logits.astype(np.float32), bias.astype(np.float64), temperature)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 500, **settings) -> Model:
-    """Train on about per_language rows of each language, picked by a hash of the key."""
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 800, **settings) -> Model:
+    """Train on about per_language rows of each language, picked by a hash of key and text; equal texts count once.
+
+    The sample's size is bounded by per_language times the number of languages, but for chance. Rows
+    without a text or language are left out.
+    """
+    own = docs.select(F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t"), F.col(f"`{key}`").alias("k"))
+    known = own.where(F.col("l").isNotNull() & F.col("t").isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy("l").count().collect()}
     if not sizes:
         return train([], [])
     rate = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))])
-    picked = known.where(share(F.col(key), rate[F.col(lang)])).select(lang, text).limit(2 * per_language * len(sizes)).toArrow()
-    rows = sorted(zip(picked.column(lang).to_pylist(), picked.column(text).to_pylist(), strict=True))  # Spark may deliver them in any order
+    picked = known.where(share(F.struct("k", "t"), rate[F.col("l")])).groupBy("l", "t").agg(F.lit(1)).select("l", "t").toArrow()
+    rows = sorted(zip(picked.column("l").to_pylist(), picked.column("t").to_pylist(), strict=True))  # Spark may deliver them in any order
     return train([t for _, t in rows], [x for x, _ in rows], **settings)
 
 
@@ -137,21 +142,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text", reject_below: flo
     if not model.languages:
         return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = plus(docs.schema, ("__best", "int"), ("__score", "double"))
+    schema = plus(docs.schema, ("lang_pred", "int"), ("score", "double"))
 
     def run(batches):
         m = shared.value
         for part, buf, off in chunks(batches, text):
             p = score(m, buf, off)
             best = p.argmax(1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.int32()), pa.array(p[np.arange(len(best)), best])], [*part.schema.names, "__best", "__score"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.int32()), pa.array(p[np.arange(len(best)), best])], [*part.schema.names, "lang_pred", "score"])
 
     out = docs.mapInArrow(run, schema)
     letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     name = F.array(*[F.lit(x) for x in model.languages])
     return out.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(letter, F.element_at(name, F.col("__best") + 1)).otherwise(F.lit("und")).alias("lang_pred"),
-        F.when(letter, F.col("__score")).otherwise(F.lit(0.0)).alias("score"),
-        (~letter | (F.col("__score") < reject_below)).alias("rejected"),
+        F.when(letter, F.element_at(name, F.col("lang_pred") + 1)).otherwise(F.lit("und")).alias("lang_pred"),
+        F.when(letter, F.col("score")).otherwise(F.lit(0.0)).alias("score"),
+        (~letter | (F.col("score") < reject_below)).alias("rejected"),
     )

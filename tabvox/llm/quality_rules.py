@@ -83,11 +83,13 @@ def count(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """Different values of h within each text."""
-    pair = np.sort((mix(h) & np.uint64((1 << 44) - 1)) | (doc.astype(np.uint64) << np.uint64(44)))
-    first = np.ones(len(pair), bool)
-    first[1:] = pair[1:] != pair[:-1]
-    return np.bincount((pair[first] >> np.uint64(44)).astype(np.int64), minlength=n)
+    """Different values of h, by all 64 bits, within each text: two of a text's k lines or words clash with odds of k**2 / 2**65."""
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(doc[order], kind="stable")]
+    d, v = doc[order], h[order]
+    first = np.ones(len(d), bool)
+    first[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
+    return np.bincount(d[first], minlength=n)
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -215,18 +217,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     """Learn from the texts of docs that labels (key, label 1 good or 0 bad) marks.
 
     About max_rows of them, picked by a hash of key, are used: few enough to send their keys to every
-    task. Null keys and labels are left out; of a key's several labels the smallest counts. where, over
-    the counts, keeps rows that other rules decide out of the learning.
+    task. Null keys and labels are left out; of a key's several labels the smallest counts; equal rows
+    count once. where, over the counts, keeps rows that other rules decide out of the learning.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("label_"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     n = known.count()
     if not n:
         return []
-    picked = known.where(share(F.col(key), min(1.0, max_rows / n), 17)).limit(2 * max_rows)
-    got = statistics(docs.join(F.broadcast(picked), key).select(F.col(key).cast("string").alias("k"), "label_", F.col(text).alias("t")), "t")
+    picked = known.where(share(F.col("k"), min(1.0, max_rows / n), 17))
+    own = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    got = statistics(own.join(F.broadcast(picked), "k"), "t")
     got = got if where is None else got.where(where)
-    rows = got.select("k", "label_", *[c.alias(f) for f, c in features().items()]).toArrow().sort_by([("k", "ascending"), *((f, "ascending") for f in features())])
-    return learn({f: rows.column(f).to_numpy() for f in features()}, rows.column("label_").to_numpy() == 0, **settings)
+    rows = got.select(F.col("k").cast("string"), "y", *[c.alias(f) for f, c in features().items()]).distinct().toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in rows.column_names])
+    return learn({f: rows.column(f).to_numpy() for f in features()}, rows.column("y").to_numpy() == 0, **settings)
 
 
 def verdict(rules: list[Rule]) -> Column:

@@ -100,8 +100,12 @@ class Index:
         return np.interp(votes, *self.knots)
 
 
-def select(texts: pa.Array, toxic: np.ndarray, least: float = 40.0, at_least: int = 6) -> np.ndarray:
-    """Terms whose presence depends on the class: likelihood ratio statistic of at least `least`."""
+def select(texts: pa.Array, toxic: np.ndarray, least: float = 10.83, at_least: int = 4) -> np.ndarray:
+    """Terms whose presence depends on the class: likelihood ratio statistic of at least `least`.
+
+    10.83 is the 0.999 quantile of its distribution for a term that doesn't. Other terms would only make
+    texts of one topic near each other, whatever their class.
+    """
     held, first = [], 0
     for _, buf, off in chunks([pa.RecordBatch.from_arrays([texts], ["text"])], limit=1 << 20):
         h, doc = terms(buf, off)
@@ -183,21 +187,23 @@ def isotonic(x, y, w) -> tuple[np.ndarray, np.ndarray]:
     return px, np.clip(py, 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_examples: int = 1500, k: int = 16) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_examples: int = 2000, k: int = 16) -> Index:
     """Build the index from the texts of docs that labels (key, label 0 or 1) marks.
 
     At most about max_examples rows of each class, picked by a hash of key, are the examples: few
     enough to be sent to every task. Document frequencies of the terms are counted over all rows of
-    docs. Null keys and labels are left out; of a key's several labels the largest counts.
+    docs. Null keys and labels are left out; of a key's several labels the largest counts, of its several
+    texts the smallest. Other columns of docs don't matter.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max(label) > 0).cast("int").alias("y"))
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.max(label) > 0).cast("int").alias("y"))
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     empty = Index(np.zeros(0, np.uint64), np.zeros(0))
     if not sizes:
         return empty
     rates = {y: min(1.0, max_examples / n) for y, n in sizes.items()}
-    picked = known.where(share(F.col(key), F.when(F.col("y") > 0, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0))), 13)).limit(4 * max_examples)
-    rows = docs.join(F.broadcast(picked), key).select(F.col(key).cast("string").alias("k"), "y", F.coalesce(F.col(text), F.lit("")).alias("t")).limit(4 * max_examples)
+    picked = known.where(share(F.col("k"), F.when(F.col("y") > 0, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0))), 13))
+    own = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    rows = own.join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t")).select(F.col("k").cast("string"), "y", "t")
     rows = rows.toArrow().sort_by([("k", "ascending"), ("y", "ascending"), ("t", "ascending")])
     texts = pa.concat_arrays([c.cast(pa.large_string()) for c in rows.column("t").chunks]) if rows.num_rows else pa.array([], pa.large_string())
     toxic = rows.column("y").to_numpy().astype(int)
