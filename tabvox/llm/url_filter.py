@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabvox.llm.textbytes import table
+from tabvox.llm.textbytes import join_hot, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
@@ -56,11 +56,13 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return rows.where("a <> ''").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 15, damping: float = 0.85) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = 1e-4, damping: float = 0.85) -> DataFrame:
     """(host, trust, distrust) of hosts that either reaches.
 
     edges (a, b, n); seeds (host, trust, distrust): weights that are scaled to sum to 1. Both kinds
-    run in one table. Mass of hosts without links on goes back to the seeds.
+    run in one table. Mass of hosts without links on goes back to the seeds. Rounds go on until the
+    ranks move by tolerance or less in sum; each round leaves at most the damping's share of the
+    distance, so the number of rounds is bounded by the two.
     """
     scale = seeds.agg(F.sum("trust"), F.sum("distrust")).first()
     jump = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("trust") / F.lit(float(scale[0] or 1))).alias("jump")), F.struct(F.lit("distrust").alias("kind"), (F.col("distrust") / F.lit(float(scale[1] or 1))).alias("jump")))).alias("s"))
@@ -68,38 +70,46 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 15, damping: flo
     both = edges.select("a", "b", "n", F.lit("trust").alias("kind")).union(edges.select("b", "a", "n", F.lit("distrust")))
     out = both.groupBy("kind", "a").agg(F.sum("n").alias("total"))
     steps = table(both.join(out.hint("shuffle_hash"), ["kind", "a"]).select("kind", F.col("a").alias("host"), "b", (F.col("n") / F.col("total")).alias("w")), "steps")
-    rank = jump.withColumnRenamed("jump", "rank")
-    if not steps.isEmpty():
-        for i in range(rounds):
-            moved = rank.join(steps.hint("merge"), ["kind", "host"]).groupBy("kind", F.col("b").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("w"))).alias("moved"))
-            lost = {k: 1.0 - (s or 0.0) for k, s in moved.groupBy("kind").agg(F.sum("moved")).collect()}  # one number for each kind
-            back = F.when(F.col("kind") == "trust", F.lit(lost.get("trust", 1.0))).otherwise(F.lit(lost.get("distrust", 1.0)))
-            rank = moved.join(jump.hint("merge"), ["kind", "host"], "full").select("kind", "host", (F.coalesce("moved", F.lit(0.0)) + F.coalesce(F.col("jump") * back, F.lit(0.0))).alias("rank"))
-            rank = table(rank, "rank")
+    # without the mass of hosts that have no links on, ranks are the same but for their scale
+    rank = jump.select("kind", "host", F.col("jump").alias("rank"))
+    moves = 0.0 if steps.isEmpty() else 1.0
+    while moves > tolerance:
+        moved = rank.join(steps.hint("merge"), ["kind", "host"]).groupBy("kind", F.col("b").alias("host")).agg((damping * F.sum(F.col("rank") * F.col("w"))).alias("moved"))
+        parts = moved.select("kind", "host", F.col("moved").alias("rank"), F.lit(0.0).alias("before")).union(jump.select("kind", "host", (1 - damping) * F.col("jump"), F.lit(0.0))).union(rank.select("kind", "host", F.lit(0.0), "rank"))
+        rank = table(parts.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "rank")
+        moves = rank.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+        rank = rank.drop("before")
+    total = rank.groupBy("kind").agg(F.sum("rank").alias("total"))  # a row for each kind
+    rank = rank.join(F.broadcast(total), "kind").withColumn("rank", F.col("rank") / F.col("total"))
     return rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "html", rounds: int = 15, seed_share: float = 0.5, block_share: float = 0.6) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "html", tolerance: float = 1e-4, seed_share: float = 0.5, block_share: float = 0.6) -> DataFrame:
     """pages without html, with host, path, rule, verdict, trust and distrust.
 
     rules: (host, path, verdict allow or block); a rule fits its host and all subdomains if the path
     begins with the rule's; the longest wins. Without one the host's trust decides; hosts that neither
     reaches are allowed. Null urls have an empty host and path. Columns of pages by these names are
-    replaced, all others stay.
+    replaced, all others stay, whatever their names; repeated pages count as often as they come.
     """
     made = ["host", "path", "rule", "verdict", "trust", "distrust"]
-    pages = pages.drop(*made)
-    here = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    hosts = here.where("host <> ''").select("host").distinct()
-    fits = table(rules_of_hosts(hosts, rules), "rules")
-    ruled = lambda df: df.join(fits.hint("merge"), "host", "left").withColumn("r", best_rule(F.col("rules"), F.col("path")))
+    rest = [c for c in pages.columns if c not in (*made, html)]
+    # users' columns go along as one, so that no name clashes
+    here = pages.select(F.struct(*([F.col(f"`{c}`") for c in rest] or [F.lit(0)])).alias("row"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    paths = table(here.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")), "paths")
+    sizes = paths.groupBy("host").agg(F.sum("n").alias("pages"), F.count("*").alias("paths"))
+    fits = table(sizes.select("host", "pages", "paths").join(rules_of_hosts(sizes, rules).hint("merge"), "host", "left"), "rules")
+    total = fits.agg(F.sum("pages"), F.sum("paths")).first()
+    many = lambda c, n: fits.where(F.col(c) >= max(1000, (n or 0) // 1000)).select("host")
     # pages of a host with equal paths are counted once before the join
-    counted = ruled(here.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))).groupBy("host").agg(*[F.sum(F.when(F.col("r.verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")], F.sum("n").alias("pages"))
+    ruled = join_hot(paths, fits.select("host", "rules"), ["host"], many("paths", total[1])).withColumn("verdict", best_rule(F.col("rules"), F.col("path"))["verdict"])
+    counted = ruled.groupBy("host").agg(*[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")], F.sum("n").alias("pages"))
     seeds = counted.select("host", F.when(F.col("allow") > seed_share * F.col("pages"), F.col("allow")).otherwise(0).alias("trust"), F.when(F.col("block") > seed_share * F.col("pages"), F.col("block")).otherwise(0).alias("distrust"))
-    ranks = propagate(table(links(pages, url, html), "links"), seeds, rounds)
-    state = fits.join(ranks.hint("merge"), "host", "full")
-    out = here.drop(html).join(state.hint("merge"), "host", "left").withColumn("r", best_rule(F.col("rules"), F.col("path")))
+    ranks = propagate(table(links(pages, url, html), "links"), table(seeds.where("trust + distrust > 0"), "seed-hosts"), tolerance)
+    state = table(fits.select("host", "rules").join(ranks.hint("merge"), "host", "left"), "hosts")
+    hot = many("pages", total[0]).union(pages.sparkSession.createDataFrame([("",)], "host string"))
+    out = join_hot(here, state, ["host"], hot).withColumn("found", best_rule(F.col("rules"), F.col("path")))
     mass = F.col("trust") + F.col("distrust")
     blocked = F.coalesce((mass > 0) & (F.col("distrust") >= block_share * mass), F.lit(False))
-    rest = [c for c in pages.columns if c != html]
-    return out.select(*[F.col(f"`{c}`") for c in rest], "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    verdict = F.coalesce(F.col("found.verdict"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in rest], "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -215,15 +215,38 @@ def test_jaccard_odd_rows(odd):
 def test_url_rules_and_propagation(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x", '<a href="http://b.com/">'), (2, "http://B.com/", "<a href='//c.com/z'>"), (3, "http://c.com?q", "x"), (4, "http://s.net/", "y"), (5, "http://e.com/", "<A class=k HREF=http://s.net/q>"), (6, None, None), (7, "no scheme", "z"), (8, "http://t.s.net/en/1#f", "")], "page_id int, url string, html string").withColumn("rule", F.lit("clash"))
     rules = spark.createDataFrame([("a.com", "/", "allow"), ("net", "/", "block"), ("s.net", "/en/", "allow")], "host string, path string, verdict string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, rules).collect()}
+    clash = ("r", "rules", "found", "pages", "hot_", "n")
+    out = url_filter.judge(pages.withColumns({c: F.lit("mine") for c in clash}), rules).collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out}
     assert got[1] == ("a.com", "/x", "a.com/", "allow") and got[2] == ("b.com", "/", None, "allow")
     assert got[4][2:] == ("net/", "block") and got[8] == ("t.s.net", "/en/1", "s.net/en/", "allow")
     assert got[5][2:] == (None, "block") and got[6] == ("", "", None, "allow") and got[7][:2] == ("", "")
-    ranks = {r["page_id"]: (r["trust"], r["distrust"]) for r in url_filter.judge(pages, rules).collect()}
+    ranks = {r["page_id"]: (r["trust"], r["distrust"]) for r in out}
     assert ranks[1][0] > ranks[2][0] > ranks[3][0] > 0 and ranks[5][1] > 0
+    assert all(r[c] == "mine" for r in out for c in clash)
     assert url_filter.judge(pages.where("false"), rules).count() == 0
 
 
+def test_ranks_are_a_dense_personalised_pagerank(spark):
+    rng = np.random.default_rng(5)
+    n, seeds = 12, [0, 3]
+    links = {(int(a), int(b)): int(rng.integers(1, 5)) for a, b in rng.integers(0, n - 2, (30, 2)) if a != b}
+    w = np.zeros((n, n))
+    for (a, b), k in links.items():
+        w[a, b] = k
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", k) for (a, b), k in links.items()], "a string, b string, n long")
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, spark.createDataFrame([("h0", 2, 0), ("h3", 1, 1)], "host string, trust int, distrust int")).collect()}
+    for kind, matrix, jump in ((0, w, {0: 2 / 3, 3: 1 / 3}), (1, w.T, {3: 1.0})):
+        p = np.array([jump.get(i, 0.0) for i in range(n)])
+        m = matrix / np.maximum(matrix.sum(1, keepdims=True), 1)
+        rank = p.copy()
+        for _ in range(300):
+            moved = 0.85 * rank @ m
+            rank = moved + (1 - moved.sum()) * p
+        for i in range(n):
+            assert got.get(f"h{i}", (0.0, 0.0))[kind] == pytest.approx(rank[i], abs=1e-3)
+
+
 # ---- decontamination
 
 
