@@ -24,9 +24,9 @@ def connected(edges: DataFrame) -> DataFrame:
         hot = max(1000, state[0] // 1000)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both.where("b > a"), least.select("a", "m"), ["a"], least.where(F.col("n") >= hot).select("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_hot(both.where("b > a"), least.select("a", "m"), ["a"], least.where(F.col("n") >= hot).select("a"), 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        down = join_hot(large, least.select("a", "m"), ["a"], least.where(F.col("n") >= hot).select("a"))
+        down = join_hot(large, least.select("a", "m"), ["a"], least.where(F.col("n") >= hot).select("a"), 2 * state[0])
         small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         now = table(small, "edges")
         before, state = state, _state(now)

@@ -388,8 +388,9 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
     own, one, classes, reps = _classes(docs, width, percent)
     labels = link_classes(docs, reps, "text", width, percent)
     of = table(classes.join(labels.hint("shuffle_hash"), "key", "left").select("n", "s1", "s2", F.coalesce("root", "key").alias("component"), "members"), "components")
-    hot = of.where(F.col("members") >= max(1000, own.count() // 1000)).select("n", "s1", "s2")
-    chosen = join_hot(one, of.drop("members"), ["n", "s1", "s2"], hot).select("key", "component")
+    total = own.count()
+    hot = of.where(F.col("members") >= max(1000, total // 1000)).select("n", "s1", "s2")
+    chosen = join_hot(one, of.drop("members"), ["n", "s1", "s2"], hot, total).select("key", "component")
     keyed = own.where("key IS NOT NULL").select("key", "n").join(chosen.hint("shuffle_hash"), "key", "left")
     nameless = own.where("key IS NULL").join(of.drop("members").hint("merge"), ["n", "s1", "s2"], "left").select("key", "n", "component")
     return keyed.union(nameless).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").cast(kind).alias("component_id"))
@@ -405,6 +406,7 @@ def links(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int =
     full, index = _index(docs, reps, "text", width, percent)
     plain = _plain(index).withColumns({"pivot": F.lit(None).cast(index.schema["key"].dataType), "root": F.col("key")})
     got = _edges(_verify(table(_undecided(plain, full, percent, F.lit(True)), "undecided"), full), percent).select(F.col("a").alias("x"), F.col("b").alias("y"))
-    hot = classes.where(F.col("members") >= max(1000, one.count() // 1000)).select("n", "s1", "s2")
-    members = join_hot(one, classes.select("n", "s1", "s2", F.col("key").alias("representative")), ["n", "s1", "s2"], hot)
+    total = docs.count()
+    hot = classes.where(F.col("members") >= max(1000, total // 1000)).select("n", "s1", "s2")
+    members = join_hot(one, classes.select("n", "s1", "s2", F.col("key").alias("representative")), ["n", "s1", "s2"], hot, total)
     return got, members.select(F.col("key").alias(key), "representative")

@@ -127,9 +127,13 @@ def owner(ranges: np.ndarray) -> np.ndarray:
 
 def gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """values[starts[0]:starts[0]+counts[0]], values[starts[1]:...] and so on, in one array."""
+    return values[ranges_of(starts, counts)]
+
+
+def ranges_of(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (counts[0] numbers), then those from starts[1], and so on."""
     ends = np.cumsum(counts)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
-    return values[at]
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 def sums(values: np.ndarray, ranges: np.ndarray) -> np.ndarray:
@@ -184,14 +188,21 @@ def table(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
-def join_hot(rows, small, on: list[str], hot):
-    """rows LEFT JOIN small on columns on; small has one row a key.
+#: Up to so many rows, one task may take all rows of a key.
+ONE_TASK = 1_000_000
+
+
+def join_hot(rows, small, on: list[str], hot, total: int):
+    """rows (total of them) LEFT JOIN small on columns on; small has one row a key.
 
-    hot: keys that hold a fixed share of rows, so that their number is bounded by that share. Their rows
-    of small are broadcast, all others joined by shuffle: no key's rows are gathered in one task.
+    hot: keys that hold a thousandth of rows or more, so there are a thousand at most. If rows are too
+    many for one task, hot keys' rows of small are broadcast and all others joined by shuffle, so no
+    key's rows are gathered in one task.
     """
     from pyspark.sql import functions as F
 
+    if total <= ONE_TASK:
+        return rows.join(small.hint("shuffle_hash"), on, "left")
     tagged = rows.join(F.broadcast(hot.withColumn("hot_", F.lit(True))), on, "left")
     few = small.join(F.broadcast(hot), on, "left_semi")
     rare = tagged.where("hot_ IS NULL").drop("hot_").join(small.hint("shuffle_hash"), on, "left")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabvox.llm.textbytes import Hasher, chunks, letters_only, owner, plus, share, spans, sums
+from tabvox.llm.textbytes import Hasher, chunks, letters_only, owner, plus, ranges_of, share, spans, sums
 
 BLOCK = 32
 BEGINNINGS = (4, 5, 6, 7)
@@ -45,6 +45,7 @@ class Index:
     entry: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
     block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # (terms, blocks)
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.int64))  # where each block begins in a term's postings
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))  # weights of the examples of each entry
     clean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # an example's key for each entry
@@ -74,20 +75,33 @@ class Index:
     def nearest(self, term: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k entries of largest cosine with the query, exactly; ties go to the smaller entry."""
         bound = value @ self.block_max[term]
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        lo, hi = self.starts[term], self.starts[term + 1]
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best_s) == self.k and bound[b] < best_s[-1] - 1e-12):
-                break
-            got = np.zeros(BLOCK)
-            for t0, t1, v in zip(lo, hi, value, strict=True):
-                a, z = t0 + np.searchsorted(self.entry[t0:t1], [b * BLOCK, (b + 1) * BLOCK])
-                got[self.entry[a:z] - b * BLOCK] += v * self.weight[a:z]
-            some = np.flatnonzero(got)
-            e, s = np.concatenate([best_e, some + b * BLOCK]), np.concatenate([best_s, got[some]])
-            order = np.lexsort((e, -np.round(s, 12)))[: self.k]
-            best_e, best_s = e[order], s[order]
-        return best_e, best_s
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        # the blocks of the largest bounds first, then all others that may still hold one of the k
+        first = order[: 1 + self.k // BLOCK]
+        e, s = self._inside(term, value, first)
+        e, s = self._best(e, s)
+        rest = order[len(first) :]
+        if len(e) == self.k:
+            rest = rest[bound[rest] >= s[-1] - 1e-12]
+        if len(rest):
+            more_e, more_s = self._inside(term, value, rest)
+            e, s = self._best(np.concatenate([e, more_e]), np.concatenate([s, more_s]))
+        return e, s
+
+    def _best(self, e: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((e, -np.round(s, 12)))[: self.k]
+        return e[order], s[order]
+
+    def _inside(self, term: np.ndarray, value: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the blocks that share a term with the query, and their cosines."""
+        lo, hi = self.cuts[term][:, blocks], self.cuts[term][:, blocks + 1]
+        count = (hi - lo).ravel()
+        at = ranges_of(lo.ravel(), count)
+        slot = np.repeat(np.tile(np.arange(len(blocks)), len(term)) * BLOCK, count) + self.entry[at] % BLOCK
+        got = np.bincount(slot, self.weight[at] * np.repeat(np.repeat(value, len(blocks)), count), len(blocks) * BLOCK)
+        some = np.flatnonzero(got)
+        return blocks[some // BLOCK] * BLOCK + some % BLOCK, got[some]
 
     def vote(self, entry, sim, without: tuple[int, float, float] | None = None) -> float:
         toxic, clean = self.toxic[entry], self.clean[entry]
@@ -100,10 +114,10 @@ class Index:
         return np.interp(votes, *self.knots)
 
 
-def select(texts: pa.Array, toxic: np.ndarray, least: float = 10.83, at_least: int = 4) -> np.ndarray:
+def select(texts: pa.Array, toxic: np.ndarray, least: float = 19.51, at_least: int = 6) -> np.ndarray:
     """Terms whose presence depends on the class: likelihood ratio statistic of at least `least`.
 
-    10.83 is the 0.999 quantile of its distribution for a term that doesn't. Other terms would only make
+    19.51 is the 0.99999 quantile of its distribution for a term that doesn't. Other terms would only make
     texts of one topic near each other, whatever their class.
     """
     held, first = [], 0
@@ -157,7 +171,9 @@ def build(index: Index, texts: pa.Array, toxic, weights, keys) -> Index:
     t, e, v = (np.array([r[j] for r in rows], kind) for j, kind in ((0, np.int64), (1, np.int64), (2, float)))
     index.starts = np.searchsorted(t, np.arange(len(index.vocabulary) + 1))
     index.entry, index.weight = e, v
-    index.block_max = np.zeros((len(index.vocabulary), -(-max(1, len(by)) // BLOCK)))
+    n_blocks = -(-max(1, len(by)) // BLOCK)
+    index.cuts = np.searchsorted(t * (n_blocks + 1) + e // BLOCK, np.arange(len(index.vocabulary))[:, None] * (n_blocks + 1) + np.arange(n_blocks + 1)[None, :])
+    index.block_max = np.zeros((len(index.vocabulary), n_blocks))
     np.maximum.at(index.block_max, (t, e // BLOCK), v)
     seen = np.flatnonzero(~none)
     index.toxic = np.bincount(place[at[seen]], (weights * toxic)[seen], len(by))

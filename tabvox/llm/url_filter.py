@@ -102,13 +102,13 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     total = fits.agg(F.sum("pages"), F.sum("paths")).first()
     many = lambda c, n: fits.where(F.col(c) >= max(1000, (n or 0) // 1000)).select("host")
     # pages of a host with equal paths are counted once before the join
-    ruled = join_hot(paths, fits.select("host", "rules"), ["host"], many("paths", total[1])).withColumn("verdict", best_rule(F.col("rules"), F.col("path"))["verdict"])
+    ruled = join_hot(paths, fits.select("host", "rules"), ["host"], many("paths", total[1]), total[1] or 0).withColumn("verdict", best_rule(F.col("rules"), F.col("path"))["verdict"])
     counted = ruled.groupBy("host").agg(*[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")], F.sum("n").alias("pages"))
     seeds = counted.select("host", F.when(F.col("allow") > seed_share * F.col("pages"), F.col("allow")).otherwise(0).alias("trust"), F.when(F.col("block") > seed_share * F.col("pages"), F.col("block")).otherwise(0).alias("distrust"))
     ranks = propagate(table(links(pages, url, html), "links"), table(seeds.where("trust + distrust > 0"), "seed-hosts"), tolerance)
     state = table(fits.select("host", "rules").join(ranks.hint("merge"), "host", "left"), "hosts")
     hot = many("pages", total[0]).union(pages.sparkSession.createDataFrame([("",)], "host string"))
-    out = join_hot(here, state, ["host"], hot).withColumn("found", best_rule(F.col("rules"), F.col("path")))
+    out = join_hot(here, state, ["host"], hot, pages.count()).withColumn("found", best_rule(F.col("rules"), F.col("path")))
     mass = F.col("trust") + F.col("distrust")
     blocked = F.coalesce((mass > 0) & (F.col("distrust") >= block_share * mass), F.lit(False))
     verdict = F.coalesce(F.col("found.verdict"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))
