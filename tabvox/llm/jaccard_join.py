@@ -243,7 +243,13 @@ _BLOCK, _ENTRY = ("n0", "n1", "pos1", "rest1", "have1"), ("n", "n", "pos", "rest
 
 
 def in_blocks(index: DataFrame, percent: int, *carried: str, where: Column | None = None) -> DataFrame:
-    """The lists in blocks (list, id, b: bounds, df, entries) of like sizes, positions and knowledge; where chooses the entries that blocks keep."""
+    """The lists in blocks (list, id, b: bounds, df, entries) of like sizes, positions and knowledge.
+
+    A block's sets have one pivot, and one root (home) if they have found a link; where chooses the
+    entries that blocks keep.
+    """
+    index = index if "free" in index.columns else index.withColumn("free", F.lit(True))
+    home = F.when(~F.col("free"), F.col("root")).alias("home")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99))).alias("band")
     step = F.floor(F.log2(F.col("pos") + 1)).alias("step")
     end = F.floor(F.log2(F.col("rest") + 1)).alias("end")
@@ -252,7 +258,7 @@ def in_blocks(index: DataFrame, percent: int, *carried: str, where: Column | Non
     entry = F.struct("key", "n", "pos", "rest", "have", *carried)
     bounds = F.struct(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("pos1"), F.max("rest").alias("rest1"), F.max("have").alias("have1")).alias("b")
     kept = index if where is None else index.where(where)
-    return kept.groupBy("list", "pivot", band, step, end, more, salt).agg(bounds, F.max("df").alias("df"), F.collect_list(entry).alias("entries")).select("list", "pivot", F.struct("band", "step", "end", "more", "salt", "pivot").alias("id"), "b", "df", "entries")
+    return kept.groupBy("list", "pivot", home, band, step, end, more, salt).agg(bounds, F.max("df").alias("df"), F.collect_list(entry).alias("entries")).select("list", "pivot", F.struct("band", "step", "end", "more", "salt", "pivot", "home").alias("id"), "b", "df", "entries")
 
 
 def _plain(index: DataFrame) -> DataFrame:
@@ -352,7 +358,7 @@ def _undecided(index: DataFrame, full: DataFrame, percent: int, differ: Column)
     parts = F.ceil(F.col("df") / (BLOCK_ENTRIES * TASK_BLOCKS))
     a = blocks.select("list", F.pmod(F.xxhash64("id"), parts).alias("part"), F.col("id").alias("ia"), F.col("b").alias("ba"), F.col("entries").alias("ea"))
     b = blocks.select("list", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("id").alias("ib"), F.col("b").alias("bb"), F.col("entries").alias("eb"))
-    apart = F.coalesce(F.col("ia.pivot") != F.col("ib.pivot"), F.lit(True))
+    apart = F.coalesce(F.col("ia.pivot") != F.col("ib.pivot"), F.lit(True)) & F.coalesce(F.col("ia.home") != F.col("ib.home"), F.lit(True))
     pairs = a.join(b.hint("merge"), ["list", "part"]).where((F.col("ia") <= F.col("ib")) & apart & _reach("ba", "bb", percent, (_BLOCK, _BLOCK)))
     pairs = pairs.select("list", "ia", "ib", F.explode("ea").alias("x"), "eb").select("list", "ia", "ib", "x", F.explode("eb").alias("y"))
     nx, ny = F.col("x.n"), F.col("y.n")
