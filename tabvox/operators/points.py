@@ -140,19 +140,38 @@ def kmeans(df: DataFrame, features: list[str], k: int, seed: int = 1, iterations
     return model.transform(vectors).drop("__v"), model
 
 
-def silhouette(df: DataFrame, id: str, cluster: str, features: list[str]) -> DataFrame:
-    """(id, silhouette) by squared Euclidean distance: mean distances to a cluster follow from its sums, so no pair of points is made."""
-    sq = sum((F.col(f) * F.col(f) for f in features), F.lit(0.0))
-    c = df.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(sq).alias("s2"), *[F.sum(f).alias(f"s_{f}") for f in features])
-    sums = [r.asDict() for r in c.collect()]  # a row for each cluster
-    def mean(r, own):
-        total = F.lit(float(r["n"])) * sq + F.lit(float(r["s2"])) - 2 * sum((F.col(f) * F.lit(float(r[f"s_{f}"])) for f in features), F.lit(0.0))
-        return total / F.lit(float(max(1, r["n"] - 1 if own else r["n"])))
-
-    a = F.coalesce(*[F.when(F.col(cluster) == r[cluster], mean(r, True)) for r in sums])
-    b = F.array_min(F.array(*[F.when(F.col(cluster) != r[cluster], mean(r, False)) for r in sums]))
-    size = F.coalesce(*[F.when(F.col(cluster) == r[cluster], F.lit(r["n"])) for r in sums])
-    return df.select(id, F.when((size < 2) | b.isNull(), 0.0).otherwise((b - a) / F.greatest(a, b)).alias("silhouette"))
+def silhouette(df: DataFrame, id: str, cluster: str, features: list[str], block: int = 2000) -> DataFrame:
+    """(id, silhouette) by Euclidean distance, exactly; 0 in a cluster of one row or without a second cluster.
+
+    Rows are dealt into blocks of about `block`; each block meets each other one once and gives the sums of its rows'
+    distances by cluster, so no pair of rows leaves a task. Repeated ids count as one row with several places.
+    """
+    import numpy as np
+    import pandas as pd
+
+    n = max(1, -(-df.count() // block))
+    held = df.select(F.col(id).alias("id"), F.col(cluster).alias("c"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"), F.pmod(F.xxhash64(id), F.lit(n)).cast("int").alias("p"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def distances(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": a["id"][:0], "c": a["c"][:0], "other": a["c"][:0], "s": pd.Series(dtype=float)})
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
+        d = np.zeros((len(x), len(y)))
+        for f in range(x.shape[1]):  # by differences: exact for near points, unlike sums of products
+            d += (x[:, f, None] - y[None, :, f]) ** 2
+        kinds, place = np.unique(b["c"].to_numpy(), return_inverse=True)
+        total = np.sqrt(d) @ (place[:, None] == np.arange(len(kinds)))
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(kinds)), "c": np.repeat(a["c"].to_numpy(), len(kinds)), "other": np.tile(kinds, len(a)), "s": total.reshape(-1)})
+
+    kind = dict(held.dtypes)
+    left, right = held.withColumn("q", every), held.withColumnRenamed("p", "q").withColumn("p", every)
+    parts = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(distances, f"id {kind['id']}, c {kind['c']}, other {kind['c']}, s double")
+    sizes = held.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("n"))
+    sums = parts.groupBy("id", "c", "other").agg(F.sum("s").alias("s")).join(sizes.hint("shuffle_hash"), "other")
+    own = F.col("c") == F.col("other")
+    means = sums.groupBy("id").agg(F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, F.col("s") / F.greatest(F.lit(1), F.col("n") - 1))).alias("a"), F.min(F.when(~own, F.col("s") / F.col("n"))).alias("b"))
+    return means.select(F.col("id").alias(id), F.when((F.col("n") < 2) | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))).alias("silhouette"))
 
 
 def auto_k(df: DataFrame, features: list[str], id: str = "id", low: int = 2, high: int = 10, seed: int = 1) -> tuple[int, DataFrame]:

@@ -10,10 +10,9 @@ from tabvox.operators import points as P
 from tabvox.plans.base import query, rounded
 from tabvox.plans.joins import GRID, labels
 from tabvox.plans.pixels import PAIR, G, _flat, _pair
-from tabvox.plans.points import WIN, _nn, _points, _vectors
+from tabvox.plans.points import FEATURES, WIN, _nn, _points, _vectors
 from tabvox.sources.driver import role
 
-FEATURES = [f"f{i}" for i in range(8)]
 
 
 @query(f"WITH {GRID}, i AS (SELECT a.channel, a.label, count(*) n FROM labels a JOIN labels b ON a.channel=b.channel AND a.label=b.label AND abs(a.x-b.x)+abs(a.y-b.y)+abs(a.z-b.z)=1 GROUP BY 1,2), t AS (SELECT l.channel, l.label, count(*) AS volume, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS least, max(value) AS most, avg(l.z) AS z FROM labels l JOIN voxels v ON l.channel=v.channel AND l.z=v.z AND l.y=v.y AND l.x=v.x GROUP BY 1,2), f AS (SELECT t.*, 6*volume-coalesce(n,0) AS faces FROM t LEFT JOIN i USING (channel, label)) SELECT channel, label, volume, faces, round(pow(pi(),1/3.0::DOUBLE)*pow(6.0::DOUBLE*volume,2/3.0::DOUBLE)/faces,5) AS sphericity, round(36*pi()*volume*volume/pow(faces::DOUBLE,3),5) AS compactness, round(mean,4) AS mean, round(sd,3) AS sd, round(least,4) AS least, round(most,4) AS most, round(z,4) AS z FROM f")
@@ -26,7 +25,7 @@ def d34_object_features(spark, sf):
 @query()
 def i16_permutation_p(spark, sf):
     samples = role(spark, sf, "samples").withColumn("id", F.concat_ws("|", "subject", "condition"))
-    return C.permutation_p(samples, ["metric"], "id", "condition", "value", 49)
+    return C.permutation_p(samples, ["metric"], "id", "condition", "value")
 
 
 @query(f"{WIN} SELECT section, round(least(x1-x0,y1-y0)/4*i/10,5) AS radius FROM win JOIN range(1,11) q(i) ON true")
@@ -59,7 +58,7 @@ def k18_mark_correlation(spark, sf):
 
 @query()
 def k21_costes_p(spark, sf):
-    return C.chance_correlation(_pair(spark, sf), ["g"], rounds=49).drop("g")
+    return C.chance_correlation(_pair(spark, sf), ["g"]).drop("g")
 
 
 @query(f"{PAIR} SELECT CAST(y//8*8+x//8+1 AS BIGINT) AS label, count(*) AS n, round(sum(CASE WHEN b>30 THEN a ELSE 0 END)/sum(a),4) AS m1, round(sum(CASE WHEN a>30 THEN b ELSE 0 END)/sum(b),4) AS m2 FROM ab GROUP BY 1")

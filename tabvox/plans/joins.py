@@ -59,12 +59,15 @@ def c07_atlas_cascade(spark, sf):
     return J.cascade(q, "name", table, F.lower).select("c_custkey", "resolved")
 
 
-NEAR = f"{PTS}, a AS (SELECT * FROM points WHERE id % 3 = 0), b AS (SELECT * FROM points WHERE id % 3 = 1), d AS (SELECT a.section, a.id, b.id AS nearest, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS distance FROM a JOIN b ON a.section=b.section), m AS (SELECT *, row_number() OVER (PARTITION BY section, id ORDER BY distance, nearest) r FROM d)"
+#: Each point is on one side: clicks and views against all other events.
+SIDES = {"a": "coalesce(type IN ('click', 'view'), false)", "b": "NOT coalesce(type IN ('click', 'view'), false)"}
+
+NEAR = f"{PTS}, a AS (SELECT * FROM points WHERE {SIDES['a']}), b AS (SELECT * FROM points WHERE {SIDES['b']}), d AS (SELECT a.section, a.id, b.id AS nearest, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS distance FROM a JOIN b ON a.section=b.section), m AS (SELECT *, row_number() OVER (PARTITION BY section, id ORDER BY distance, nearest) r FROM d)"
 
 
 def _near(spark, sf):
     p = role(spark, sf, "points")
-    return S.nearest(p.where("id % 3 = 0"), p.where("id % 3 = 1"), ["section"], ["x", "y"], step=3.0)
+    return S.nearest(p.where(SIDES["a"]), p.where(SIDES["b"]), ["section"], ["x", "y"], step=3.0)
 
 
 @query(f"{NEAR} SELECT section, id, nearest, round(distance,4) AS distance FROM m WHERE r = 1")
@@ -74,28 +77,28 @@ def c08_nearest(spark, sf):
 
 @query(f"{NEAR} SELECT b.section, b.id, count(m.id) AS n FROM b LEFT JOIN m ON m.section=b.section AND m.nearest=b.id AND r = 1 GROUP BY 1, 2")
 def c09_closest_counts(spark, sf):
-    return S.closest_counts(_near(spark, sf), role(spark, sf, "points").where("id % 3 = 1"), ["section"])
+    return S.closest_counts(_near(spark, sf), role(spark, sf, "points").where(SIDES["b"]), ["section"])
 
 
 BOX = "floor(x*10) AS x0, floor(x*10)+id%30 AS x1, floor(y*10) AS y0, floor(y*10)+id%17 AS y1"
 
 
-def _boxes(spark, sf, k):
-    return role(spark, sf, "points").where(f"id % 3 = {k}").selectExpr("section", "id AS label", "cast(floor(x*10) as double) AS x0", "cast(floor(x*10)+id%30 as double) AS x1", "cast(floor(y*10) as double) AS y0", "cast(floor(y*10)+id%17 as double) AS y1")
+def _boxes(spark, sf, side):
+    return role(spark, sf, "points").where(SIDES[side]).selectExpr("section", "id AS label", "cast(floor(x*10) as double) AS x0", "cast(floor(x*10)+id%30 as double) AS x1", "cast(floor(y*10) as double) AS y0", "cast(floor(y*10)+id%17 as double) AS y1")
 
 
-BOXES = f"{PTS}, a AS (SELECT section, id AS label, {BOX} FROM points WHERE id%3=0), b AS (SELECT section, id AS label, {BOX} FROM points WHERE id%3=1), j AS (SELECT a.section, a.label, b.label AS partner, 100*(least(a.x1,b.x1)-greatest(a.x0,b.x0)+1)*(least(a.y1,b.y1)-greatest(a.y0,b.y0)+1)/((a.x1-a.x0+1)*(a.y1-a.y0+1)) AS pct FROM a JOIN b ON a.section=b.section AND a.x0<=b.x1 AND b.x0<=a.x1 AND a.y0<=b.y1 AND b.y0<=a.y1)"
+BOXES = f"{PTS}, a AS (SELECT section, id AS label, {BOX} FROM points WHERE {SIDES['a']}), b AS (SELECT section, id AS label, {BOX} FROM points WHERE {SIDES['b']}), j AS (SELECT a.section, a.label, b.label AS partner, 100*(least(a.x1,b.x1)-greatest(a.x0,b.x0)+1)*(least(a.y1,b.y1)-greatest(a.y0,b.y0)+1)/((a.x1-a.x0+1)*(a.y1-a.y0+1)) AS pct FROM a JOIN b ON a.section=b.section AND a.x0<=b.x1 AND b.x0<=a.x1 AND a.y0<=b.y1 AND b.y0<=a.y1)"
 
 
 @query(f"{BOXES}, m AS (SELECT *, row_number() OVER (PARTITION BY section, label ORDER BY pct DESC, partner) r FROM j) SELECT a.section, a.label, m.partner, round(coalesce(pct,0),4) AS pct FROM a LEFT JOIN m ON a.section=m.section AND a.label=m.label AND r=1")
 def c11_bbox_overlap(spark, sf):
-    return rounded(S.box_overlap(_boxes(spark, sf, 0), _boxes(spark, sf, 1), ["section"], {"x": 32.0, "y": 32.0}))
+    return rounded(S.box_overlap(_boxes(spark, sf, "a"), _boxes(spark, sf, "b"), ["section"], {"x": 32.0, "y": 32.0}))
 
 
-@query(f"{PTS}, b AS (SELECT section, id AS label, {BOX} FROM points WHERE id%3=1), a AS (SELECT section, id AS label, round(x*10) AS px, round(y*10) AS py FROM points WHERE id%3=0) SELECT a.section, a.label, min(b.label) AS box FROM a LEFT JOIN b ON a.section=b.section AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 GROUP BY 1, 2")
+@query(f"{PTS}, b AS (SELECT section, id AS label, {BOX} FROM points WHERE {SIDES['b']}), a AS (SELECT section, id AS label, round(x*10) AS px, round(y*10) AS py FROM points WHERE {SIDES['a']}) SELECT a.section, a.label, min(b.label) AS box FROM a LEFT JOIN b ON a.section=b.section AND px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1 GROUP BY 1, 2")
 def c12_point_in_box(spark, sf):
-    p = role(spark, sf, "points").where("id % 3 = 0").selectExpr("section", "id AS label", "x * 10 AS x", "y * 10 AS y")
-    return S.point_in_box(p, _boxes(spark, sf, 1), ["section"], {"x": 32.0, "y": 32.0})
+    p = role(spark, sf, "points").where(SIDES["a"]).selectExpr("section", "id AS label", "x * 10 AS x", "y * 10 AS y")
+    return S.point_in_box(p, _boxes(spark, sf, "b"), ["section"], {"x": 32.0, "y": 32.0})
 
 
 GRID = "voxels AS (SELECT l_returnflag AS channel, cast(l_linenumber as int) AS z, cast(l_orderkey % 64 as int) AS y, cast(l_partkey % 64 as int) AS x, avg(l_quantity) AS value FROM lineitem GROUP BY 1,2,3,4), labels AS (SELECT channel, z, y, x, CAST(floor(x/8.0)+8*floor(y/8.0)+1 AS INT) AS label FROM voxels WHERE value >= 25)"
@@ -136,14 +139,15 @@ def c16_box_fill(spark, sf):
     return rounded(S.box_fill(l.where("channel = 'R'").select("label", *[F.col(a).cast("double").alias(a) for a in "xyz"]), boxes, [], {"x": 8.0, "y": 8.0, "z": 8.0}))
 
 
-LINE_SEG = f"{PTS}, v AS (SELECT section, floor(id/40)%3 AS line, id AS seq, x, y FROM points WHERE id % 40 = 0), s AS (SELECT section, x px, y py, lead(x) OVER w qx, lead(y) OVER w qy, count(*) OVER (PARTITION BY section, line) n FROM v WINDOW w AS (PARTITION BY section, line ORDER BY seq)), g AS (SELECT section, px, py, coalesce(qx,px)-px dx, coalesce(qy,py)-py dy FROM s WHERE qx IS NOT NULL OR n=1)"
+LINE_SEG = f"{PTS}, v AS (SELECT section, {SIDES['a']} AS line, type AS seq, avg(x) AS x, avg(y) AS y FROM points GROUP BY ALL), s AS (SELECT section, x px, y py, lead(x) OVER w qx, lead(y) OVER w qy, count(*) OVER (PARTITION BY section, line) n FROM v WINDOW w AS (PARTITION BY section, line ORDER BY seq)), g AS (SELECT section, px, py, coalesce(qx,px)-px dx, coalesce(qy,py)-py dy FROM s WHERE qx IS NOT NULL OR n=1)"
 
 
-@query(f"{LINE_SEG}, t AS (SELECT p.section, p.id, p.x, p.y, g.*, CASE WHEN dx*dx+dy*dy > 0 THEN least(1.0,greatest(0.0,((p.x-px)*dx+(p.y-py)*dy)/(dx*dx+dy*dy))) ELSE 0 END t FROM points p LEFT JOIN g ON p.section=g.section WHERE p.id % 7 = 1) SELECT section, id, round(min(sqrt((x-px-t*dx)*(x-px-t*dx)+(y-py-t*dy)*(y-py-t*dy))),4) AS distance FROM t GROUP BY section, id")
+@query(f"{LINE_SEG}, t AS (SELECT p.section, p.id, p.x, p.y, g.*, CASE WHEN dx*dx+dy*dy > 0 THEN least(1.0,greatest(0.0,((p.x-px)*dx+(p.y-py)*dy)/(dx*dx+dy*dy))) ELSE 0 END t FROM points p LEFT JOIN g ON p.section=g.section) SELECT section, id, round(min(sqrt((x-px-t*dx)*(x-px-t*dx)+(y-py-t*dy)*(y-py-t*dy))),4) AS distance FROM t GROUP BY section, id")
 def c17_line_distance(spark, sf):
     p = role(spark, sf, "points")
-    lines = p.where("id % 40 = 0").select("section", (F.floor(F.col("id") / 40) % 3).alias("line"), F.col("id").alias("seq"), "x", "y")
-    return rounded(S.line_distance(p.where("id % 7 = 1"), lines, ["section"]))
+    # two lines a section, through the middles of the events of each type
+    lines = p.groupBy("section", F.expr(SIDES["a"]).alias("line"), F.col("type").alias("seq")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return rounded(S.line_distance(p, lines, ["section"]))
 
 
 @query(f"{PTS} SELECT a.section, count(*) AS pairs FROM points a JOIN points b ON a.section=b.section AND a.id<b.id AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) <= 4 GROUP BY 1")

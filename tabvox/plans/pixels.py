@@ -65,7 +65,7 @@ def k08_moran(spark, sf):
 
 @query()
 def k08_hotspots(spark, sf):
-    return K.hotspots(_tiles(spark, sf), ["channel"], permutations=99)
+    return K.hotspots(_tiles(spark, sf), ["channel"])
 
 
 @query(f"{TILES} SELECT channel, count(*) AS n, round((var_samp(value)/avg(value)*(count(*)-1)-(count(*)-1))/sqrt(2.0*(count(*)-1)),4) AS z FROM t GROUP BY 1")
@@ -93,11 +93,13 @@ def k13_glcm(spark, sf):
     return out.select("channel", F.round("contrast", 4).alias("contrast"), F.round("entropy", 5).alias("entropy"), F.round("homogeneity", 5).alias("homogeneity"), F.round("asm", 5).alias("asm"), F.round("correlation", 4).alias("correlation"))
 
 
-@query(f"{G}, q AS (SELECT channel, y//8*8+x//8+1 AS label, y, x, CAST(least(7,greatest(0,floor((value-0)/50*8))) AS INT) q FROM flat), {GLCM.format(by='a.channel, a.label,', on='a.channel=b.channel AND a.label=b.label', k='channel, label,', kk='channel, label')} SELECT channel, label, round(sum(p*(i-j)*(i-j)),4) AS contrast, round(abs(-sum(p*log2(p))),4) AS entropy, round(sum(p/(1+(i-j)*(i-j))),5) AS homogeneity, round(sum(p*p),5) AS asm FROM p WHERE pairs>=16 GROUP BY 1,2")
+@query(f"{G}, q AS (SELECT channel, y//8*8+x//8+1 AS label, y, x, CAST(least(7,greatest(0,floor((value-0)/50*8))) AS INT) q FROM flat), {GLCM.format(by='a.channel, a.label,', on='a.channel=b.channel AND a.label=b.label', k='channel, label,', kk='channel, label')} SELECT channel, label, round(sum(p*(i-j)*(i-j))+1e-9,4) AS contrast, round(abs(-sum(p*log2(p)))+1e-9,4) AS entropy, round(sum(p/(1+(i-j)*(i-j)))+1e-9,5) AS homogeneity, round(sum(p*p)+1e-9,5) AS asm FROM p WHERE pairs>=16 GROUP BY 1,2")
 def k14_object_glcm(spark, sf):
     v = _flat(spark, sf).withColumn("label", (F.floor(F.col("y") / 8) * 8 + F.floor(F.col("x") / 8) + 1).cast("long"))
     out = K.object_glcm(v, ["channel"], 8, 0.0, 50.0)
-    return out.select("channel", "label", F.round("contrast", 4).alias("contrast"), F.round("entropy", 4).alias("entropy"), F.round("homogeneity", 5).alias("homogeneity"), F.round("asm", 5).alias("asm"))
+    # the small amount keeps values halfway between two results of rounding on one side in both engines
+    digits = {"contrast": 4, "entropy": 4, "homogeneity": 5, "asm": 5}
+    return out.select("channel", "label", *[F.round(F.col(c) + 1e-9, d).alias(c) for c, d in digits.items()])
 
 
 @query(f"{G}, b AS (SELECT channel, s, sum(value) v FROM flat JOIN (VALUES (1),(2),(4),(8)) q(s) ON true GROUP BY channel, s, y//s, x//s), p AS (SELECT channel, s, v/sum(v) OVER (PARTITION BY channel, s) p FROM b), w AS (SELECT channel, q, s, sum(pow(p,q)*ln(p))/sum(pow(p,q)) y FROM p JOIN (VALUES (-2.0::DOUBLE),(0.0),(2.0)) t(q) ON true GROUP BY 1,2,3) SELECT channel, q, round(regr_slope(y,ln(s)),4) AS slope FROM w GROUP BY 1,2")

@@ -64,11 +64,11 @@ def j07_csr_envelope(spark, sf):
     return P.csr_envelope(P.window(p, _nn(spark, sf), ["section"]), ["section"], RADII)
 
 
-SITES = f"{PTS}, sites AS (SELECT section, id, x, y FROM points WHERE id % 25 = 0), cells AS (SELECT section, gx, gy FROM (SELECT DISTINCT section FROM sites) CROSS JOIN range(0,51) a(gx) CROSS JOIN range(0,51) b(gy)), own AS (SELECT c.section, gx, gy, s.id AS owner FROM cells c JOIN sites s ON c.section=s.section QUALIFY row_number() OVER (PARTITION BY c.section, gx, gy ORDER BY sqrt((gx*2.0::DOUBLE-x)*(gx*2.0::DOUBLE-x)+(gy*2.0::DOUBLE-y)*(gy*2.0::DOUBLE-y)), s.id)=1)"
+SITES = f"{PTS}, sites AS (SELECT section, id, x, y FROM points), cells AS (SELECT section, gx, gy FROM (SELECT DISTINCT section FROM sites) CROSS JOIN range(0,51) a(gx) CROSS JOIN range(0,51) b(gy)), own AS (SELECT c.section, gx, gy, min(row(sqrt((gx*2.0::DOUBLE-x)*(gx*2.0::DOUBLE-x)+(gy*2.0::DOUBLE-y)*(gy*2.0::DOUBLE-y)), s.id))[2] AS owner FROM cells c JOIN sites s ON c.section=s.section GROUP BY 1,2,3)"
 
 
 def _owned(spark, sf):
-    return P.territories(_points(spark, sf).where("id % 25 = 0").select("section", "id", "x", "y"), ["section"], 50, 50, 2.0)
+    return P.territories(_points(spark, sf).select("section", "id", "x", "y"), ["section"], 50, 50, 2.0)
 
 
 @query(f"{SITES} SELECT section, owner AS id, round(count(*)*4.0,4) AS area FROM own GROUP BY 1,2")
@@ -91,7 +91,7 @@ def j10_interaction(spark, sf):
 
 @query()
 def j11_interaction_p(spark, sf):
-    return P.interaction_p(P.neighbour_graph(_owned(spark, sf), ["section"]), _points(spark, sf).where("id % 25 = 0").select("section", "id", "type"), ["section"], permutations=199)
+    return P.interaction_p(P.neighbour_graph(_owned(spark, sf), ["section"]), _points(spark, sf).select("section", "id", "type"), ["section"])
 
 
 @query(f"{PTS}, p AS (SELECT section, x, y, greatest(0,CAST(round(x) AS INT)-6) ax, least(99,CAST(round(x) AS INT)+6) bx, greatest(0,CAST(round(y) AS INT)-6) ay, least(99,CAST(round(y) AS INT)+6) \"by\" FROM points WHERE round(x)<100 AND round(y)<100), n AS (SELECT section, count(*) n FROM p GROUP BY 1), q AS (SELECT section, x, y, ay, \"by\", unnest(range(ax,bx+1)) px FROM p), s AS (SELECT section, x, y, px, unnest(range(ay,\"by\"+1)) py FROM q) SELECT section, CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(1e6*sum(exp(-((px-x)*(px-x)+(py-y)*(py-y))/8.0::DOUBLE))/(max(n)*2*pi()*4),4) AS density FROM s JOIN n USING (section) GROUP BY 1,2,3")
@@ -110,33 +110,37 @@ def j14_zscore(spark, sf):
     return rounded(P.zscore(_points(spark, sf).select("section", "id", "x", "mark"), ["x", "mark"], ["section"]).drop("section"), 5)
 
 
-def _vectors(spark, sf, n=8):
+#: The embeddings have 64 elements.
+SIZE = 64
+FEATURES = [f"f{i}" for i in range(SIZE)]
+
+
+def _vectors(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return e.select(F.col("vec_id").alias("id"), "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(n)])
+    return e.select(F.col("vec_id").alias("id"), "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f) for i, f in enumerate(FEATURES)])
 
 
 @query()
 def j15_kmeans(spark, sf):
-    got, _ = P.kmeans(P.zscore(_vectors(spark, sf), [f"f{i}" for i in range(8)]), [f"f{i}" for i in range(8)], 4)
+    got, _ = P.kmeans(P.zscore(_vectors(spark, sf), FEATURES), FEATURES, 4)
     return got.select("id", "cluster")
 
 
-VEC = "v AS (SELECT vec_id AS id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(8)) + " FROM embeddings)"
-DIST = "+".join(f"(a.f{i}-b.f{i})*(a.f{i}-b.f{i})" for i in range(8))
+VEC = "v AS (SELECT vec_id AS id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS f{i}" for i in range(SIZE)) + " FROM embeddings)"
+DIST = "sqrt(" + "+".join(f"(a.f{i}-b.f{i})*(a.f{i}-b.f{i})" for i in range(SIZE)) + ")"
 
 
 @query(f"WITH {VEC}, m AS (SELECT a.id, a.label, b.label other, sum({DIST}) s, count(*) n FROM v a JOIN v b ON true GROUP BY 1,2,3), z AS (SELECT id, max(CASE WHEN other=label THEN s/greatest(1,n-1) END) a, max(CASE WHEN other=label THEN n END) n, min(CASE WHEN other<>label THEN s/n END) b FROM m GROUP BY 1) SELECT id, round(CASE WHEN n<2 OR b IS NULL THEN 0 ELSE (b-a)/greatest(a,b) END,5) AS silhouette FROM z")
 def j16_silhouette(spark, sf):
-    return rounded(P.silhouette(_vectors(spark, sf), "id", "label", [f"f{i}" for i in range(8)]), 5)
+    return rounded(P.silhouette(_vectors(spark, sf), "id", "label", FEATURES), 5)
 
 
 @query()
 def j17_phenotypes(spark, sf):
     from tabvox.operators.aggregate import cluster_profile
 
-    features = [f"f{i}" for i in range(4)]
-    _, got = P.auto_k(P.zscore(_vectors(spark, sf, 4), features), features, high=5)
-    return cluster_profile(got, "cluster", features)
+    _, got = P.auto_k(P.zscore(_vectors(spark, sf), FEATURES), FEATURES)
+    return cluster_profile(got, "cluster", FEATURES)
 
 
 @query(f"{NN} SELECT section, regr_count(mark,distance) AS n, round(regr_slope(mark,distance),4) AS slope, round(regr_r2(mark,distance),6) AS r2 FROM nn JOIN points USING (section, id) GROUP BY 1")
@@ -147,7 +151,6 @@ def j18_proximity_response(spark, sf):
 
 @query()
 def j20_forest(spark, sf):
-    features = [f"f{i}" for i in range(8)]
     v = _vectors(spark, sf).withColumn("label", (F.col("label") % 2).cast("int"))
-    model, _ = P.forest(v, features, trees=20, folds=3)
-    return P.forest_score(model, v, features).select("id", "score", "keep")
+    model, _ = P.forest(v, FEATURES)
+    return P.forest_score(model, v, FEATURES).select("id", "score", "keep")
