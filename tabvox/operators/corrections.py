@@ -87,7 +87,7 @@ def chance_correlation(ab: DataFrame, by: list[str], size: int = 5, rounds: int
     met = fixed.join(moved.hint("merge"), [*by, "sim", "k"]).select(*by, "sim", F.explode(F.arrays_zip("pa", "pb")).alias("v"))
     null = met.groupBy(*by, "sim").agg(correlation("v.pa", "v.pb").alias("r"))
     seen = ab.groupBy(*by).agg(correlation("a", "b").alias("pearson"))
-    over = seen.join(null, by).groupBy(*by).agg(F.sum((F.col("r") >= F.col("pearson")).cast("int")).alias("k"))
+    over = seen.join(null.hint("merge"), by).groupBy(*by).agg(F.sum((F.col("r") >= F.col("pearson")).cast("int")).alias("k"))
     return seen.join(over, by, "left").select(*by, "pearson", F.when(F.col("pearson").isNotNull(), (F.coalesce("k", F.lit(0)) + 1) / (rounds + 1)).alias("p"))
 
 
@@ -135,7 +135,7 @@ def gauss(voxels: DataFrame, by: list[str], sigma: float) -> DataFrame:
         k = F.explode(F.array(*[F.struct(F.lit(i).alias("d"), F.lit(w).alias("w")) for i, w in weights])).alias("k")
         place = [(F.col(c) + F.col("k.d")).alias(c) if c == axis else F.col(c) for c in ("y", "x")]
         sums = df.select(*by, "y", "x", "value", k).groupBy(*by, *place).agg((F.sum(F.col("value") * F.col("k.w")) / F.sum("k.w")).alias("value"))
-        return sums.join(voxels.select(*by, "y", "x"), [*by, "y", "x"], "left_semi")
+        return sums.join(voxels.select(*by, "y", "x").hint("merge"), [*by, "y", "x"], "left_semi")
 
     return cut(along(along(voxels.select(*by, "y", "x", "value"), "x"), "y"))
 
@@ -235,4 +235,4 @@ def permutation_p(df: DataFrame, by: list[str], id: str, group: str, value: str,
     moved = sims.select(*by, "sim", group, F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "sim", id), id)).alias("k"))
     null = spread(values.join(moved.hint("merge"), [*by, "sim", "k"]), [*by, "sim"]).withColumnRenamed("observed", "null")
     seen = spread(df, by)
-    return seen.join(null, by).groupBy(*by, "observed").agg(((F.sum((F.round("null", 9) >= F.round("observed", 9)).cast("int")) + 1) / (rounds + 1)).alias("p"))
+    return seen.join(null.hint("merge"), by).groupBy(*by, "observed").agg(((F.sum((F.round("null", 9) >= F.round("observed", 9)).cast("int")) + 1) / (rounds + 1)).alias("p"))

@@ -61,7 +61,7 @@ def marker_lookup(df: DataFrame, key: str, table: DataFrame) -> DataFrame:
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     asked = df.select(F.col(key).alias("__q")).distinct().select("__q", F.explode(F.array(F.concat(F.lit("="), "__q"), F.concat(F.lit("~"), norm(F.col("__q"))))).alias("k"))
     named = table.select("tier", "id", F.when(F.col("tier") == 3, F.concat(F.lit("~"), norm(F.col("name")))).otherwise(F.concat(F.lit("="), "name")).alias("k"))
-    best = asked.join(named, "k").groupBy("__q", "tier").agg(F.countDistinct("id").alias("hits"), F.min("id").alias("id")).groupBy("__q").agg(F.min_by(F.struct("id", "hits"), "tier").alias("b"))
+    best = asked.join(named.hint("merge"), "k").groupBy("__q", "tier").agg(F.countDistinct("id").alias("hits"), F.min("id").alias("id")).groupBy("__q").agg(F.min_by(F.struct("id", "hits"), "tier").alias("b"))
     return df.join(best, F.col(key) == F.col("__q"), "left").select(*[F.col(c) for c in df.columns], F.when(F.col("b.hits") == 1, F.col("b.id")).alias("id"), F.coalesce("b.hits", F.lit(0)).alias("hits"))
 
 
@@ -93,8 +93,8 @@ def near_names(df: DataFrame, name: str, most: int = 2) -> DataFrame:
     lengths = F.array_distinct(F.flatten(F.transform(F.sequence(size - most, size + most), lambda n: F.array(*[F.floor(n * (i + 1) / (most + 1)).cast("int") - F.floor(n * i / (most + 1)).cast("int") for i in range(most + 1)]))))
     right = tokens.select(F.col("name").alias("y"), F.col("t").alias("ty"), F.explode(F.filter(lengths, lambda k: k > 0)).alias("len"))
     right = right.select("y", "ty", "len", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length("ty") - F.col("len")))).alias("pos")).select("y", "ty", "len", "pos", F.col("ty").substr(F.col("pos") + 1, F.col("len")).alias("p"))
-    near = left.join(right, ["p", "len"]).where((F.col("x") < F.col("y")) & (F.abs(F.col("pos") - F.col("at")) <= most))
-    reverse = left.withColumnsRenamed({"x": "y", "tx": "ty", "nx": "ny"}).join(right.withColumnsRenamed({"y": "x", "ty": "tx"}), ["p", "len"]).where((F.col("x") < F.col("y")) & (F.abs(F.col("pos") - F.col("at")) <= most))
+    near = left.join(right.hint("merge"), ["p", "len"]).where((F.col("x") < F.col("y")) & (F.abs(F.col("pos") - F.col("at")) <= most))
+    reverse = left.withColumnsRenamed({"x": "y", "tx": "ty", "nx": "ny"}).join(right.withColumnsRenamed({"y": "x", "ty": "tx"}).hint("merge"), ["p", "len"]).where((F.col("x") < F.col("y")) & (F.abs(F.col("pos") - F.col("at")) <= most))
     pairs = near.select("x", "y", "tx", "ty").union(reverse.select("x", "y", "tx", "ty")).distinct()
     return pairs.withColumn("distance", F.levenshtein("tx", "ty")).where(F.col("distance") <= most).select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")
 

@@ -69,8 +69,8 @@ def hotspots(tiles: DataFrame, by: list[str], permutations: int = 199, alpha: fl
     sims = tiles.select(*by, "y", "x", "value", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("sim"))
     slots = sims.select(*by, "sim", "y", "x", F.row_number().over(w.orderBy("y", "x")).alias("k"))
     moved = sims.select(*by, "sim", "value", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "sim", "y", "x"), "y", "x")).alias("k"))
-    null = moran(slots.join(moved, [*by, "sim", "k"]), [*by, "sim"]).select(*by, "y", "x", F.col("local").alias("null"))
-    p = m.where("local IS NOT NULL").join(null, [*by, "y", "x"]).groupBy(*by, "y", "x", "z", "local").agg(((F.sum((F.col("null") >= F.col("local")).cast("int")) + 1) / (permutations + 1)).alias("p"))
+    null = moran(slots.join(moved.hint("merge"), [*by, "sim", "k"]), [*by, "sim"]).select(*by, "y", "x", F.col("local").alias("null"))
+    p = m.where("local IS NOT NULL").join(null.hint("merge"), [*by, "y", "x"]).groupBy(*by, "y", "x", "z", "local").agg(((F.sum((F.col("null") >= F.col("local")).cast("int")) + 1) / (permutations + 1)).alias("p"))
     return p.groupBy(*by).agg(F.avg("local").alias("moran"), F.avg(((F.col("p") < alpha) & (F.col("z") > 0)).cast("double")).alias("fraction"))
 
 
@@ -131,7 +131,7 @@ def cross_correlation(a: DataFrame, b: DataFrame, by: list[str], reach: int) ->
     shifts = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
     from tabvox.operators.spatial import shifted
 
-    j = a.select(*by, "y", "x", "value").join(shifted(b.select(*by, "y", "x", "value"), shifts, ["y", "x"], "value"), [*by, "y", "x"])
+    j = a.select(*by, "y", "x", "value").join(shifted(b.select(*by, "y", "x", "value"), shifts, ["y", "x"], "value").hint("merge"), [*by, "y", "x"])
     r = j.groupBy(*by, "offset").agg(correlation("value", "other").alias("r")).where("r IS NOT NULL")
     name = F.element_at(F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in shifts]), F.col("offset") + 1)
     return r.withColumn("s", name).groupBy(*by).agg(F.max_by(F.struct("s.dy", "s.dx", "r"), F.struct(F.round("r", 9), -(F.abs("s.dy") + F.abs("s.dx")), -F.col("s.dy"), -F.col("s.dx"))).alias("m")).select(*by, "m.*")
@@ -176,7 +176,7 @@ def convolve(voxels: DataFrame, by: list[str], kernel: list[tuple[int, int, floa
     """(by, y, x, value): sum of kernel (dy, dx, weight) over the pixels that are there, at places that hold a pixel."""
     k = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(float(w)).alias("w")) for a, b, w in kernel])).alias("k")
     spread = voxels.select(*by, "y", "x", "value", k).groupBy(*by, (F.col("y") + F.col("k.dy")).alias("y"), (F.col("x") + F.col("k.dx")).alias("x")).agg(F.sum(F.col("value") * F.col("k.w")).alias("value"))
-    return spread.join(voxels.select(*by, "y", "x"), [*by, "y", "x"], "left_semi")
+    return spread.join(voxels.select(*by, "y", "x").hint("merge"), [*by, "y", "x"], "left_semi")
 
 
 def anisotropy(voxels: DataFrame, by: list[str]) -> DataFrame:
@@ -216,7 +216,7 @@ def local_sums(voxels: DataFrame, by: list[str], value: str, reach: int) -> Data
     near = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
     rows = voxels.select(*by, "y", near("x").alias("x"), F.col(value).alias("v")).groupBy(*by, "y", "x").agg(F.sum("v").alias("v"))
     total = rows.select(*by, near("y").alias("y"), "x", "v").groupBy(*by, "y", "x").agg(F.sum("v").alias("total"))
-    return voxels.join(total, [*by, "y", "x"])
+    return voxels.join(total.hint("merge"), [*by, "y", "x"])
 
 
 def local_correlation(ab: DataFrame, by: list[str], reach: int) -> DataFrame:
@@ -228,7 +228,7 @@ def local_correlation(ab: DataFrame, by: list[str], reach: int) -> DataFrame:
     total = rows.select(*by, near("y").alias("y"), "x", *names).groupBy(*by, "y", "x").agg(*[F.sum(n).alias(n) for n in names])
     n = F.col("n")
     cov, va, vb = F.col("sab") - F.col("sa") * F.col("sb") / n, F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
-    return ab.join(total, [*by, "y", "x"]).select(*ab.columns, F.when((va > 1e-9) & (vb > 1e-9), cov / F.sqrt(va * vb)).alias("r"))
+    return ab.join(total.hint("merge"), [*by, "y", "x"]).select(*ab.columns, F.when((va > 1e-9) & (vb > 1e-9), cov / F.sqrt(va * vb)).alias("r"))
 
 
 def veto(ab: DataFrame, by: list[str], target_from: float, contaminant_to: float) -> DataFrame:

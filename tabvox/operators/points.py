@@ -44,7 +44,7 @@ def ripley(points: DataFrame, windows: DataFrame, by: list[str], radii: list[flo
     near = radius_join(p, p, by, top, ["x", "y"]).where("a_id <> b_id")
     # each pair counts from the first radius over its distance on: one row for each pair and radius that it can reach
     reach = near.select(*by, F.col("a_edge").alias("edge"), "distance", rs).where((F.col("distance") <= F.col("r")) & (F.col("edge") >= F.col("r"))).groupBy(*by, "r").agg(F.count("*").alias("pairs"))
-    out = anchors.join(reach, [*by, "r"], "left").join(windows.select(*by, "n", "area"), by)
+    out = anchors.join(reach.hint("merge"), [*by, "r"], "left").join(windows.select(*by, "n", "area"), by)
     k = F.when((F.col("anchors") > 0) & (F.col("n") > 1), F.col("area") * F.coalesce("pairs", F.lit(0)) / (F.col("anchors") * (F.col("n") - 1)))
     return out.select(*by, "r", k.alias("k")).withColumn("l", F.sqrt(F.col("k") / math.pi) - F.col("r"))
 
@@ -64,7 +64,7 @@ def territories(sites: DataFrame, by: list[str], x1: int, y1: int, step: float =
     """(by, gx, gy, owner): the nearest site of each cell of a grid over 0..x1, 0..y1."""
     cells = sites.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(x1))).alias("gx")).select("*", F.explode(F.sequence(F.lit(0), F.lit(y1))).alias("gy"))
     cells = cells.withColumns({"x": F.col("gx") * step, "y": F.col("gy") * step, "id": F.col("gx") * (y1 + 1) + F.col("gy")})
-    return nearest(cells, sites, by, ["x", "y"], step=4 * step).join(cells.select(*by, "id", "gx", "gy"), [*by, "id"]).select(*by, "gx", "gy", F.col("nearest").alias("owner"))
+    return nearest(cells, sites, by, ["x", "y"], step=4 * step).join(cells.select(*by, "id", "gx", "gy").hint("merge"), [*by, "id"]).select(*by, "gx", "gy", F.col("nearest").alias("owner"))
 
 
 def territory_area(owned: DataFrame, by: list[str], step: float = 1.0) -> DataFrame:
@@ -81,7 +81,7 @@ def interaction(edges: DataFrame, types: DataFrame, by: list[str], key: str = "i
     """(by, t, u, n): edges between each two types, t <= u."""
     one = types.select(*by, F.col(key).alias("a"), F.col(type_).alias("ta"))
     two = types.select(*by, F.col(key).alias("b"), F.col(type_).alias("tb"))
-    e = edges.join(one, [*by, "a"]).join(two, [*by, "b"])
+    e = edges.join(one.hint("merge"), [*by, "a"]).join(two.hint("merge"), [*by, "b"])
     return e.groupBy(*by, F.least("ta", "tb").alias("t"), F.greatest("ta", "tb").alias("u")).agg(F.count("*").alias("n"))
 
 
@@ -91,11 +91,15 @@ def interaction_p(edges: DataFrame, types: DataFrame, by: list[str], permutation
     w = W.partitionBy(*by, "sim")
     slots = sims.select(*by, "sim", "id", F.row_number().over(w.orderBy("id")).alias("k"))
     moved = sims.select(*by, "sim", "type", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "sim", "id"), "id")).alias("k"))
-    shuffled = slots.join(moved, [*by, "sim", "k"]).drop("k")
-    all_edges = edges.select(*by, "a", "b", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("sim"))
-    null = interaction(all_edges, shuffled, [*by, "sim"]).withColumnRenamed("n", "m")
+    shuffled = slots.join(moved.hint("merge"), [*by, "sim", "k"]).drop("k")
+    # the labels of a site in all shuffles as one array, so that edges aren't repeated for the join
+    drawn = shuffled.groupBy(*by, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sim", "type"))), lambda s: s["type"]).alias("l"))
+    one, two = (drawn.withColumnsRenamed({"id": e, "l": f"l{e}"}).hint("merge") for e in "ab")
+    both = edges.join(one, [*by, "a"]).join(two, [*by, "b"])
+    pairs = both.select(*by, F.posexplode(F.zip_with("la", "lb", lambda t, u: F.struct(F.least(t, u).alias("t"), F.greatest(t, u).alias("u")))).alias("sim", "e"))
+    null = pairs.groupBy(*by, "sim", "e.t", "e.u").agg(F.count("*").alias("m"))
     seen = interaction(edges, types, by)
-    over = seen.join(null, [*by, "t", "u"]).groupBy(*by, "t", "u", "n").agg(F.sum((F.col("m") >= F.col("n")).cast("int")).alias("k"))
+    over = seen.join(null.hint("merge"), [*by, "t", "u"]).groupBy(*by, "t", "u", "n").agg(F.sum((F.col("m") >= F.col("n")).cast("int")).alias("k"))
     return seen.join(over, [*by, "t", "u", "n"], "left").select(*by, "t", "u", "n", (F.coalesce("k", F.lit(0)) / permutations).alias("p"))
 
 

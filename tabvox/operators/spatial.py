@@ -26,7 +26,7 @@ def radius_join(a: DataFrame, b: DataFrame, by: list[str], radius: float, axes:
     for x in axes:
         right = right.select("*", around(cell(f"b_{x}", radius)).alias(f"c_{x}"))
     squares = sum(((F.col(f"a_{x}") - F.col(f"b_{x}")) ** 2 for x in axes), F.lit(0.0))
-    return left.join(right, [*by, *(f"c_{x}" for x in axes)]).drop(*[f"c_{x}" for x in axes]).withColumn("distance", F.sqrt(squares)).where(F.col("distance") <= radius)
+    return left.join(right.hint("merge"), [*by, *(f"c_{x}" for x in axes)]).drop(*[f"c_{x}" for x in axes]).withColumn("distance", F.sqrt(squares)).where(F.col("distance") <= radius)
 
 
 def nearest(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], id: str = "id", step: float = 1.0, exclude_self: bool = False, most_rounds: int = 40) -> DataFrame:
@@ -47,11 +47,11 @@ def nearest(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], id: str
         got = pairs.groupBy(*by, F.col(f"a_{id}").alias(id)).agg(F.min_by(F.struct(F.col(f"b_{id}").alias("nearest"), "distance"), F.struct("distance", f"b_{id}")).alias("m")).select(*by, id, "m.nearest", "m.distance")
         got = cut(got)
         found = got if found is None else found.union(got)
-        todo = cut(todo.join(got.select(*by, id), [*by, id], "left_anti"))
+        todo = cut(todo.join(got.select(*by, id).hint("merge"), [*by, id], "left_anti"))
         if radius > span or todo.isEmpty():
             break
         radius *= 4
-    return a.select(*by, id).join(found, [*by, id], "left")
+    return a.select(*by, id).join(found.hint("merge"), [*by, id], "left")
 
 
 def closest_counts(found: DataFrame, targets: DataFrame, by: list[str], id: str = "id") -> DataFrame:
@@ -71,7 +71,7 @@ def box_join(a: DataFrame, b: DataFrame, by: list[str], size: dict[str, float])
             out = out.select("*", F.explode(F.sequence(cell(f"{p}_{x}0", s), cell(f"{p}_{x}1", s))).alias(f"c_{x}"))
         return out
 
-    out = cells(a, "a").join(cells(b, "b"), [*by, *(f"c_{x}" for x in size)])
+    out = cells(a, "a").join(cells(b, "b").hint("merge"), [*by, *(f"c_{x}" for x in size)])
     volume = F.lit(1.0)
     for x, s in size.items():
         low, high = F.greatest(f"a_{x}0", f"b_{x}0"), F.least(f"a_{x}1", f"b_{x}1")
@@ -158,7 +158,7 @@ def shifted(df: DataFrame, offsets: list[tuple[int, ...]], axes: list[str], valu
 
 def neighbours(df: DataFrame, by: list[str], offsets: list[tuple[int, ...]], axes: list[str], value: str = "value") -> DataFrame:
     """(by, axes, value, offset, other): each pixel with its neighbours at the offsets."""
-    return df.select(*by, *axes, value).join(shifted(df.select(*by, *axes, value), offsets, axes, value), [*by, *axes])
+    return df.select(*by, *axes, value).join(shifted(df.select(*by, *axes, value), offsets, axes, value).hint("merge"), [*by, *axes])
 
 
 def in_polygon(points: DataFrame, polygons: DataFrame, id: str = "id", size: float = 64.0) -> DataFrame:
@@ -176,4 +176,4 @@ def in_polygon(points: DataFrame, polygons: DataFrame, id: str = "id", size: flo
         rois = rois.select("*", F.explode(F.sequence(cell(f"{c}0", size), cell(f"{c}1", size))).alias(f"c_{c}"))
     px, py = F.round(F.col("x")), F.round(F.col("y"))
     crosses = F.size(F.filter("edges", lambda e: ((e["p"]["y"] > py) != (e["q"]["y"] > py)) & (px < (e["q"]["x"] - e["p"]["x"]) * (py - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"])))
-    return points.withColumns({"c_x": cell(px, size), "c_y": cell(py, size)}).join(rois, ["c_x", "c_y"]).where(crosses % 2 == 1).select(id, "roi")
+    return points.withColumns({"c_x": cell(px, size), "c_y": cell(py, size)}).join(rois.hint("merge"), ["c_x", "c_y"]).where(crosses % 2 == 1).select(id, "roi")
