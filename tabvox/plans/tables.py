@@ -12,7 +12,7 @@ from tabvox.operators import joins as J
 from tabvox.operators import rank as R
 from tabvox.operators import spatial as S
 from tabvox.plans.base import query, rounded
-from tabvox.plans.joins import COND, NEAR, _near, conditions
+from tabvox.plans.joins import COND, NEAR, SIDES, _near, conditions
 from tabvox.sources import results as T
 from tabvox.sources.driver import role, role_sql
 
@@ -70,7 +70,7 @@ def c02_axes_join(spark, sf):
 
 @query(f"{NEAR} SELECT b.section, b.id, count(m.id) AS n FROM b LEFT JOIN m ON m.section=b.section AND m.nearest=b.id AND r = 1 AND distance < 2 GROUP BY 1, 2")
 def c10_contains_counts(spark, sf):
-    return S.closest_counts(_near(spark, sf).where("distance < 2"), role(spark, sf, "points").where("id % 3 = 1"), ["section"])
+    return S.closest_counts(_near(spark, sf).where("distance < 2"), role(spark, sf, "points").where(SIDES["b"]), ["section"])
 
 
 @query(f"{OBJ} SELECT section, CAST(sum(marker) AS DOUBLE) AS count, round(100*avg(marker),4) AS pct FROM objects GROUP BY 1 HAVING bool_and(marker IN (0,1))")
