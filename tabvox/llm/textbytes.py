@@ -7,7 +7,10 @@ otherwise. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
+import os
 import uuid
 
 import numpy as np
@@ -180,8 +183,22 @@ def shared_dir(spark) -> str:
     return conf
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system.
+
+    Models are fitted in the driver from bounded samples, as many small arrays; what they leave would
+    else stay with the allocators beside the JVM until the session ends.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None  # glibc has it
+    if trim:
+        trim(0)
+
+
 def table(df, name: str):
     """Write df into the shared folder and read it back: lineage ends there and lost executors lose nothing."""
+    release()
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tabvox/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
