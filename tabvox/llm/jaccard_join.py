@@ -173,7 +173,7 @@ def _full(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFram
     A bit of the sketch is the parity of the tokens that fall on it, so two sketches differ in no more
     bits than the sets in tokens.
     """
-    docs = docs.join(wanted.select("key").hint("shuffle_hash"), "key", "left_semi")
+    docs = docs.join(wanted.hint("shuffle_hash"), "key")  # a key is wanted once
 
     def sketch(h: np.ndarray) -> list[int]:
         bit = np.bincount((mix(h) >> np.uint64(54)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
@@ -181,11 +181,14 @@ def _full(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFram
 
     def run(batches):
         for part, buf, off in chunks(batches, text):
-            sets_ = list(shingles(buf, off, width))
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(h) for h in sets_], pa.int64()), pa.array([_sign(h)[0] for h in sets_], pa.int64()), pa.array([h.tobytes() for h in sets_], pa.binary()), pa.array([sketch(h) for h in sets_], pa.list_(pa.int64()))], ["key", "n", "s1", "set", "sketch"])
-
-    made = docs.mapInArrow(run, plus(docs.select("key").schema, ("n", "long"), ("s1", "long"), ("set", "binary"), ("sketch", "array<long>")))
-    return made.join(wanted.hint("shuffle_hash"), ["key", "s1"], "left_semi").drop("s1").dropDuplicates(["key"])
+            wanted_sign = part.column("s1").to_pylist()
+            some = [(i, h) for i, h in enumerate(shingles(buf, off, width)) if _sign(h)[0] == wanted_sign[i]]
+            sets_ = [h for _, h in some]
+            keys = part.column("key").take(pa.array([i for i, _ in some], pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(h) for h in sets_], pa.int64()), pa.array([h.tobytes() for h in sets_], pa.binary()), pa.array([sketch(h) for h in sets_], pa.list_(pa.int64()))], ["key", "n", "set", "sketch"])
+
+    made = docs.mapInArrow(run, plus(docs.select("key").schema, ("n", "long"), ("set", "binary"), ("sketch", "array<long>")))
+    return made.dropDuplicates(["key"])
 
 
 def _verify(pairs: DataFrame, full: DataFrame, differences: bool = False) -> DataFrame:
