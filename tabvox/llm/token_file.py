@@ -104,10 +104,30 @@ def library_memory(path: str) -> tuple[pretokens.Memory, list[bytes]]:
         tokenizer = Tokenizer.from_file(path)
         added = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values() if x.content]
 
+        line = tokenizer.encode("\n", add_special_tokens=False).ids
+        lines_apart = len(line) == 1 and tokenizer.encode("a\n b\n", add_special_tokens=False).ids == sum((tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", "\n", " b", "\n")), [])
+
+        def each(texts):
+            return [np.array(x.ids, np.uint32).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
         def encode(buf, start, end):
+            """The ids of each range of buf as bytes. Pieces without white space but for one blank before them go in one text, a line each, as the library splits at the ends of lines."""
             raw = buf.tobytes()
-            made = tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)], add_special_tokens=False)
-            return [np.array(x.ids, np.uint32).tobytes() for x in made]
+            texts = [raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            joined = [i for i, x in enumerate(texts) if len(x) < 64 and x.removeprefix(" ").split() == [x.removeprefix(" ")]] if lines_apart else []
+            if len(joined) < 2:
+                return each(texts)
+            out = [b""] * len(texts)
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join([*(texts[i] for i in joined), ""])], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(ids == line[0])
+            own, at = ids.tobytes(), 0
+            for i, stop in zip(joined, (cut * 4).tolist(), strict=True):
+                out[i] = own[at:stop]
+                at = stop + 4
+            rest = sorted(set(range(len(texts))).difference(joined))
+            for i, x in zip(rest, each([texts[i] for i in rest]), strict=True):
+                out[i] = x
+            return out
 
         _WORKER.clear()
         _WORKER[path] = pretokens.Memory(encode), added
