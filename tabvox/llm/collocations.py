@@ -25,7 +25,7 @@ STOPS, BLANKS = (*map(ord, ".,;:!?"), 0x0A, 0x0B, 0x0C, 0x0D), (0x20, 0x09)
 _STOP, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(STOPS)] = True
 _BREAK[[*STOPS, *BLANKS]] = True
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 SALTS = 16
 U = np.uint64
 
