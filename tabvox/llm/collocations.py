@@ -25,7 +25,7 @@ STOPS, BLANKS = (*map(ord, ".,;:!?"), 0x0A, 0x0B, 0x0C, 0x0D), (0x20, 0x09)
 _STOP, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(STOPS)] = True
 _BREAK[[*STOPS, *BLANKS]] = True
-CHUNK = 3 << 20
+HELD = 1 << 19  # distinct rows that a task holds before it sends them on
 SALTS = 16
 U = np.uint64
 
@@ -38,8 +38,8 @@ class _Words:
         groups = batch.column("lang").dictionary_encode()
         self.names = groups.dictionary.to_pylist()
         self.group = groups.indices.to_numpy(zero_copy_only=False).astype(np.int64)[owner(ranges)]
-        salt = mix(hash_bytes([x.encode() for x in self.names], folded=False))
-        self.hash = mix(Hasher(buf)(self.start, self.end) ^ salt[self.group]) if len(self.start) else np.zeros(0, U)
+        self.salt = mix(hash_bytes([x.encode() for x in self.names], folded=False))
+        self.hash = mix(Hasher(buf)(self.start, self.end) ^ self.salt[self.group]) if len(self.start) else np.zeros(0, U)
         piece = np.concatenate([[0], np.cumsum(_STOP[buf])])[self.start] + owner(ranges)  # grows at each stop and at each text
         self.joins = np.zeros(len(self.start), bool)
         self.joins[:-1] = piece[1:] == piece[:-1]
@@ -55,16 +55,43 @@ def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, n
 
 
+def _merged(parts, names: list[str]):
+    """Batches of columns and counts from parts (key, columns, counts): rows of one key become one, as far as a task holds them."""
+    held, rows = [], 0
+
+    def flush():
+        key, at, which = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+        n = np.bincount(which, np.concatenate([c for _, _, c in held]), len(key)).astype(np.int64)  # below 2**53, so exact
+        columns = [pa.concat_arrays([p[1][i] for p in held]).take(pa.array(at)) for i in range(len(names) - 1)]
+        return key, columns, n
+
+    for part in parts:
+        held.append(part)
+        rows += len(part[0])
+        if rows >= HELD:
+            held = [flush()]
+            rows = len(held[0][0])
+            if rows >= HELD // 2:
+                yield pa.RecordBatch.from_arrays([*held[0][1], pa.array(held[0][2])], names)
+                held, rows = [], 0
+    if held:
+        _, columns, n = flush()
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names)
+
+
 def _frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
     """(a, b): hashes of words that follow each other at least `least` times within a group."""
 
-    def run(batches):
-        for batch, buf, off in chunks(batches, limit=CHUNK):
+    def parts(batches):
+        for batch, buf, off in chunks(batches):
             w = _Words(batch, buf, off)
             first = np.flatnonzero(w.joins)
-            at, n = _count(_pair(w.hash[first], w.hash[first + 1]))
-            first = first[at]
-            yield pa.RecordBatch.from_arrays([pa.array(w.hash[first].view(np.int64)), pa.array(w.hash[first + 1].view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+            key = _pair(w.hash[first], w.hash[first + 1])
+            at, n = _count(key)
+            yield key[at], [pa.array(w.hash[first[at] + k].view(np.int64)) for k in (0, 1)], n
+
+    def run(batches):
+        return _merged(parts(batches), ["a", "b", "n"])
 
     return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b")
 
@@ -87,13 +114,13 @@ def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
 
 
 def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
-    """(lang, w1 ... w<longest>, n): the distinct windows of each chunk and how often they occur there.
+    """(lang, w1 ... w<longest>, n): the distinct windows of parts of the texts and how often they occur there.
 
     A word that is in no frequent pair gives a window of nulls only, as it counts among all words.
     """
     names = [f"w{k + 1}" for k in range(longest)]
 
-    def run(batches):
+    def parts(batches):
         bits = bitmap.value
         shift = U(64 - (len(bits) * 64).bit_length() + 1)
 
@@ -101,7 +128,7 @@ def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
             at = h >> shift
             return (bits[at >> U(6)] >> (at & U(63))) & U(1) > 0
 
-        for batch, buf, off in chunks(batches, limit=CHUNK):
+        for batch, buf, off in chunks(batches):
             w = _Words(batch, buf, off)
             n = len(w.hash)
             if not n:
@@ -117,8 +144,8 @@ def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
                 here = np.flatnonzero(alive)
                 key[here] = _pair(key[here], w.hash[here + k])
                 deep[here] += 1
-            salt = np.where(deep == 0, w.group.astype(U) + U(1), U(0))  # windows of nulls of each group
-            at, many = _count(key + salt)
+            key = np.where(deep == 0, w.salt[w.group], key)  # windows of nulls, of each group
+            at, many = _count(key)
             columns = [pa.DictionaryArray.from_arrays(pa.array(w.group[at]), pa.array(w.names, pa.string())).dictionary_decode()]
             for k in range(longest):
                 there = deep[at] > k
@@ -127,7 +154,10 @@ def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
                 data = FOLD[gather(buf, w.start[place], size)]
                 ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 columns.append(pa.Array.from_buffers(pa.string(), len(at), [pa.py_buffer(np.packbits(there, bitorder="little")), pa.py_buffer(ends), pa.py_buffer(data)]))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(many.astype(np.int64))], ["lang", *names, "n"])
+            yield key[at], columns, many
+
+    def run(batches):
+        return _merged(parts(batches), ["lang", *names, "n"])
 
     return texts.mapInArrow(run, ", ".join(["lang string", *(f"{x} string" for x in names), "n long"]))
 
