@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabvox.functions.lineage import cut
+from tabvox.functions.lineage import cut, few
 from tabvox.functions.scalar import correlation
 from tabvox.operators.aggregate import class_fractions, nearest_rank
+from tabvox.operators.distance import distances
 from tabvox.operators.pixels import convolve
 from tabvox.operators.points import kmeans, zscore
 from tabvox.operators.rank import knee, otsu
-from tabvox.operators.spatial import nearest, neighbours, shifted
+from tabvox.operators.spatial import neighbours, shifted
+from tabvox.operators.tiles import box_sums, tiled
 
 
 def global_ratio(voxels: DataFrame, by: list[str], quiet: float, saturated: float) -> DataFrame:
@@ -31,15 +34,19 @@ def global_ratio(voxels: DataFrame, by: list[str], quiet: float, saturated: floa
 def local_ratio(voxels: DataFrame, by: list[str], quiet: float, saturated: float, reach: int, least: int) -> DataFrame:
     """As global_ratio, with the share fitted in a square window around each pixel; where it holds fewer than `least` quiet pixels, the group's share."""
     t, c = F.col("target"), F.col("c1")
-    pool = voxels.where((t <= quiet) & (F.greatest(t, c) < saturated)).select(*by, "y", "x", F.lit(1).alias("n"), (t * c).alias("tc"), (c * c).alias("cc"))
-    whole = pool.groupBy(*by).agg((F.sum("tc") / F.nullif(F.sum("cc"), F.lit(0.0))).alias("k0"))
-    near = lambda a: F.explode(F.sequence(F.col(a) - reach, F.col(a) + reach))
-    sums = [F.sum(s).alias(s) for s in ("n", "tc", "cc")]
-    rows = pool.select(*by, "y", near("x").alias("x"), "n", "tc", "cc").groupBy(*by, "y", "x").agg(*sums)
-    local = rows.select(*by, near("y").alias("y"), "x", "n", "tc", "cc").groupBy(*by, "y", "x").agg(*sums)
-    j = voxels.join(local.hint("merge"), [*by, "y", "x"], "left").join(whole, by, "left")
-    k = F.coalesce(F.when((F.col("n") >= least) & (F.col("cc") > 0), F.col("tc") / F.col("cc")), "k0", F.lit(0.0))
-    return j.withColumn("corrected", F.round(F.least(F.lit(65535.0), F.greatest(F.lit(0.0), t - F.greatest(F.lit(0.0), k) * c)))).drop("n", "tc", "cc", "k0")
+    free = (t <= quiet) & (F.greatest(t, c) < saturated)
+    whole = voxels.where(free).groupBy(*by).agg((F.sum(t * c) / F.nullif(F.sum(c * c), F.lit(0.0))).alias("k0"))
+
+    def run(a):
+        q, t, c = (np.nan_to_num(a[x]) for x in ("q", "target", "c1"))
+        n, tc, cc = box_sums(q, reach), box_sums(q * t * c, reach), box_sums(q * c * c, reach)
+        known = (n > least - 0.5) & (cc > 1e-9)
+        return {"k": np.where(known, tc / np.where(known, cc, 1.0), np.nan)}
+
+    local = tiled(voxels.withColumn("q", free.cast("double")), by, ["q", "target", "c1"], reach, run, ["k"])
+    j = voxels.join(local.hint("merge"), [*by, "y", "x"], "left").join(few(whole), by, "left")
+    k = F.coalesce(F.nanvl("k", F.lit(None)), "k0", F.lit(0.0))
+    return j.withColumn("corrected", F.round(F.least(F.lit(65535.0), F.greatest(F.lit(0.0), t - F.greatest(F.lit(0.0), k) * c)))).drop("k", "k0")
 
 
 def envelope(voxels: DataFrame, by: list[str], contaminants: list[str], dominant: float = 0.5, level: float = 0.9, bins: int = 16, least: int = 10) -> DataFrame:
@@ -106,7 +113,7 @@ def mark_correlation(ab: DataFrame, by: list[str], reach: int = 12) -> DataFrame
     return base.select(*by).join(peak, by, "left")
 
 
-def depth_profile(voxels: DataFrame, mask: DataFrame, by: list[str], width: float, rim: float, bins: int = 5, step: float = 2.0) -> dict[str, DataFrame]:
+def depth_profile(voxels: DataFrame, mask: DataFrame, by: list[str], width: float, rim: float, bins: int = 5) -> dict[str, DataFrame]:
     """bins: (by, bin, n, mean) and summary: (by, slope, peak, rim_core, edge) of values by distance from the mask's boundary.
 
     The boundary is the mask's pixels with a 4-neighbour outside it. Only the first `bins` bins are
@@ -114,10 +121,8 @@ def depth_profile(voxels: DataFrame, mask: DataFrame, by: list[str], width: floa
     core means, and their difference over the mean use every pixel.
     """
     inner = neighbours(mask.select(*by, "y", "x", F.lit(1).alias("value")), by, [(0, 1), (0, -1), (1, 0), (-1, 0)], ["y", "x"]).groupBy(*by, "y", "x").agg(F.count("*").alias("n")).where("n = 4")
-    key = F.concat_ws(",", "y", "x")
-    edge = mask.select(*by, "y", "x").join(inner, [*by, "y", "x"], "left_anti").withColumn("id", key)
-    inside = voxels.join(mask.select(*by, "y", "x"), [*by, "y", "x"], "left_semi").withColumn("id", key)
-    d = inside.join(nearest(inside, edge, by, ["y", "x"], step=step).select(*by, "id", "distance"), [*by, "id"])
+    edge = mask.select(*by, "y", "x").join(inner.hint("merge"), [*by, "y", "x"], "left_anti")
+    d = distances(voxels.join(mask.select(*by, "y", "x").hint("merge"), [*by, "y", "x"], "left_semi"), edge, by, ["y", "x"])
     d = d.withColumn("bin", F.floor(F.round(F.col("distance") / width, 9)))
     per = d.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     peak = per.groupBy(*by).agg(((F.max_by("bin", F.struct(F.round("mean", 9), -F.col("bin"))) + 0.5) * width).alias("peak"))

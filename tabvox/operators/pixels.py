@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabvox.functions.lineage import cut
 from tabvox.functions.scalar import correlation
-from tabvox.operators.spatial import nearest, neighbours
+from tabvox.operators.distance import distances, shell_measures
+from tabvox.operators.spatial import neighbours
+from tabvox.operators.tiles import box_sums, tiled
 
 
 def objects_from_labels(labels: DataFrame, by: list[str]) -> DataFrame:
@@ -88,12 +91,10 @@ def granularity(voxels: DataFrame, by: list[str], lags: list[int]) -> DataFrame:
     return n.groupBy(*by, lag.alias("lag")).agg(correlation("value", "other").alias("r"))
 
 
-def shells(voxels: DataFrame, mask: DataFrame, by: list[str], width: float, step: float = 2.0) -> DataFrame:
-    """(by, shell, n, mean): mean of the value by distance from the nearest pixel of mask."""
-    key = F.col("y") * 1_000_003 + F.col("x")
-    near = nearest(voxels.select(*by, key.alias("id"), F.col("x").cast("double"), F.col("y").cast("double")), mask.select(*by, key.alias("id"), F.col("x").cast("double"), F.col("y").cast("double")), by, ["x", "y"], step=step)
-    v = voxels.select(*by, key.alias("id"), "value").join(near.where("distance IS NOT NULL"), [*by, "id"])
-    return v.groupBy(*by, F.floor(F.col("distance") / width).cast("int").alias("shell")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+def shells(voxels: DataFrame, mask: DataFrame, by: list[str], width: float, axes: tuple[str, ...] = ("y", "x"), scale: dict[str, float] | None = None, count: int | None = None) -> dict[str, DataFrame]:
+    """shells: (by, shell, n, mean) and summary: (by, slope, auc) of values by distance from the nearest place of mask, in two or three dimensions."""
+    at = distances(voxels.select(*by, *axes, "value"), mask, by, list(axes), scale)
+    return shell_measures(at, by, width, count)
 
 
 def glcm(voxels: DataFrame, by: list[str], levels: int, low: float, high: float) -> DataFrame:
@@ -212,23 +213,25 @@ def unmix(voxels: DataFrame, by: list[str], quiet: float, saturated: float) -> D
 
 
 def local_sums(voxels: DataFrame, by: list[str], value: str, reach: int) -> DataFrame:
-    """Add total: the sum over a square window, as sums along rows and then columns; the grid may have gaps."""
-    near = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
-    rows = voxels.select(*by, "y", near("x").alias("x"), F.col(value).alias("v")).groupBy(*by, "y", "x").agg(F.sum("v").alias("v"))
-    total = rows.select(*by, near("y").alias("y"), "x", "v").groupBy(*by, "y", "x").agg(F.sum("v").alias("total"))
+    """Add total: the sum over a square window; the grid may have gaps."""
+    total = tiled(voxels, by, [value], reach, lambda a: {"total": box_sums(np.nan_to_num(a[value]), reach)}, ["total"])
     return voxels.join(total.hint("merge"), [*by, "y", "x"])
 
 
 def local_correlation(ab: DataFrame, by: list[str], reach: int) -> DataFrame:
     """Add r: correlation of a and b in a window around each pixel; null where either is constant there."""
-    near = lambda c: F.explode(F.sequence(F.col(c) - reach, F.col(c) + reach))
-    names = ("n", "sa", "sb", "saa", "sbb", "sab")
-    values = (F.lit(1.0), F.col("a"), F.col("b"), F.col("a") * F.col("a"), F.col("b") * F.col("b"), F.col("a") * F.col("b"))
-    rows = ab.select(*by, "y", near("x").alias("x"), *[v.alias(n) for n, v in zip(names, values, strict=True)]).groupBy(*by, "y", "x").agg(*[F.sum(n).alias(n) for n in names])
-    total = rows.select(*by, near("y").alias("y"), "x", *names).groupBy(*by, "y", "x").agg(*[F.sum(n).alias(n) for n in names])
-    n = F.col("n")
-    cov, va, vb = F.col("sab") - F.col("sa") * F.col("sb") / n, F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n
-    return ab.join(total.hint("merge"), [*by, "y", "x"]).select(*ab.columns, F.when((va > 1e-9) & (vb > 1e-9), cov / F.sqrt(va * vb)).alias("r"))
+
+    def run(arrays):
+        there = ~np.isnan(arrays["a"])
+        a, b = (np.where(there, arrays[c] - np.nanmean(arrays[c]), 0.0) for c in "ab")  # about 0, so that sums keep their digits
+        n, sa, sb, saa, sbb, sab = (box_sums(x, reach) for x in (there.astype(float), a, b, a * a, b * b, a * b))
+        n = np.maximum(n, 1)
+        va, vb = saa - sa * sa / n, sbb - sb * sb / n
+        known = (va > 1e-9) & (vb > 1e-9)
+        return {"r": np.where(known, (sab - sa * sb / n) / np.sqrt(np.where(known, va * vb, 1.0)), np.nan)}
+
+    r = tiled(ab.where("a IS NOT NULL AND b IS NOT NULL"), by, ["a", "b"], reach, run, ["r"])
+    return ab.join(r.hint("merge"), [*by, "y", "x"], "left").select(*ab.columns, F.nanvl("r", F.lit(None)).alias("r"))
 
 
 def veto(ab: DataFrame, by: list[str], target_from: float, contaminant_to: float) -> DataFrame:
@@ -236,27 +239,23 @@ def veto(ab: DataFrame, by: list[str], target_from: float, contaminant_to: float
     return ab.withColumn("keep", (F.col("a") >= target_from) & (F.col("b") <= contaminant_to))
 
 
-def components(mask: DataFrame, by: list[str], most_rounds: int = 200) -> DataFrame:
-    """(by, y, x, label): the smallest pixel key of each four-connected component, by label propagation with doubling jumps.
+def components(mask: DataFrame, by: list[str]) -> DataFrame:
+    """(by, y, x, label): the smallest pixel of each four-connected component, as y * 2**32 + x, by label propagation with doubling jumps.
 
-    Each few rounds are written to the checkpoint folder, so lineage stays short.
+    Each round is written to the checkpoint folder, so lineage stays short; rounds end when nothing moves.
     """
-    key = F.col("y") * 1_000_003 + F.col("x")
-    now = mask.select(*by, "y", "x", key.alias("id"), key.alias("label"))
+    now = mask.select(*by, "y", "x", (F.col("y").cast("long") * (1 << 32) + F.col("x")).alias("label"))
     four = [(0, 1), (0, -1), (1, 0), (-1, 0)]
-    for _ in range(most_rounds):
+    while True:
         least = neighbours(now, by, four, ["y", "x"], "label").groupBy(*by, "y", "x").agg(F.min("other").alias("near"))
-        step = now.join(least, [*by, "y", "x"], "left").withColumn("best", F.least("label", F.coalesce("near", "label")))
+        step = now.join(least.hint("merge"), [*by, "y", "x"], "left").withColumn("best", F.least("label", F.coalesce("near", "label")))
         # everything under an old label takes the best that any of its pixels saw, then that label's own label
         jump = step.groupBy(*by, "label").agg(F.min("best").alias("to"))
-        to = jump.join(jump.select(*by, F.col("label").alias("to"), F.col("to").alias("to2")), [*by, "to"], "left").select(*by, "label", F.coalesce("to2", "to").alias("to"))
-        new = now.join(to, [*by, "label"]).select(*by, "y", "x", "id", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved"))
-        new = cut(new)
-        done = new.where("moved").isEmpty()
+        to = jump.join(jump.select(*by, F.col("label").alias("to"), F.col("to").alias("to2")).hint("merge"), [*by, "to"], "left").select(*by, "label", F.coalesce("to2", "to").alias("to"))
+        new = cut(now.join(to.hint("merge"), [*by, "label"]).select(*by, "y", "x", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved")))
         now = new.drop("moved")
-        if done:
-            break
-    return now.select(*by, "y", "x", "label")
+        if new.where("moved").isEmpty():
+            return now
 
 
 def size_filter(labels: DataFrame, by: list[str], low: int, high: int) -> DataFrame:

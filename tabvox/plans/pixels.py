@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tabvox.operators import pixels as K
 from tabvox.operators.aggregate import nearest_rank
+from tabvox.operators.forward import forward_model
+from tabvox.operators.fractal import fractal
+from tabvox.operators.outline import outlines
 from tabvox.plans.base import query, rounded
 from tabvox.plans.joins import GRID, labels
 from tabvox.sources.driver import role
@@ -81,7 +84,31 @@ def k10_granularity(spark, sf):
 @query(f"{PAIR}, m AS (SELECT y, x FROM ab WHERE b>=50), d AS (SELECT p.y, p.x, p.a, min(sqrt((p.y-m.y)*(p.y-m.y)+(p.x-m.x)*(p.x-m.x))) d FROM ab p JOIN m ON true GROUP BY 1,2,3) SELECT CAST(floor(d/2) AS INT) AS shell, count(*) AS n, round(avg(a),4) AS mean FROM d GROUP BY 1")
 def k12_shells(spark, sf):
     ab = _pair(spark, sf)
-    return rounded(K.shells(ab.select("g", "y", "x", F.col("a").alias("value")), ab.where("b >= 50"), ["g"], 2.0).drop("g"))
+    return rounded(K.shells(ab.select("g", "y", "x", F.col("a").alias("value")), ab.where("b >= 50"), ["g"], 2.0)["shells"].drop("g"))
+
+
+SHELLS = f"{PAIR}, m AS (SELECT y, x FROM ab WHERE b>=50), d AS (SELECT p.y, p.x, p.a, min(sqrt((p.y-m.y)*(p.y-m.y)+(p.x-m.x)*(p.x-m.x))) d FROM ab p JOIN m ON true GROUP BY 1,2,3), s AS (SELECT floor(round(d/2,9)) k, avg(a) v FROM d GROUP BY 1)"
+
+
+@query(f"{SHELLS} SELECT round(regr_slope(v,(k+0.5)*2),5) AS slope, round(sum(v)*2,4) AS auc FROM s WHERE k<8")
+def k12_shell_summary(spark, sf):
+    ab = _pair(spark, sf)
+    out = K.shells(ab.select("g", "y", "x", F.col("a").alias("value")), ab.where("b >= 50"), ["g"], 2.0, count=8)["summary"]
+    return out.select(F.round("slope", 5).alias("slope"), F.round("auc", 4).alias("auc"))
+
+
+#: Slices lie three pixels apart.
+SHELLS3 = f"WITH {GRID}, m AS (SELECT * FROM voxels WHERE channel='R' AND value>=50), d AS (SELECT p.channel, p.z, p.y, p.x, p.value, min(sqrt(9*(p.z-m.z)*(p.z-m.z)+(p.y-m.y)*(p.y-m.y)+(p.x-m.x)*(p.x-m.x))) d FROM voxels p JOIN m ON true WHERE p.channel<>'R' GROUP BY 1,2,3,4,5)"
+
+
+@query(f"{SHELLS3} SELECT channel, CAST(floor(round(d/2,9)) AS INT) AS shell, count(*) AS n, round(avg(value),4) AS mean FROM d GROUP BY 1,2")
+def k12_shells_3d(spark, sf):
+    """Both other channels by distance from the bright voxels of one, in three dimensions."""
+    v = _v(spark, sf)
+    one = v.where("channel = 'R' AND value >= 50").drop("channel", "value")
+    others = [v.where(f"channel = '{c}'") for c in "AN"]
+    mask = one.select(F.explode(F.array(*[F.lit(c) for c in "AN"])).alias("channel"), "z", "y", "x")
+    return rounded(K.shells(others[0].unionByName(others[1]), mask, ["channel"], 2.0, axes=("z", "y", "x"), scale={"z": 3.0})["shells"])
 
 
 GLCM = "c AS (SELECT {by} a.q i, b.q j FROM q a JOIN (VALUES (0,1),(1,0),(1,1),(1,-1)) o(dy,dx) ON true JOIN q b ON {on} AND b.y=a.y+o.dy AND b.x=a.x+o.dx), s AS (SELECT {k} i, j FROM c UNION ALL SELECT {k} j, i FROM c), p AS (SELECT {k} i, j, count(*)/sum(count(*)) OVER (PARTITION BY {kk}) p, sum(count(*)) OVER (PARTITION BY {kk})/2 pairs FROM s GROUP BY {k} i, j)"
@@ -171,7 +198,7 @@ def k32_veto(spark, sf):
     return K.veto(_pair(spark, sf), ["g"], 30.0, 40.0).select("y", "x", "keep")
 
 
-COMP = f"{G}, m AS (SELECT y, x, y*1000003+x AS id FROM flat WHERE channel='A' AND value>=42)"
+COMP = f"{G}, m AS (SELECT y, x, y::BIGINT*4294967296+x AS id FROM flat WHERE channel='A' AND value>=42)"
 
 
 @query(f"WITH RECURSIVE {COMP[5:]}, e AS (SELECT a.id a, b.id b FROM m a JOIN m b ON abs(a.y-b.y)+abs(a.x-b.x)=1), w AS (SELECT id AS id, id AS root FROM m UNION SELECT e.b, w.root FROM w JOIN e ON e.a=w.id WHERE w.root < e.b) SELECT m.y, m.x, min(root) AS label FROM w JOIN m USING (id) GROUP BY 1,2")
@@ -205,6 +232,51 @@ def k40_shape2d(spark, sf):
     return rounded(K.shape2d(_lab(spark, sf), ["channel"]), 5)
 
 
+# a side of the hull is a pair of row ends with no pixel on its right, and none on its line beyond it
+HULL = f"WITH {GRID}, {LAB}, n AS (SELECT channel, label, count(*) n FROM flatlab GROUP BY 1,2 HAVING count(*)>=3), e AS (SELECT DISTINCT channel, label, y, unnest([x0, x1]) AS x FROM (SELECT channel, label, y, min(x) x0, max(x) x1 FROM flatlab GROUP BY 1,2,3)), p AS (SELECT a.channel, a.label, a.x ax, a.y ay, b.x bx, b.y AS by_ FROM e a JOIN e b ON a.channel=b.channel AND a.label=b.label AND (a.x<>b.x OR a.y<>b.y)), s AS (SELECT p.channel, p.label, ax, ay, bx, by_ FROM p JOIN e c ON p.channel=c.channel AND p.label=c.label GROUP BY ALL HAVING min((bx-ax)*(c.y-ay)-(by_-ay)*(c.x-ax))>=0 AND bool_and((bx-ax)*(c.y-ay)-(by_-ay)*(c.x-ax)<>0 OR ((c.x-ax)*(c.x-bx)+(c.y-ay)*(c.y-by_))<=0)), h AS (SELECT channel, label, sum(ax*by_-bx*ay)/2.0 a FROM s GROUP BY 1,2), f AS (SELECT channel, label, sqrt(max((ax-bx)*(ax-bx)+(ay-by_)*(ay-by_))) f FROM p GROUP BY 1,2)"
+
+
+@query(f"{HULL} SELECT channel, label, n::DOUBLE AS area, greatest(coalesce(a,0),n)::DOUBLE AS hull_area, round(n/greatest(coalesce(a,0),n),6) AS solidity, round(f,6) AS feret FROM n LEFT JOIN h USING (channel, label) LEFT JOIN f USING (channel, label)")
+def k40_outlines(spark, sf):
+    return rounded(outlines(_lab(spark, sf), ["channel"]).select("channel", "label", "area", "hull_area", "solidity", "feret"), 6)
+
+
+@query()
+def k40_calipers(spark, sf):
+    """Corners, least widths and angles of the same outlines."""
+    return outlines(_lab(spark, sf), ["channel"]).select("channel", "label", "hull", "least_feret", "feret_angle")
+
+
+LACUNARITY = f"WITH {GRID}, {LAB}, b AS (SELECT channel, label, min(y) y0, max(y) y1, min(x) x0, max(x) x1, max(y)-min(y)+1 h, max(x)-min(x)+1 w, ceil(greatest(max(y)-min(y)+1,max(x)-min(x)+1)/4.0)::INT pad FROM flatlab GROUP BY 1,2 HAVING max(y)-min(y)+1>=8 AND max(x)-min(x)+1>=8), q AS (SELECT unnest([1,2,4,8,16,32,64]) r), c AS (SELECT channel, label, r, count(DISTINCT ((y-y0)//r)*1000+(x-x0)//r) n FROM flatlab JOIN b USING (channel, label) JOIN q ON r<=greatest(h,w) GROUP BY 1,2,3), d AS (SELECT channel, label, -regr_slope(ln(n),ln(r)) d, regr_r2(ln(n),ln(r)) r2 FROM c GROUP BY 1,2 HAVING count(*)>=3), o AS (SELECT channel, label, r, y0-pad+i AS cy, x0-pad+j AS cx FROM b JOIN q ON r<=least(h,w)+2*pad, unnest(range(h+2*pad-r+1)) AS u(i), unnest(range(w+2*pad-r+1)) AS t(j)), m AS (SELECT o.channel, o.label, r, cy, cx, count(f.y) m FROM o LEFT JOIN flatlab f ON f.channel=o.channel AND f.label=o.label AND f.y>=cy AND f.y<cy+r AND f.x>=cx AND f.x<cx+r GROUP BY 1,2,3,4,5), l AS (SELECT channel, label, r, avg(m*m)/(avg(m)*avg(m)) l FROM m GROUP BY 1,2,3)"
+
+
+@query(f"{LACUNARITY} SELECT channel, label, round(any_value(d),4) AS dimension, round(any_value(r2),4) AS r2, any_value(r2>=0.9) AS reliable, round(avg(l),5) AS lacunarity, round(coalesce(stddev_samp(l),0),5) AS lacunarity_sd FROM l JOIN d USING (channel, label) GROUP BY 1,2")
+def k42_fractal(spark, sf):
+    out = fractal(_lab(spark, sf), ["channel"])
+    return out.select("channel", "label", F.round("dimension", 4).alias("dimension"), F.round("r2", 4).alias("r2"), "reliable", F.round("lacunarity", 5).alias("lacunarity"), F.round("lacunarity_sd", 5).alias("lacunarity_sd"))
+
+
+# channel A without what N adds everywhere and R where it is bright; values as whole numbers
+MODEL = f"{G}, u AS (SELECT p.y, p.x, round(p.value*100) t, round(q.value*100) a, round(r.value*100) s FROM flat p JOIN flat q ON p.channel='A' AND q.channel='N' AND p.y=q.y AND p.x=q.x JOIN flat r ON r.channel='R' AND p.y=r.y AND p.x=r.x), l AS (SELECT quantile_disc(t,0.5) qt, quantile_disc(s,0.5) qs FROM u), ks AS (SELECT greatest(0,coalesce(sum(s*a)/nullif(sum(a*a),0),0)) k FROM u, l WHERE greatest(t,a,s)<5000 AND s<=qs AND a>0), kt AS (SELECT greatest(0,coalesce(sum(t*a)/nullif(sum(a*a),0),0)) k FROM u, l WHERE greatest(t,a,s)<5000 AND t<=qt AND a>0), w AS (SELECT p.y, p.x, count(*) n, sum(q.t*q.a) ta, sum(q.a*q.a) aa FROM u p JOIN u q ON abs(p.y-q.y)<=12 AND abs(p.x-q.x)<=12 JOIN l ON greatest(q.t,q.a,q.s)<5000 AND q.t<=qt GROUP BY 1,2), f AS (SELECT u.*, CASE WHEN n>=50 AND aa>1e-12 THEN greatest(0,ta/aa) ELSE kt.k END AS local_1, floor(least(65535,greatest(0,s-ks.k*a))+0.5) p FROM u LEFT JOIN w ON u.y=w.y AND u.x=w.x JOIN ks ON true JOIN kt ON true), g AS (SELECT *, floor(least(65535,greatest(0,t-local_1*a))+0.5) f1 FROM f), z AS (SELECT quantile_disc(p,0.9) bp, quantile_disc(f1,0.5) tf FROM g), b AS (SELECT CASE WHEN count(*)>=50 THEN greatest(0,coalesce(sum(f1*p)/nullif(sum(p*p),0),0)) ELSE 0 END AS k FROM g, z WHERE greatest(t,a,s)<5000 AND f1<=tf AND p>=bp AND p>0)"
+
+
+@query(f"{MODEL} SELECT y, x, round(local_1,6) AS local_1, round(b.k,6) AS bleed_1, floor(least(65535,greatest(0,f1-b.k*p))+0.5)::DOUBLE AS corrected FROM g, b")
+def k34_forward_model(spark, sf):
+    f = _flat(spark, sf)
+    one = lambda c, n: f.where(f"channel = '{c}'").select("y", "x", F.round(F.col("value") * 100).alias(n))
+    u = one("A", "t").join(one("N", "a").hint("merge"), ["y", "x"]).join(one("R", "s").hint("merge"), ["y", "x"]).withColumn("g", F.lit(1))
+    return rounded(forward_model(u, ["g"], "t", ["a"], ["s"], reach=12, saturated=5000.0).select("y", "x", "local_1", "bleed_1", "corrected"), 6)
+
+
+@query()
+def k34_forward_model_joint(spark, sf):
+    """Both other channels as sources and autos in turn, alternating until the shares stand still."""
+    f = _flat(spark, sf)
+    one = lambda c, n: f.where(f"channel = '{c}'").select("y", "x", F.round(F.col("value") * 100).alias(n))
+    u = one("A", "t").join(one("N", "a").hint("merge"), ["y", "x"]).join(one("R", "s").hint("merge"), ["y", "x"]).withColumn("g", F.lit(1))
+    return forward_model(u, ["g"], "t", ["a"], ["s"], reach=12, saturated=5000.0, rounds=6).select("y", "x", "local_1", "bleed_1", "corrected")
+
+
 @query()
 def k41_shape3d(spark, sf):
     return K.shape3d(labels(spark, sf), ["channel"])

@@ -45,9 +45,15 @@ def l07_parameter_diff(spark, sf):
     return Q.parameter_diff(one(2), one(3))
 
 
-@query(f"{OBJ} SELECT animal, channel, count(volume) AS n, round(sum(volume)/count(volume),4) AS mean, min(volume) AS least, max(volume) AS most FROM objects GROUP BY 1,2")
+@query(f"{OBJ} SELECT animal, channel, count(DISTINCT run_id) AS runs, count(DISTINCT section) AS sections, count(*) AS count, round(sum(volume),3) AS volume_total, round(avg(volume),4) AS volume_mean, min(volume) AS volume_min, max(volume) AS volume_max, round(sum(intden),2) AS intden_total, round(avg(intden),4) AS intden_mean, min(intden) AS intden_min, max(intden) AS intden_max FROM objects WHERE volume > 0 GROUP BY 1,2".replace("AS count", 'AS "count"'))
 def m01_incremental_merge(spark, sf):
-    return rounded(ingest.merged(ingest.partials(role(spark, sf, "objects"), ["animal", "channel"], "volume"), ["animal", "channel"]))
+    """The objects of each run come as two files in two batches; the first file comes again later."""
+    o = role(spark, sf, "objects").where("volume > 0")
+    by, values = ["animal", "channel"], {"volume": F.col("volume"), "intden": F.col("intden")}
+    batch = lambda n, half: ingest.partials(o.where(F.pmod(F.xxhash64("label"), F.lit(2)) == half).withColumn("file", F.lit(f"objects-{half}")), by, values).withColumn("batch", F.lit(n))
+    state = batch(0, 0).unionByName(batch(1, 1)).unionByName(batch(2, 0))
+    out = ingest.merged(ingest.newest(state), by, ["volume", "intden"])
+    return rounded(out).withColumns({"volume_total": F.round("volume_total", 3), "intden_total": F.round("intden_total", 2)})
 
 
 @query("SELECT DISTINCT c_name AS animal FROM customer UNION SELECT DISTINCT p_name FROM part")

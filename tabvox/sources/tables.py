@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabvox.functions.names import safe_cell
@@ -30,11 +32,86 @@ def channel_from_file(df: DataFrame) -> DataFrame:
     return df.withColumn("channel", F.regexp_replace(F.col("_metadata.file_name"), r"(\.csv|\.tsv|\.parquet|\.json)+$", ""))
 
 
-def publish(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Write a table for others: text cells can't be taken for formulas, and the committer shows whole results only."""
+def publish(df: DataFrame, path: str, fmt: str = "csv", least: int = 0, keep: int = 2) -> str:
+    """Write a table for others as a new version of path, and give the version's name.
+
+    Text cells can't be taken for formulas. The rows go to a folder of their own, are read back and
+    compared in number and columns with what was written; only then a small file that names the version
+    is replaced, in one step. So readers (read_published) see the old table or the new one, and after a
+    failure the old one. Fewer than `least` rows are a failure. The last `keep` versions are kept, for
+    those who read one.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    place = f"{path.rstrip('/')}/{version}"
     safe = df.select(*[safe_cell(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
-    writer = safe.write.mode("overwrite")
-    writer.csv(path, header=True, quote='"', escape='"') if fmt == "csv" else writer.format(fmt).save(path)
+    seen = Observation()
+    safe = safe.observe(seen, F.count("*").alias("rows"))
+    safe.write.csv(place, header=True, quote='"', escape='"') if fmt == "csv" else safe.write.format(fmt).save(place)
+    back = _version(spark, place, fmt)
+    rows, found = seen.get["rows"], back.count()
+    if found != rows or found < least or (found or fmt != "csv") and back.columns != df.columns:
+        _delete(spark, place)
+        raise ValueError(f"{found} rows of {back.columns} came back of {rows} of {df.columns}; at least {least} rows are wanted; {path} stays as it was")
+    before = _manifest(spark, path)
+    lines = [f"{version} {fmt}", *before][:keep]
+    _replace(spark, f"{path.rstrip('/')}/{MANIFEST}", "\n".join(lines))
+    for line in before[keep - 1 :]:
+        _delete(spark, f"{path.rstrip('/')}/{line.split()[0]}")
+    return version
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version of a published table that is in force."""
+    lines = _manifest(spark, path)
+    if not lines:
+        raise FileNotFoundError(f"nothing is published at {path}")
+    version, fmt = lines[0].split()
+    return _version(spark, f"{path.rstrip('/')}/{version}", fmt)
+
+
+MANIFEST = "_versions"
+
+
+def _version(spark: SparkSession, place: str, fmt: str) -> DataFrame:
+    return spark.read.csv(place, header=True, quote='"', escape='"', multiLine=True) if fmt == "csv" else spark.read.format(fmt).load(place)
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's view of a path in any store: (file context, path)."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri() if p.toUri().getScheme() else p.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration()), p
+
+
+def _manifest(spark: SparkSession, path: str) -> list[str]:
+    """Versions and formats, the one in force first; none where nothing is published."""
+    files, p = _files(spark, f"{path.rstrip('/')}/{MANIFEST}")
+    if not files.util().exists(p):
+        return []
+    stream = files.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    finally:
+        stream.close()
+
+
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside path and rename it over path."""
+    jvm = spark._jvm
+    files, draft = _files(spark, f"{path}-{uuid.uuid4().hex}")
+    flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$CreateOpts"), 0)
+    out = files.create(draft, flags, options)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    how[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    files.rename(draft, jvm.org.apache.hadoop.fs.Path(path), how)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, p = _files(spark, path)
+    files.delete(p, True)
 
 
 def read_run_records(spark: SparkSession, path: str) -> DataFrame:

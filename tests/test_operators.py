@@ -13,7 +13,6 @@ from tabvox.operators import pixels as K
 from tabvox.operators import points as P
 from tabvox.operators import spatial as S
 from tabvox.sources import tables as T
-from tabvox.streaming import ingest
 
 
 def test_parse_modes(spark):
@@ -96,7 +95,7 @@ def test_identical_channels(spark):
 def test_components_of_a_spiral(spark):
     rows = [(1, 0, x) for x in range(9)] + [(1, y, 8) for y in range(9)] + [(1, 8, x) for x in range(9)] + [(1, y, 0) for y in range(2, 9)] + [(1, 4, 4)]
     got = {(r["y"], r["x"]): r["label"] for r in K.components(spark.createDataFrame(rows, "g int, y int, x int").distinct(), ["g"]).collect()}
-    assert len(set(got.values())) == 2 and got[4, 4] == 4 * 1_000_003 + 4
+    assert len(set(got.values())) == 2 and got[4, 4] == 4 * 2**32 + 4
 
 
 def test_near_names(spark):
@@ -131,9 +130,6 @@ def test_csv_round_trip(spark, tmp_path):
         f.write(' Animal Name ,Volume\n"M ""1""\nx",2\n,\nM2,bad\n')
     df = T.typed(T.read_measurements(spark, p), ["Volume"])
     assert [(r[0], r[1]) for r in df.collect()] == [('M "1"\nx', 2.0), ("M2", None)]
-    out = str(tmp_path / "out")
-    T.publish(spark.createDataFrame([("=1+1",), ("a",)], "c string"), out)
-    assert {r[0] for r in spark.read.csv(out, header=True).collect()} == {"'=1+1", "a"}
 
 
 def test_roster(spark, tmp_path):
@@ -142,15 +138,3 @@ def test_roster(spark, tmp_path):
         f.write("Animal_ID,Sex,Group\nM1,f,ctrl\nM2,m,\n")
     got = {tuple(r) for r in T.read_roster(spark, p).collect()}
     assert got == {("M1", "Sex", "f"), ("M1", "Group", "ctrl"), ("M2", "Sex", "m")}
-
-
-def test_stream_is_idempotent(spark, tmp_path):
-    src, state, ck = (str(tmp_path / d) for d in ("src", "state", "ck"))
-    schema = "run_id string, animal string, volume double"
-    spark.createDataFrame([("r1", "a", 1.0), ("r1", "b", 2.0)], schema).write.mode("append").parquet(src)
-    for _ in range(2):
-        ingest.start(spark, src, spark.createDataFrame([], schema).schema, state, ck, ["animal"], "volume").awaitTermination()
-    spark.createDataFrame([("r2", "a", 3.0)], schema).write.mode("append").parquet(src)
-    ingest.start(spark, src, spark.createDataFrame([], schema).schema, state, ck, ["animal"], "volume").awaitTermination()
-    got = {r["animal"]: (r["n"], r["mean"]) for r in ingest.merged(spark.read.parquet(state), ["animal"]).collect()}
-    assert got == {"a": (2, 2.0), "b": (1, 2.0)}
