@@ -7,7 +7,8 @@ of all phrases, of all words, and of the words in all. No shorter n-gram is made
 
 Two words that don't follow each other often enough can't stand in a phrase that is frequent, so a
 window is cut (padded) where that is so. The pairs are found beforehand by 64-bit hashes and passed on as
-a bitmap of a fixed size; a clash there only leaves a window longer, all counts are of the words themselves.
+a bitmap of a fixed size; a clash there only leaves a window longer. Within a task 64-bit hashes stand for
+words; what is shuffled, rolled up and compared are the words themselves.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ STOPS, BLANKS = (*map(ord, ".,;:!?"), 0x0A, 0x0B, 0x0C, 0x0D), (0x20, 0x09)
 _STOP, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(STOPS)] = True
 _BREAK[[*STOPS, *BLANKS]] = True
-HELD = 1 << 19  # distinct rows that a task holds before it sends them on
+HELD = 3 << 19  # distinct rows that a task holds before it sends them on
 SALTS = 16
 U = np.uint64
 
@@ -55,28 +56,48 @@ def _count(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, n
 
 
-def _merged(parts, names: list[str]):
-    """Batches of columns and counts from parts (key, columns, counts): rows of one key become one, as far as a task holds them."""
+def _merged(parts):
+    """Parts (keys, columns of numbers, counts), one row a key as far as a task holds them."""
     held, rows = [], 0
 
-    def flush():
+    def joined():
         key, at, which = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
         n = np.bincount(which, np.concatenate([c for _, _, c in held]), len(key)).astype(np.int64)  # below 2**53, so exact
-        columns = [pa.concat_arrays([p[1][i] for p in held]).take(pa.array(at)) for i in range(len(names) - 1)]
-        return key, columns, n
+        return key, [np.concatenate([p[1][i] for p in held])[at] for i in range(len(held[0][1]))], n
 
     for part in parts:
         held.append(part)
         rows += len(part[0])
         if rows >= HELD:
-            held = [flush()]
+            held = [joined()]
             rows = len(held[0][0])
             if rows >= HELD // 2:
-                yield pa.RecordBatch.from_arrays([*held[0][1], pa.array(held[0][2])], names)
-                held, rows = [], 0
+                yield held.pop()
+                rows = 0
     if held:
-        _, columns, n = flush()
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], names)
+        yield joined()
+
+
+class _Texts:
+    """Texts by their hashes: those of the words that a task meets in windows."""
+
+    def __init__(self):
+        self.hash, self.text = np.zeros(0, U), pa.array([], pa.string())
+
+    def add(self, buf, start, end, hashes):
+        new, at = np.unique(hashes, return_index=True)
+        at = at[~np.isin(new, self.hash)]
+        size = end[at] - start[at]
+        data, ends = FOLD[gather(buf, start[at], size)], np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        text = pa.concat_arrays([self.text, pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)])])
+        both = np.concatenate([self.hash, hashes[at]])
+        order = np.argsort(both)
+        self.hash, self.text = both[order], text.take(pa.array(order))
+
+    def of(self, hashes):
+        """The texts; null for 0."""
+        at = np.searchsorted(self.hash, hashes)
+        return self.text.take(pa.array(at, pa.int64(), mask=hashes == 0))
 
 
 def _frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
@@ -88,10 +109,11 @@ def _frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
             first = np.flatnonzero(w.joins)
             key = _pair(w.hash[first], w.hash[first + 1])
             at, n = _count(key)
-            yield key[at], [pa.array(w.hash[first[at] + k].view(np.int64)) for k in (0, 1)], n
+            yield key[at], [w.hash[first[at] + k] for k in (0, 1)], n
 
     def run(batches):
-        return _merged(parts(batches), ["a", "b", "n"])
+        for _, pair, n in _merged(parts(batches)):
+            yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in pair), pa.array(n)], ["a", "b", "n"])
 
     return texts.mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("a", "b")
 
@@ -120,7 +142,7 @@ def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
     """
     names = [f"w{k + 1}" for k in range(longest)]
 
-    def parts(batches):
+    def parts(batches, seen, langs):
         bits = bitmap.value
         shift = U(64 - (len(bits) * 64).bit_length() + 1)
 
@@ -146,18 +168,18 @@ def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
                 deep[here] += 1
             key = np.where(deep == 0, w.salt[w.group], key)  # windows of nulls, of each group
             at, many = _count(key)
-            columns = [pa.DictionaryArray.from_arrays(pa.array(w.group[at]), pa.array(w.names, pa.string())).dictionary_decode()]
+            columns = [w.salt[w.group[at]]]
             for k in range(longest):
-                there = deep[at] > k
-                place = np.minimum(at + k, n - 1)
-                size = np.where(there, w.end[place] - w.start[place], 0)
-                data = FOLD[gather(buf, w.start[place], size)]
-                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                columns.append(pa.Array.from_buffers(pa.string(), len(at), [pa.py_buffer(np.packbits(there, bitorder="little")), pa.py_buffer(ends), pa.py_buffer(data)]))
+                columns.append(np.where(deep[at] > k, w.hash[np.minimum(at + k, n - 1)], U(0)))
+            some = np.flatnonzero(deep)
+            seen.add(buf, w.start[some], w.end[some], w.hash[some])
+            langs.update(zip(w.salt.tolist(), w.names, strict=True))
             yield key[at], columns, many
 
     def run(batches):
-        return _merged(parts(batches), ["lang", *names, "n"])
+        seen, langs = _Texts(), {}
+        for _, (lang, *words), n in _merged(parts(batches, seen, langs)):
+            yield pa.RecordBatch.from_arrays([pa.array([langs[x] for x in lang.tolist()], pa.string()), *map(seen.of, words), pa.array(n)], ["lang", *names, "n"])
 
     return texts.mapInArrow(run, ", ".join(["lang string", *(f"{x} string" for x in names), "n long"]))
 
