@@ -171,7 +171,7 @@ def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
             columns = [w.salt[w.group[at]]]
             for k in range(longest):
                 columns.append(np.where(deep[at] > k, w.hash[np.minimum(at + k, n - 1)], U(0)))
-            some = np.flatnonzero(deep)
+            some = np.flatnonzero(np.cumsum(np.bincount(np.arange(n), minlength=n + 1) - np.bincount(np.arange(n) + deep, minlength=n + 1))[:n])  # in a window
             seen.add(buf, w.start[some], w.end[some], w.hash[some])
             langs.update(zip(w.salt.tolist(), w.names, strict=True))
             yield key[at], columns, many
