@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tabvox.functions.lineage import cut
 from tabvox.functions.scalar import blank_to_null
 
 
@@ -105,19 +106,24 @@ def safe_cell(c: Column) -> Column:
     return F.when(c.rlike(r"^[=+@\-]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-def flatten_json(df: DataFrame, key: str, column: str, depth: int = 4) -> DataFrame:
-    """(key, path, value) of all leaves of JSON objects, paths joined by dots and array places as [i]."""
-    level = df.select(F.col(key), F.lit("").alias("path"), F.col(column).alias("v"))
-    done = None
-    for _ in range(depth):
-        kind = F.when(F.col("v").startswith("{"), "o").when(F.col("v").startswith("["), "a").otherwise("s")
-        level = level.withColumn("kind", kind)
-        leaf = level.where("kind = 's'").select(key, "path", F.col("v").alias("value"))
-        done = leaf if done is None else done.union(leaf)
-        objects = level.where("kind = 'o'").select(key, "path", F.explode(F.from_json("v", "map<string,string>")).alias("k", "v")).select(key, F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), "v")
-        arrays = level.where("kind = 'a'").select(key, "path", F.posexplode(F.from_json("v", "array<string>")).alias("i", "v")).select(key, F.concat("path", F.lit("["), "i", F.lit("]")).alias("path"), "v")
-        level = objects.union(arrays)
-    return done.union(level.select(key, "path", "v"))
+def flatten_json(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, path, value) of all leaves of JSON texts, at any depth: keys joined by dots, array places as [i].
+
+    Empty objects and arrays are leaves of their own, {} and []. A text that isn't JSON is a leaf itself,
+    with an empty path, and so is a null. Strings are kept whatever they begin with; numbers come in their
+    plain form. Each round opens one level of what is still nested, until nothing is.
+    """
+    text = df.select(F.col(f"`{key}`").alias("key_"), F.col(f"`{column}`").cast("string").alias("text_")).withColumn("v_", F.try_parse_json("text_"))
+    done = text.where("v_ IS NULL").select("key_", F.lit("").alias("path_"), F.col("text_").alias("value"))
+    level = text.where("v_ IS NOT NULL").select("key_", F.lit("").alias("path_"), "v_")
+    nested = "substr(schema_of_variant(v_), 1, 5) IN ('OBJEC', 'ARRAY') AND to_json(v_) NOT IN ('{}', '[]')"
+    while True:
+        leaf = F.when(F.expr("schema_of_variant(v_) = 'VOID'"), None).when(F.expr("substr(schema_of_variant(v_), 1, 5) IN ('OBJEC', 'ARRAY')"), F.to_json("v_")).otherwise(F.variant_get("v_", "$", "string"))
+        done = done.unionByName(level.where(f"NOT ({nested})").select("key_", "path_", leaf.alias("value")))
+        step = "CASE WHEN key IS NULL THEN concat(path_, '[', pos, ']') WHEN path_ = '' THEN key ELSE concat(path_, '.', key) END"
+        level = cut(df.sparkSession.sql(f"SELECT key_, {step} AS path_, value AS v_ FROM {{level}}, LATERAL variant_explode(v_) AS t(pos, key, value)", level=level.where(nested)))
+        if level.isEmpty():
+            return done.select(F.col("key_").alias(key), F.col("path_").alias("path"), "value")
 
 
 def curve_normalise(curve: Column, how: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -69,6 +70,15 @@ def chi2_sf(x: Column, df: int) -> Column:
     return out
 
 
+def chi2_tail(x: Column, df: Column) -> Column:
+    """Upper tail of chi-squared, with df a column of any whole numbers from 1 on; null for others."""
+    half, steps = x / 2, F.sequence(F.lit(1), F.greatest(F.floor(df / 2), F.lit(1)))
+    series = lambda first, factor: F.aggregate(steps, F.struct(first.alias("term"), F.lit(0.0).alias("total")), lambda a, k: F.struct((a["term"] * factor(k)).alias("term"), (a["total"] + a["term"]).alias("total")))["total"]
+    even = series(F.exp(-half), lambda k: half / k)
+    odd = 2 * (1 - norm_cdf(F.sqrt(x))) + F.when(df > 1, series(F.sqrt(2 * x / math.pi) * F.exp(-half), lambda k: x / (2 * k + 1))).otherwise(0.0)
+    return F.when((df >= 1) & (x >= 0), F.when(df % 2 == 0, even).otherwise(odd))
+
+
 def shape_composites(sphericity: Column, mean: Column, sd: Column, spareness: Column, elongation: Column, flatness: Column, feret: Column, volume: Column) -> dict[str, Column]:
     """Composite shape scores; null where a denominator vanishes."""
     radius = F.pow(3 * volume / (4 * 3.141592653589793), F.lit(1 / 3))

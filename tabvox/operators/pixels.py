@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from tabvox.functions.lineage import cut
+from tabvox.functions.lineage import cut, few
 from tabvox.functions.scalar import correlation
 from tabvox.operators.distance import distances, shell_measures
 from tabvox.operators.spatial import neighbours
@@ -143,24 +145,46 @@ def manders(ab: DataFrame, by: list[str], ta: float, tb: float) -> DataFrame:
     return ab.groupBy(*by).agg(correlation("a", "b").alias("pearson"), (F.sum(F.when(F.col("b") > tb, F.col("a")).otherwise(0.0)) / F.nullif(F.sum("a"), F.lit(0.0))).alias("m1"), (F.sum(F.when(F.col("a") > ta, F.col("b")).otherwise(0.0)) / F.nullif(F.sum("b"), F.lit(0.0))).alias("m2"))
 
 
-def costes(ab: DataFrame, by: list[str], steps: int = 12, least: float = 0.01) -> DataFrame:
-    """(by, ta, tb): thresholds along the regression line below which the correlation vanishes, by bisection of all groups at once."""
-    line = ab.groupBy(*by).agg(F.regr_slope(F.col("b"), F.col("a")).alias("slope"), F.regr_intercept(F.col("b"), F.col("a")).alias("cut"), F.min("a").alias("lo"), F.max("a").alias("hi")).where("slope > 0")
-    state = [r.asDict() for r in line.collect()]  # a row for each section
-    schema = line.schema
-    spark = ab.sparkSession
-    for _ in range(steps):
-        now = spark.createDataFrame([tuple(s[c] for c in schema.names) for s in state], schema).withColumn("t", (F.col("lo") + F.col("hi")) / 2)
-        got = ab.join(F.broadcast(now), by).where((F.col("a") < F.col("t")) | (F.col("b") < F.col("slope") * F.col("t") + F.col("cut"))).groupBy(*by).agg(correlation("a", "b").alias("r")).collect()
-        r = {tuple(g[c] for c in by): g["r"] for g in got}
-        for s in state:
-            mid = (s["lo"] + s["hi"]) / 2
-            value = r.get(tuple(s[c] for c in by))
-            s["hi" if value is not None and value > least else "lo"] = mid
-    rows = [(*(s[c] for c in by), float(s["hi"]), float(s["slope"] * s["hi"] + s["cut"])) for s in state]
-    from pyspark.sql import types as T
-
-    return spark.createDataFrame(rows, T.StructType([*(schema[c] for c in by), T.StructField("ta", T.DoubleType()), T.StructField("tb", T.DoubleType())]))
+@F.pandas_udf(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
+def _bisected(bins: pd.Series, cells: pd.Series, least: pd.Series) -> pd.DataFrame:
+    """Bisection over whole cells: the correlation of all pixels in bins below the middle decides each step."""
+    out = []
+    for rows, n, r0 in zip(bins, cells, least, strict=True):
+        table = np.array([[r[c] for c in ("bin", "n", "a", "b", "aa", "bb", "ab")] for r in rows], float)
+        table = table[np.argsort(table[:, 0])]
+        sums = np.vstack([np.zeros(6), np.cumsum(table[:, 1:], 0)])
+        lo, hi = 0, int(n)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            k, a, b, aa, bb, ab = sums[np.searchsorted(table[:, 0], mid, "left")]
+            va, vb = (aa - a * a / k, bb - b * b / k) if k else (0.0, 0.0)
+            over = va > 1e-12 * aa and vb > 1e-12 * bb and (ab - a * b / k) / np.sqrt(va * vb) > r0
+            lo, hi = (lo, mid) if over else (mid, hi)
+        out.append((lo, hi))
+    return pd.DataFrame(out, columns=["lo", "hi"])
+
+
+def costes(ab: DataFrame, by: list[str], steps: int = 32, least: float = 0.01, at_once: int = 10) -> DataFrame:
+    """(by, ta, tb): thresholds along the regression line below which the correlation vanishes, by bisection of all groups at once.
+
+    A pixel lies below the line's point t from some t on, so sums over 2**at_once equal steps of t say how
+    every one of the next at_once bisections goes; a pass over the pixels serves as many. Groups whose
+    line doesn't rise are left out. ta is the upper end of the last interval.
+    """
+    line = ab.groupBy(*by).agg(F.regr_slope(F.col("b"), F.col("a")).alias("slope"), F.regr_intercept(F.col("b"), F.col("a")).alias("cut"), F.min("a").alias("lo"), F.max("a").alias("hi"), F.avg("a").alias("ma"), F.avg("b").alias("mb"))
+    state = line.where("slope > 0")
+    a, b = F.col("a") - F.col("ma"), F.col("b") - F.col("mb")  # about their means, so that sums keep their digits
+    while steps > 0:
+        cells = 1 << min(steps, at_once)
+        here = F.least(F.col("a"), (F.col("b") - F.col("cut")) / F.col("slope"))
+        place = F.when(F.col("hi") > F.col("lo"), F.floor((here - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)).otherwise(F.lit(0))
+        j = ab.where("a IS NOT NULL AND b IS NOT NULL").join(few(state), by).withColumn("bin", F.greatest(F.lit(-1), F.least(F.lit(cells), place)))
+        sums = j.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum(a).alias("a"), F.sum(b).alias("b"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"))
+        found = sums.groupBy(*by).agg(F.collect_list(F.struct("bin", "n", "a", "b", "aa", "bb", "ab")).alias("bins")).select(*by, _bisected("bins", F.lit(cells), F.lit(float(least))).alias("m"))
+        width = (F.col("hi") - F.col("lo")) / cells
+        state = state.join(few(found), by).withColumns({"hi": F.col("lo") + width * F.col("m.hi"), "lo": F.col("lo") + width * F.col("m.lo")}).drop("m")
+        steps -= at_once
+    return state.select(*by, F.col("hi").alias("ta"), (F.col("slope") * F.col("hi") + F.col("cut")).alias("tb"))
 
 
 def mutual_information(ab: DataFrame, by: list[str], bins: int, low: float, high: float) -> DataFrame:

@@ -181,12 +181,12 @@ def dunn(df: DataFrame, least: int = 3) -> DataFrame:
 
 def route(df: DataFrame, paired: bool = False, assume: str = "auto") -> DataFrame:
     """(metric, test, statistic, p) by the gate: normal groups get t or F tests, others rank tests; skipped metrics keep their reason as test."""
-    from tabvox.functions.scalar import chi2_sf
+    from tabvox.functions.scalar import chi2_tail
 
     gate = eligibility(df).join(normality(df).groupBy("metric").agg(F.bool_and("normal").alias("normal")), "metric")
     gate = gate.withColumn("normal", F.lit(assume == "normal") if assume != "auto" else F.col("normal"))
     ok = lambda normal, many: gate.where(F.col("reason").isNull() & (F.col("normal") == normal) & ((F.col("groups") > 2) == many)).select("metric")
-    chi = lambda c, k: F.coalesce(*[F.when(F.col(k) == i, chi2_sf(F.col(c), i - 1)) for i in range(2, 12)])
+    chi = lambda c, k: chi2_tail(F.col(c), F.col(k) - 1)
     two_n, two_s = (paired_t, wilcoxon) if paired else (welch, mann_whitney)
     many_n, many_s, stat = (rm_anova, friedman, "chi2") if paired else (anova, kruskal, "h")
     out = two_n(df).join(ok(True, False), "metric", "left_semi").select("metric", F.lit(two_n.__name__).alias("test"), F.col("t").alias("statistic"), "p")

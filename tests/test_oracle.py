@@ -1,4 +1,4 @@
-"""Every query with SQL gives DuckDB's rows; every other one runs."""
+"""Every query with SQL gives DuckDB's rows; every other one runs and has rows (test modules hold them against brute force)."""
 
 import pytest
 from compare import connect, rows
@@ -26,7 +26,7 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
