@@ -19,14 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabvox.llm.textbytes import FOLD, Hasher, chunks, gather, hash_bytes, mix, owner, spans, table
+from tabvox.llm.textbytes import FOLD, Hasher, chunks, gather, hash_bytes, mix, owner, release, spans, table
 
 # fixed values: the characters that end a piece of text, and those between words
 STOPS, BLANKS = (*map(ord, ".,;:!?"), 0x0A, 0x0B, 0x0C, 0x0D), (0x20, 0x09)
 _STOP, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[list(STOPS)] = True
 _BREAK[[*STOPS, *BLANKS]] = True
-HELD = 3 << 19  # distinct rows that a task holds before it sends them on
+HELD = 1 << 20  # distinct rows that a task holds before it sends them on
+SENT = 1 << 15  # of them in a batch
 SALTS = 16
 U = np.uint64
 
@@ -60,7 +61,12 @@ def _merged(parts):
     """Parts (keys, columns of numbers, counts), one row a key as far as a task holds them."""
     held, rows = [], 0
 
+    def parted(key, columns, n):
+        for i in range(0, len(key), SENT):
+            yield key[i : i + SENT], [c[i : i + SENT] for c in columns], n[i : i + SENT]
+
     def joined():
+        release()
         key, at, which = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
         n = np.bincount(which, np.concatenate([c for _, _, c in held]), len(key)).astype(np.int64)  # below 2**53, so exact
         return key, [np.concatenate([p[1][i] for p in held])[at] for i in range(len(held[0][1]))], n
@@ -72,10 +78,10 @@ def _merged(parts):
             held = [joined()]
             rows = len(held[0][0])
             if rows >= HELD // 2:
-                yield held.pop()
+                yield from parted(*held.pop())
                 rows = 0
     if held:
-        yield joined()
+        yield from parted(*joined())
 
 
 class _Texts:
