@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tabvox.llm.textbytes import Hasher, chunks, gather, hash_bytes, letters_only, plus, spans, unique
+from tabvox.llm.textbytes import Hasher, chunks, gather, hash_bytes, letters_and_digits, plus, spans, table, unique
 
 BLOCK = 16
 STEP = 1 << 20  # entries of the index that are looked at together
@@ -34,12 +35,12 @@ _LETTERS = re.compile(rb"[^\x20]+")
 
 
 def plain_words(text: str) -> list[bytes]:
-    """Words of letters only, in lower case."""
-    return _LETTERS.findall(letters_only(np.frombuffer(text.encode(), np.uint8)).tobytes()) if text else []
+    """Words of letters and digits, in lower case."""
+    return _LETTERS.findall(letters_and_digits(np.frombuffer(text.encode(), np.uint8)).tobytes()) if text else []
 
 
 def parts(text: str, answer: str | None = None) -> tuple[list[bytes], list[bytes]]:
-    """Words of an item's question and answer; without an answer the last sentence (or, of one sentence, the last third) is it."""
+    """Words of an item's question and answer; without an answer the last sentence (or, of one sentence, the last third) is it. An item of one word is both."""
     if answer is not None:
         return plain_words(text), plain_words(answer)
     cut = [m.end() for m in re.finditer(r"[.!?]\s+(?=\S)", text.rstrip())]
@@ -47,7 +48,7 @@ def parts(text: str, answer: str | None = None) -> tuple[list[bytes], list[bytes
         return plain_words(text[: cut[-1]]), plain_words(text[cut[-1] :])
     all_ = plain_words(text)
     k = max(1, len(all_) // 3)
-    return (all_[:-k], all_[-k:]) if len(all_) > 1 else (all_, [])
+    return (all_[:-k], all_[-k:]) if len(all_) > 1 else (all_, all_)
 
 
 @dataclass
@@ -84,8 +85,12 @@ def stretches(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, n), *((a, a + size) for a in ([*range(0, n - size, max(1, size // 2)), n - size] if n > size else []))]
 
 
-def build(rows: list[tuple], share: float, window: int = 64) -> Index:
-    """Index (key, text[, answer]) rows, short items first; items without a word are left out."""
+def build(rows: list[tuple], share: float, window: int = 64, corpus: tuple[int, float, dict[int, int]] | None = None) -> Index:
+    """Index (key, text[, answer]) rows, short items first; items without a word are left out.
+
+    corpus: the number of all items, their mean length and in how many of them each of these rows' words
+    occurs, where these rows are a group of them.
+    """
     rows = [(r, *parts(r[1], r[2] if len(r) > 2 else None)) for r in rows if r[1] is not None and plain_words(r[1])]
     rows.sort(key=lambda x: (len(x[1]) + len(x[2]), str(x[0][0]), x[0][1]))
     hashed = [(hash_bytes(q), hash_bytes(a)) for _, q, a in rows]
@@ -100,8 +105,12 @@ def build(rows: list[tuple], share: float, window: int = 64) -> Index:
     item = np.repeat(np.arange(len(cut)), [len(c[0]) for c in counted])
     # an item counts once for a term that several of its stretches hold
     df = np.bincount(unique(whole[item] * np.int64(len(vocabulary)) + term) % max(1, len(vocabulary)), minlength=len(vocabulary))
-    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(1.0, length.mean() if len(docs) else 1.0)))
+    items, mean = len(docs), length.mean() if len(docs) else 1.0
+    if corpus:
+        items, mean = corpus[:2]
+        df = np.array([corpus[2][h] for h in vocabulary.view(np.int64).tolist()], np.int64)
+    idf = np.log(1 + (items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(1.0, mean)))
     threshold = share * np.bincount(item, weight, len(cut))
     order = np.lexsort((item, term))
     term, item, weight = term[order], item[order], weight[order]
@@ -152,7 +161,7 @@ def above(index: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarr
 
 def find(index: Index, buf: np.ndarray, off: np.ndarray, window: int, n: int, question_share: float, answer_share: float):
     """Yield (text, item, score, question overlap, answer overlap, first word, words) of every verified hit of a chunk."""
-    text = letters_only(buf)
+    text = letters_and_digits(buf)
     start, end, ranges = spans(text != 32, off)
     h = Hasher(text)(start, end)
     maybe = np.flatnonzero(index.flags[(h >> np.uint64(44)).astype(np.int64)])
@@ -185,9 +194,9 @@ def find(index: Index, buf: np.ndarray, off: np.ndarray, window: int, n: int, qu
 
 
 def _overlap(part: np.ndarray, around: np.ndarray, n: int) -> float:
-    """Share of the part's n-grams that occur around; 1 for an empty part."""
+    """Share of the part's n-grams that occur around; 0 for an empty part, which verifies nothing."""
     if not len(part):
-        return 1.0
+        return 0.0
     n = min(n, len(part))
     return float(np.isin(np.unique(grams(part, n)), grams(around, n)).mean()) if len(around) >= n else 0.0
 
@@ -195,31 +204,53 @@ def _overlap(part: np.ndarray, around: np.ndarray, n: int) -> float:
 def _indexes(benchmark: DataFrame, item_key: str, item_text: str, answer: str | None, score_share: float, group_items: int, window: int):
     """Yield the broadcast index of each group of items, and the type of their keys."""
     items = benchmark.select(*[F.col(f"`{c}`") for c in (item_key, item_text, *([answer] if answer else []))])
+    kind, send = items.schema[item_key].dataType, items.sparkSession.sparkContext.broadcast
     n_groups = max(1, -(-items.count() // group_items))
+    if n_groups == 1:
+        yield send(build([tuple(r) for r in items.collect()], score_share, window)), kind
+        return
+    grouped = items.withColumn("group_", F.pmod(F.xxhash64(item_key, item_text), F.lit(n_groups)))
+
+    def words(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            docs = [hash_bytes(sum(parts(r[item_text], r[answer] if answer else None), [])) if r[item_text] is not None else np.zeros(0, np.uint64) for r in rows]
+            own = [unique(d) for d in docs]
+            who = np.repeat(np.arange(len(rows)), [max(1, len(d)) for d in own])
+            flat = np.concatenate([d.view(np.int64) if len(d) else np.zeros(1, np.int64) for d in own])
+            size = np.array([len(d) for d in docs], np.int64)[who]
+            first = np.diff(who, prepend=-1) > 0  # an item's length counts once
+            yield pa.RecordBatch.from_arrays([pa.array([rows[i]["group_"] for i in who], pa.int64()), pa.array(flat), pa.array(np.where(first, size, -1)), pa.array(size > 0)], ["group_", "hash", "size", "full"])
+
+    found = table(grouped.mapInArrow(words, "group_ long, hash long, size long, full boolean"), "item-words").where("full")
+    total, mean = found.where("size >= 0").agg(F.count("*"), F.avg("size")).first()
+    counts = table(found.groupBy("hash").agg(F.count("*").alias("df")), "item-df")
     for g in range(n_groups):
-        own = items if n_groups == 1 else items.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(n_groups)) == g)
-        yield items.sparkSession.sparkContext.broadcast(build([tuple(r) for r in own.collect()], score_share, window)), items.schema[item_key].dataType
+        own = found.where(F.col("group_") == g).select("hash").distinct().join(counts.hint("merge"), "hash").collect()  # the words of group_items items at most
+        rows = [tuple(r)[:-1] for r in grouped.where(F.col("group_") == g).collect()]
+        yield send(build(rows, score_share, window, (total, float(mean or 1.0), dict(map(tuple, own))))), kind
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", answer: str | None = None, window: int = 64, score_share: float = 0.5, n: int = 5, question_share: float = 0.6, answer_share: float = 0.6, group_items: int = 20_000) -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap, first_word, n_words), a row for each text and item found in it.
 
-    The passage of the best overlap is named by its first word (counted in words of letters) and
+    The passage of the best overlap is named by its first word (counted in words of letters and digits) and
     length; score is that of the item's best stretch in it. Null and wordless texts and items have no
-    hit; repeated rows of docs have a row each, repeated items too. Columns other than those named are
+    hit, nor has an item whose given answer has no word (with a null one it is split as without answers);
+    repeated rows of docs have a row each, repeated items too; a score at the threshold counts. Columns other than those named are
     left out.
     """
     docs, out = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), None
     for shared, kind in _indexes(benchmark, item_key, item_text, answer, score_share, group_items, window):
         schema = T.StructType([*docs.select("key").schema.fields, T.StructField("item_id", kind), *plus(T.StructType([]), ("score", "double"), ("question_overlap", "double"), ("answer_overlap", "double"), ("first_word", "int"), ("n_words", "int")).fields])
 
-        def run(batches, shared=shared, names=schema.names):
+        def run(batches, shared=shared, names=schema.names, kind=kind):
             index = shared.value
             for part, buf, off in chunks(batches, "text"):
                 rows = list(find(index, buf, off, window, n, question_share, answer_share)) if index.items else []
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(cols[0])), pa.array([index.items[i] for i in cols[1]]), *(pa.array(c, pa.float64()) for c in cols[2:5]), *(pa.array(c, pa.int32()) for c in cols[5:])], names)
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(cols[0])), pa.array([index.items[i] for i in cols[1]], to_arrow_type(kind)), *(pa.array(c, pa.float64()) for c in cols[2:5]), *(pa.array(c, pa.int32()) for c in cols[5:])], names)
 
         got = docs.mapInArrow(run, schema)
         out = got if out is None else out.union(got)
@@ -227,7 +258,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", answer: str | None = None, window: int = 64, score_share: float = 0.5, n: int = 5, question_share: float = 0.6, answer_share: float = 0.6, group_items: int = 20_000) -> DataFrame:
-    """docs with contaminated: does hits find an item in the row's text? A column of that name is replaced."""
+    """docs with contaminated: does hits find an item in the row's text?
+
+    Null and empty texts have none; a column of that name is replaced, all others stay.
+    """
     docs = docs.drop("contaminated").withColumn("contaminated", F.lit(False))
     at = docs.columns.index("contaminated")
     for shared, _ in _indexes(benchmark, item_key, item_text, answer, score_share, group_items, window):

@@ -162,6 +162,28 @@ def letters_only(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+#: As _PLAIN, with digits kept.
+_WORDS = _PLAIN.copy()
+_WORDS[48:58] = np.arange(48, 58)
+
+
+@functools.cache
+def _lower_pairs() -> np.ndarray:
+    """Of each character of two UTF-8 bytes the lower-case one, if that has two bytes too; by the ten bits above ASCII's seven."""
+    lower = [chr(c).lower() for c in range(0x800)]
+    return np.array([ord(x) if len(x) == 1 and 0x80 <= ord(x) < 0x800 else c for c, x in enumerate(lower)], np.uint16)
+
+
+def letters_and_digits(buf: np.ndarray) -> np.ndarray:
+    """buf with ASCII letters and those of two bytes (Latin, Greek, Cyrillic, Armenian ...) in lower case, digits, and all other ASCII as spaces."""
+    out = _WORDS[buf]
+    at = np.flatnonzero((buf[:-1] >= 0xC2) & (buf[:-1] < 0xE0))
+    if len(at):
+        code = _lower_pairs()[((buf[at] & 0x1F).astype(np.int64) << 6) | (buf[at + 1] & 0x3F)]
+        out[at], out[at + 1] = 0xC0 | (code >> 6), 0x80 | (code & 0x3F)
+    return out
+
+
 # ---- Spark helpers ----
 
 

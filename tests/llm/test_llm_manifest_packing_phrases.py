@@ -205,7 +205,8 @@ def plain_phrases(docs, longest, least, percent, top):
 @pytest.mark.parametrize("longest,least,percent,top,bits", [(5, 3, 100, 2000, 27), (5, 2, 60, 7, 10), (3, 2, 100, 2000, 6), (2, 4, 100, 3, 27)])
 def test_phrases_equal_plain_counts(spark, monkeypatch, longest, least, percent, top, bits):
     """Small bitmaps let windows run on; all counts stay exact."""
-    monkeypatch.setattr(collocations, "HELD", 64)
+    monkeypatch.setattr(collocations, "HELD", 500)
+    monkeypatch.setattr(collocations, "SENT", 90)
     make = collocations.counts
     monkeypatch.setattr(collocations, "counts", lambda *a, **k: make(*a, **k, bits=bits))
     r = random.Random(longest * 10 + least)

@@ -290,17 +290,72 @@ def test_copies_are_found_at_every_length_and_offset(size):
 
 def test_leaks_are_found_and_clean_texts_kept(spark, docs, odd):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
-    items = {r["item_id"]: re.findall(r"[^\W\d_]+", r["text"].lower()) for r in benchmark.collect()}
+    items = {r["item_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in benchmark.collect()}
     want = set()
     for r in docs.select("doc_id", "text").collect():
-        text = " " + " ".join(re.findall(r"[^\W\d_]+", (r["text"] or "").lower())) + " "
+        text = " " + " ".join(re.findall(r"[^\W_]+", (r["text"] or "").lower())) + " "
         want |= {(r["doc_id"], i) for i, w in items.items() if f" {' '.join(w)} " in text}
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.hits(docs, benchmark).collect()}
-    assert got == want and want
-    split = {(r["doc_id"], r["item_id"]) for r in decontaminate.hits(docs, benchmark, group_items=7).collect()}
+    whole = sorted(map(tuple, decontaminate.hits(docs, benchmark).collect()))
+    assert {(r[0], r[1]) for r in whole} == want and want
+    split = sorted(map(tuple, decontaminate.hits(docs, benchmark, group_items=7).collect()))
+    assert [r[:2] + r[3:] for r in split] == [r[:2] + r[3:] for r in whole]
+    assert [r[2] for r in split] == pytest.approx([r[2] for r in whole])  # scores don't depend on the groups
     flagged = {r["doc_id"] for r in decontaminate.flag(docs, benchmark).where("contaminated").collect()}
-    assert split >= want and flagged == {d for d, _ in want}
+    assert flagged == {d for d, _ in want}
     assert decontaminate.hits(odd, benchmark).count() == 0 and decontaminate.flag(odd, benchmark.where("false")).where("contaminated").count() == 0
+    assert decontaminate.hits(docs.where("false"), benchmark).count() == 0 and decontaminate.hits(docs.where("false"), benchmark, group_items=3).count() == 0
+
+
+def test_digits_answers_and_letter_case(spark):
+    items = [
+        (1, "What is 12 * 7? 84", None), (2, "12 + 5", None), (3, "Anna has 31 apples and gives 14 to Ben, how many are left?", "17"), (4, "A question without an answer", "?!"),
+        (5, "ΠΌΣΟ ΚΆΝΕΙ ΤΟ ΨΩΜΊ ΣΤΟ ΧΩΡΙΌ ΤΏΡΑ; ΔΎΟ ΕΥΡΏ", None), (6, "КТО НАПИСАЛ ВОЙНУ И МИР? ЛЕВ ТОЛСТОЙ", None), (7, "水的沸点是多少度", None), (8, "!!", None), (9, None, "x"),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id int, text string, answer string")
+    texts = {
+        10: "so what is 3 plus nothing here", 11: "he asked what is 12 * 7? 84 of course", 12: "what is 12 * 7? 85", 13: "we saw 12 + 5 there",
+        14: "Anna has 31 apples and gives 14 to Ben, how many are left? 17", 15: "Anna has 52 apples and gives 25 to Ben, how many are left? 27", 16: "a question without an answer",
+        17: "πόσο κάνει το ψωμί στο χωριό τώρα; δύο ευρώ".upper().lower(), 18: "Кто написал войну и мир? Лев Толстой", 19: "水的沸点是多少度", 20: "!!", 21: None, 22: "",
+    }
+    docs = spark.createDataFrame([*texts.items(), (11, texts[11])], "doc_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.hits(docs, benchmark, answer="answer").collect()]
+    assert sorted(got) == [(11, 1), (11, 1), (13, 2), (14, 3), (17, 5), (18, 6), (19, 7)]
+    flagged = [r["doc_id"] for r in decontaminate.flag(docs, benchmark, answer="answer", group_items=2).where("contaminated").collect()]
+    assert sorted(flagged) == [11, 11, 13, 14, 17, 18, 19]
+    # without answers the item's own end is the answer
+    assert {r["item_id"] for r in decontaminate.hits(docs.where("doc_id = 15"), benchmark.drop("answer")).collect()} <= {3}
+
+
+def test_bm25_scores_equal_the_formula_from_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(6, 20)))) for i in range(30)]
+    docs = [(i, " ".join(rng.choices(words, k=10) + items[i % 30][1].split() + rng.choices(words, k=9))) for i in range(60)]
+    n, length = len(items), {i: len(t.split()) for i, t in items}
+    mean = sum(length.values()) / n
+    df = collections.Counter(w for _, t in items for w in set(t.split()))
+
+    def weights(i):
+        tf = collections.Counter(items[i][1].split())
+        return {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length[i] / mean)) for w, f in tf.items()}
+
+    def share(part, around):
+        k = min(5, len(part))
+        grams = lambda ws: {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)}
+        return len(grams(part) & grams(around)) / len(grams(part))
+
+    want = {}
+    for d, t in docs:  # each text is one passage
+        for i, it in items:
+            w, ws = weights(i), it.split()
+            s, k = sum(v for x, v in w.items() if x in set(t.split())), max(1, len(ws) // 3)
+            q, a = share(ws[:-k], t.split()), share(ws[-k:], t.split())
+            if s >= 0.5 * sum(w.values()) and q >= 0.6 and a >= 0.6:
+                want[d, i] = (s, q, a)
+    schema = "doc_id long, text string"
+    for group_items in (100, 11):
+        got = decontaminate.hits(spark.createDataFrame(docs, schema), spark.createDataFrame(items, "item_id long, text string"), group_items=group_items).collect()
+        assert {(r["doc_id"], r["item_id"]): pytest.approx((r["score"], r["question_overlap"], r["answer_overlap"])) for r in got} == want and len(want) >= 60
 
 
 # ---- token file
