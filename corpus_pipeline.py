@@ -1,6 +1,9 @@
 """Corpus pipeline: filter documents stage by stage, then encode what is kept.
 
-Each stage takes all documents that the one before it kept, written as Parquet and read again.
+Each stage takes all documents that the one before it kept, written as Parquet and read again. doc_id
+tells documents apart: rows that share one are judged together by the near-duplicate stage, each by its
+own text by the others. Columns beside those of documents pass through the first four stages, whatever
+their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from tabvox.llm.textbytes import fold, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled examples call toxic go; so does none without text."""
+    """Documents that the labelled examples call toxic go; null and empty texts stay, and all stay where no labels are."""
     trained = fold(F.col("doc_id"), 4) != 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(trained)
     index = toxicity.fit(docs.where(trained), labels)
@@ -22,25 +25,28 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in no language that is known well enough, go."""
+    """Documents without a letter (null and empty texts too), or in no language that is known well enough, go."""
     model = language_id.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
     return language_id.predict(docs, model).where("NOT rejected").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that five-word shingles link at 0.8 or more, the one of the smallest id stays."""
+    """Of the documents that five-word shingles link at 0.8 or more, the one of the smallest id stays.
+
+    Texts without a word are linked with none and stay, and so do rows without an id, which have no group.
+    """
     found = jaccard_join.components(docs, width=5, percent=80)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's question and answer go."""
+    """Documents that hold a benchmark item's question and answer go; null and empty texts stay."""
     return decontaminate.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("NOT contaminated").select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the bytes that they decode to."""
+    """Token counts and digests of the ids and of the bytes that they decode to; a null text counts as empty, repeated rows have a row each."""
     return bpe.digests(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -51,7 +57,7 @@ STAGES = [
     ("decontamination", decontamination_stage),
     ("encoding", encoding_stage),
 ]
-#: Learned models and components aren't SQL; tests/llm compares the stages with brute force.
+#: Learned models and components aren't SQL; tests/llm holds the operators of the stages against brute force and runs the stages.
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ from tabvox.operators import pixels as K
 from tabvox.operators.aggregate import nearest_rank
 from tabvox.operators.forward import forward_model
 from tabvox.operators.fractal import fractal
+from tabvox.operators.levels import object_counts, roc_of_counts
 from tabvox.operators.outline import outlines
 from tabvox.plans.base import query, rounded
 from tabvox.plans.joins import GRID, labels
@@ -227,6 +228,22 @@ def k37_roc_search(spark, sf):
     return rounded(K.roc_search(s, 100000.0, 500000.0, 50000.0, 0.5), 5)
 
 
+THRESHOLDS = [30.0, 40.0, 44.0, 46.0, 48.0, 49.0, 50.0]
+
+
+@query()
+def k37_object_counts(spark, sf):
+    """Voxels and objects of each channel at every threshold, of one forest."""
+    return object_counts(_v(spark, sf), ["channel"], THRESHOLDS)
+
+
+@query()
+def k37_roc_objects(spark, sf):
+    """The threshold that leaves objects in few odd slices (the controls) and in most even ones."""
+    counts = object_counts(_v(spark, sf).withColumn("image", F.col("z")), ["channel", "image"], THRESHOLDS)
+    return roc_of_counts(counts.withColumn("control", F.col("image") % 2 == 1), "objects", 0.5)
+
+
 @query(f"WITH {GRID}, {LAB}, k AS (SELECT a.channel, a.label, a.y, a.x, count(b.label) k FROM flatlab a LEFT JOIN flatlab b ON a.channel=b.channel AND a.label=b.label AND abs(a.y-b.y)+abs(a.x-b.x)=1 GROUP BY 1,2,3,4) SELECT channel, label, count(*) AS area, count(*) FILTER (k<4) AS perimeter, round(least(1.0,4*pi()*count(*)/pow(count(*) FILTER (k<4),2)),5) AS circularity, round(greatest(max(x)-min(x)+1,max(y)-min(y)+1)/least(max(x)-min(x)+1,max(y)-min(y)+1)::DOUBLE,5) AS aspect, round(count(*)/((max(x)-min(x)+1)*(max(y)-min(y)+1))::DOUBLE,5) AS extent FROM k GROUP BY 1,2")
 def k40_shape2d(spark, sf):
     return rounded(K.shape2d(_lab(spark, sf), ["channel"]), 5)
