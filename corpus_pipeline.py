@@ -17,7 +17,7 @@ from tabvox.llm.textbytes import fold, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled examples call toxic go; null and empty texts stay, and all stay where no labels are."""
+    """Documents that the labelled examples call toxic go; null and empty texts are scored by the rate among examples without a term, and all stay where no labels are."""
     trained = fold(F.col("doc_id"), 4) != 2
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(trained)
     index = toxicity.fit(docs.where(trained), labels)
