@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from tabvox.functions.lineage import cut, few
-from tabvox.functions.scalar import correlation
+from tabvox.functions.scalar import correlation, norm_cdf
 from tabvox.operators.distance import distances, shell_measures
 from tabvox.operators.spatial import neighbours
 from tabvox.operators.tiles import box_sums, tiled
@@ -79,11 +79,16 @@ def hotspots(tiles: DataFrame, by: list[str], permutations: int = 199, alpha: fl
     return p.groupBy(*by).agg(F.avg("local").alias("moran"), F.avg(((F.col("p") < alpha) & (F.col("z") > 0)).cast("double")).alias("fraction"))
 
 
-def null_model(tiles: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """(by, n, z): normal form of the dispersion of counts against Poisson."""
+def null_model(tiles: DataFrame, by: list[str], value: str = "value", alpha: float = 0.05) -> DataFrame:
+    """(by, n, z, p, passed): normal form of the dispersion of counts against Poisson, its two-sided p, and whether p is alpha or more.
+
+    With fewer than two counts or a mean of 0 or less z, p and passed are null.
+    """
     n = F.count(value)
     chi = F.var_samp(value) / F.avg(value) * (n - 1)
-    return tiles.groupBy(*by).agg(n.alias("n"), F.when((F.avg(value) > 0) & (n > 1), (chi - (n - 1)) / F.sqrt(2.0 * (n - 1))).alias("z"))
+    out = tiles.groupBy(*by).agg(n.alias("n"), F.when((F.avg(value) > 0) & (n > 1), (chi - (n - 1)) / F.sqrt(2.0 * (n - 1))).alias("z"))
+    out = out.withColumn("p", F.when(F.col("z").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * (1 - norm_cdf(F.abs("z")))))))
+    return out.withColumn("passed", F.col("p") >= alpha)
 
 
 def granularity(voxels: DataFrame, by: list[str], lags: list[int]) -> DataFrame:
@@ -331,6 +336,27 @@ def shape3d(labels: DataFrame, by: list[str]) -> DataFrame:
     return m.select(*by, "label", "n", axis(e1).alias("r1"), axis(3 * q - e1 - e3).alias("r2"), axis(e3).alias("r3"))
 
 
+def form3d(labels: DataFrame, by: list[str], scale: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """(by, label, n, faces, sphericity, compactness, elongation, flatness, centre_least, centre_most, centre_mean, centre_sd) of positive labels.
+
+    Sphericity and compactness compare the voxels with their open faces (both 1 for a ball); elongation and flatness
+    are ratios of the radii of shape3d, the first to the second and the second to the third (null where the divisor is 0).
+    The others describe distances of voxels from the centroid; scale: lengths of steps along z, y and x for these.
+    """
+    own = labels.where("label > 0").select(*by, "label", *"zyx")
+    centre = own.groupBy(*by, "label").agg(*[F.avg(a).alias(f"c{a}") for a in "zyx"])
+    squares = sum(((F.col(a) - F.col(f"c{a}")) * float(k)) ** 2 for a, k in zip("zyx", scale, strict=True))
+    d = own.join(centre.hint("merge"), [*by, "label"]).withColumn("d", F.sqrt(squares))
+    d = d.groupBy(*by, "label").agg(F.min("d").alias("centre_least"), F.max("d").alias("centre_most"), F.avg("d").alias("centre_mean"), F.stddev_pop("d").alias("centre_sd"))
+    n, s = F.col("n"), F.col("faces")
+    j = shape3d(labels, by).join(surface(labels, by).hint("merge"), [*by, "label"]).join(d.hint("merge"), [*by, "label"])
+    ratio = lambda a, b: F.when(F.col(b) > 1e-9, F.col(a) / F.col(b))
+    return j.select(
+        *by, "label", "n", "faces", F.when(s > 0, F.pow(F.lit(math.pi), F.lit(1 / 3)) * F.pow(6 * n, F.lit(2 / 3)) / s).alias("sphericity"), F.when(s > 0, 36 * math.pi * n * n / (s * s * s)).alias("compactness"),
+        ratio("r1", "r2").alias("elongation"), ratio("r2", "r3").alias("flatness"), "centre_least", "centre_most", "centre_mean", "centre_sd",
+    )
+
+
 def box_count(labels: DataFrame, by: list[str], radii: list[int]) -> DataFrame:
     """(by, label, dimension, r2): minus the slope of log boxes against log size."""
     b = labels.where("label > 0").select(*by, "label", "y", "x", F.explode(F.array(*[F.lit(r) for r in radii])).alias("r")).groupBy(*by, "label", "r").agg(F.countDistinct(F.floor(F.col("y") / F.col("r")), F.floor(F.col("x") / F.col("r"))).alias("n"))
@@ -348,6 +374,13 @@ def sholl(skeleton: DataFrame, by: list[str], centre: tuple[float, float], step:
     return r.where((F.least("d0", "d1") < F.col("r")) & (F.greatest("d0", "d1") >= F.col("r"))).groupBy(*by, "r").agg(F.count("*").alias("crossings"))
 
 
+def sholl_summary(crossings: DataFrame, by: list[str]) -> DataFrame:
+    """(by, critical, critical_radius, primary, schoenen) from sholl's rows: the most crossings and their first radius, those of the first radius that has any, and their ratio."""
+    best = F.max_by(F.struct(F.col("crossings").alias("critical"), F.col("r").alias("critical_radius")), F.struct("crossings", -F.col("r")))
+    out = crossings.where("crossings > 0").groupBy(*by).agg(best.alias("m"), F.min_by("crossings", "r").alias("primary"))
+    return out.select(*by, "m.critical", "m.critical_radius", "primary", (F.col("m.critical") / F.col("primary")).alias("schoenen"))
+
+
 def skeleton_nodes(skeleton: DataFrame, by: list[str]) -> DataFrame:
     """(by, endpoints, junctions, length): pixels of one neighbour, of three or more, and all."""
     eight = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]

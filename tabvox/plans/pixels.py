@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabvox.functions.scalar import NORM_CDF_SQL
 from tabvox.operators import pixels as K
 from tabvox.operators.aggregate import nearest_rank
 from tabvox.operators.forward import forward_model
@@ -72,7 +73,10 @@ def k08_hotspots(spark, sf):
     return K.hotspots(_tiles(spark, sf), ["channel"])
 
 
-@query(f"{TILES} SELECT channel, count(*) AS n, round((var_samp(value)/avg(value)*(count(*)-1)-(count(*)-1))/sqrt(2.0*(count(*)-1)),4) AS z FROM t GROUP BY 1")
+NULL_MODEL = f"{TILES}, z AS (SELECT channel, count(*) AS n, (var_samp(value)/avg(value)*(count(*)-1)-(count(*)-1))/sqrt(2.0*(count(*)-1)) AS z FROM t GROUP BY 1), p AS (SELECT channel, n, z, greatest(0,least(1,2*(1-{NORM_CDF_SQL.format(z='abs(z)')}))) AS p FROM z)"
+
+
+@query(f"{NULL_MODEL} SELECT channel, n, round(z,4) AS z, round(p,4) AS p, p>=0.05 AS passed FROM p")
 def k09_null_model(spark, sf):
     return rounded(K.null_model(_tiles(spark, sf), ["channel"]))
 
@@ -299,6 +303,14 @@ def k41_shape3d(spark, sf):
     return K.shape3d(labels(spark, sf), ["channel"])
 
 
+FORM = f"WITH {GRID}, i AS (SELECT a.channel, a.label, count(*) n FROM labels a JOIN labels b ON a.channel=b.channel AND a.label=b.label AND abs(a.x-b.x)+abs(a.y-b.y)+abs(a.z-b.z)=1 GROUP BY 1,2), t AS (SELECT channel, label, count(*) n, avg(z) cz, avg(y) cy, avg(x) cx FROM labels GROUP BY 1,2), d AS (SELECT channel, label, sqrt(4*(z-cz)*(z-cz)+(y-cy)*(y-cy)+(x-cx)*(x-cx)) d FROM labels JOIN t USING (channel, label)), m AS (SELECT channel, label, min(d) lo, max(d) hi, avg(d) m, stddev_pop(d) s FROM d GROUP BY 1,2), f AS (SELECT t.channel, t.label, t.n, 6*t.n-coalesce(i.n,0) s FROM t LEFT JOIN i USING (channel, label))"
+
+
+@query(f"{FORM} SELECT channel, label, n, f.s AS faces, round(pow(pi(),1.0::DOUBLE/3)*pow(6*n,2.0::DOUBLE/3)/f.s,5) AS sphericity, round(36*pi()*n*n/(f.s::DOUBLE*f.s*f.s),5) AS compactness, round(lo,5) AS centre_least, round(hi,5) AS centre_most, round(m,5) AS centre_mean, round(m.s,5) AS centre_sd FROM f JOIN m USING (channel, label)")
+def k41_form3d(spark, sf):
+    return rounded(K.form3d(labels(spark, sf), ["channel"], (2.0, 1.0, 1.0)).drop("elongation", "flatness"), 5)
+
+
 @query(f"WITH {GRID}, {LAB}, n AS (SELECT channel, label, r, count(DISTINCT (y//r)*1000+x//r) n FROM flatlab JOIN (VALUES (1),(2),(4)) q(r) ON true GROUP BY 1,2,3) SELECT channel, label, round(-regr_slope(ln(n),ln(r)),4) AS dimension FROM n GROUP BY 1,2")
 def k42_box_count(spark, sf):
     return rounded(K.box_count(_lab(spark, sf), ["channel"], [1, 2, 4]).drop("r2"))
@@ -316,6 +328,14 @@ def k43_sholl(spark, sf):
     return K.sholl(_skeleton(spark, sf), ["channel"], (32.0, 32.0), 4.0, 8)
 
 
+RINGS = f"{SKEL}, c AS (SELECT a.channel, r*4.0::DOUBLE AS r, count(*) AS n FROM s a JOIN (VALUES (0,1),(1,0),(1,1),(1,-1)) o(dy,dx) ON true JOIN s b ON a.channel=b.channel AND b.y=a.y+dy AND b.x=a.x+dx JOIN range(1,9) t(r) ON least(a.d,b.d)<r*4 AND greatest(a.d,b.d)>=r*4 GROUP BY 1,2)"
+
+
+@query(f"{RINGS} SELECT channel, max(n) AS critical, arg_max(r, n*1000-r) AS critical_radius, arg_min(n, r) AS \"primary\", round(max(n)/arg_min(n, r)::DOUBLE,6) AS schoenen FROM c GROUP BY 1")
+def k43_sholl_summary(spark, sf):
+    return rounded(K.sholl_summary(K.sholl(_skeleton(spark, sf), ["channel"], (32.0, 32.0), 4.0, 8), ["channel"]), 6)
+
+
 @query(f"{SKEL}, k AS (SELECT a.channel, a.y, a.x, count(b.y) k FROM s a LEFT JOIN s b ON a.channel=b.channel AND abs(a.y-b.y)<=1 AND abs(a.x-b.x)<=1 AND NOT (a.y=b.y AND a.x=b.x) GROUP BY 1,2,3) SELECT channel, count(*) FILTER (k=1) AS endpoints, count(*) FILTER (k>=3) AS junctions, count(*) AS length FROM k GROUP BY 1")
 def k43_skeleton(spark, sf):
     return K.skeleton_nodes(_skeleton(spark, sf), ["channel"])

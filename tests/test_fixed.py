@@ -74,3 +74,20 @@ def test_costes_equals_plain_bisection(spark):
         assert set(got) == {f"1-{steps}", f"2-{steps}"} and all(np.allclose(got[g], want[g], atol=1e-6) for g in got)
     flat = spark.createDataFrame([("x", 1.0, 1.0), ("x", 1.0, 2.0), ("y", None, 1.0)], "g string, a double, b double")
     assert K.costes(flat, ["g"]).count() == 0
+
+
+def test_form_of_boxes(spark):
+    rows = [(1, z, y, x, 5) for z in range(2) for y in range(4) for x in range(12)] + [(1, 9, 9, 9, 6)]
+    got = {r["label"]: r for r in K.form3d(spark.createDataFrame(rows, "g int, z int, y int, x int, label int"), ["g"]).collect()}
+    box = got[5]
+    assert (box["n"], box["faces"]) == (96, 2 * (8 + 24 + 48))
+    # semi-axes of a box of whole steps go as sqrt(side**2 - 1)
+    assert np.allclose((box["elongation"], box["flatness"]), (np.sqrt(143 / 15), np.sqrt(15 / 3)))
+    d = np.sqrt([(z - 0.5) ** 2 + (y - 1.5) ** 2 + (x - 5.5) ** 2 for _, z, y, x, k in rows if k == 5])
+    assert np.allclose((box["centre_least"], box["centre_most"], box["centre_mean"], box["centre_sd"]), (d.min(), d.max(), d.mean(), d.std()))
+    assert np.isclose(box["sphericity"] ** 3, box["compactness"]) and got[6]["elongation"] is None and got[6]["centre_most"] == 0
+
+
+def test_sholl_summary(spark):
+    c = spark.createDataFrame([("a", 2.0, 3), ("a", 1.0, 2), ("a", 3.0, 3), ("b", 1.0, 0)], "g string, r double, crossings long")
+    assert [tuple(r) for r in K.sholl_summary(c, ["g"]).collect()] == [("a", 3, 2.0, 2, 1.5)]
