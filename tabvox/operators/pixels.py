@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from tabvox.functions.lineage import cut, few
 from tabvox.functions.scalar import correlation, norm_cdf
 from tabvox.operators.distance import distances, shell_measures
+from tabvox.operators.outline import outlines
 from tabvox.operators.spatial import neighbours
 from tabvox.operators.tiles import box_sums, tiled
 
@@ -421,14 +422,16 @@ def orient(voxels: DataFrame, width: int, height: int, turns: int = 0, flip: boo
 
 
 def object_features(labels: DataFrame, voxels: DataFrame, by: list[str]) -> DataFrame:
-    """(by, label, volume, faces, sphericity, compactness, mean, sd, least, most, z): what classifiers of objects read.
+    """(by, label, volume, faces, feret, elongation, sphericity, compactness, mean, sd, least, most, z): what classifiers of objects read.
 
     Volumes count voxels and faces their open sides; an absent value counts as 0. Sphericity and compactness are 0 without faces.
+    feret: the largest distance in the object's outline; elongation: the first radius of shape3d over the second, null if that is 0.
     """
     v = F.coalesce("value", F.lit(0.0))
     own = labels.where("label > 0")
     stats = own.join(voxels, [*by, "z", "y", "x"], "left").groupBy(*by, "label").agg(F.count("*").alias("volume"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg("z").alias("z"))
-    j = stats.join(surface(labels, by), [*by, "label"])
+    j = stats.join(surface(labels, by).hint("merge"), [*by, "label"]).join(outlines(labels, by, least=1).select(*by, "label", "feret").hint("merge"), [*by, "label"])
+    j = j.join(shape3d(labels, by).select(*by, "label", "r1", "r2").hint("merge"), [*by, "label"])
     n, s = F.col("volume"), F.col("faces")
     ball = F.pow(F.lit(math.pi), F.lit(1 / 3)) * F.pow(6 * n, F.lit(2 / 3))
-    return j.select(*by, "label", "volume", "faces", F.when(s > 0, ball / s).otherwise(0.0).alias("sphericity"), F.when(s > 0, 36 * math.pi * n * n / (s * s * s)).otherwise(0.0).alias("compactness"), "mean", "sd", "least", "most", "z")
+    return j.select(*by, "label", "volume", "faces", "feret", F.when(F.col("r2") > 1e-9, F.col("r1") / F.col("r2")).alias("elongation"), F.when(s > 0, ball / s).otherwise(0.0).alias("sphericity"), F.when(s > 0, 36 * math.pi * n * n / (s * s * s)).otherwise(0.0).alias("compactness"), "mean", "sd", "least", "most", "z")

@@ -15,10 +15,10 @@ from tabvox.sources.driver import role
 
 
 
-@query(f"WITH {GRID}, i AS (SELECT a.channel, a.label, count(*) n FROM labels a JOIN labels b ON a.channel=b.channel AND a.label=b.label AND abs(a.x-b.x)+abs(a.y-b.y)+abs(a.z-b.z)=1 GROUP BY 1,2), t AS (SELECT l.channel, l.label, count(*) AS volume, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS least, max(value) AS most, avg(l.z) AS z FROM labels l JOIN voxels v ON l.channel=v.channel AND l.z=v.z AND l.y=v.y AND l.x=v.x GROUP BY 1,2), f AS (SELECT t.*, 6*volume-coalesce(n,0) AS faces FROM t LEFT JOIN i USING (channel, label)) SELECT channel, label, volume, faces, round(pow(pi(),1/3.0::DOUBLE)*pow(6.0::DOUBLE*volume,2/3.0::DOUBLE)/faces,5) AS sphericity, round(36*pi()*volume*volume/pow(faces::DOUBLE,3),5) AS compactness, round(mean,4) AS mean, round(sd,3) AS sd, round(least,4) AS least, round(most,4) AS most, round(z,4) AS z FROM f")
+@query(f"WITH {GRID}, i AS (SELECT a.channel, a.label, count(*) n FROM labels a JOIN labels b ON a.channel=b.channel AND a.label=b.label AND abs(a.x-b.x)+abs(a.y-b.y)+abs(a.z-b.z)=1 GROUP BY 1,2), t AS (SELECT l.channel, l.label, count(*) AS volume, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS least, max(value) AS most, avg(l.z) AS z FROM labels l JOIN voxels v ON l.channel=v.channel AND l.z=v.z AND l.y=v.y AND l.x=v.x GROUP BY 1,2), f AS (SELECT t.*, 6*volume-coalesce(n,0) AS faces FROM t LEFT JOIN i USING (channel, label)), w AS (SELECT a.channel, a.label, sqrt(max((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS feret FROM (SELECT DISTINCT channel, label, y, x FROM labels) a JOIN (SELECT DISTINCT channel, label, y, x FROM labels) b ON a.channel=b.channel AND a.label=b.label GROUP BY 1,2) SELECT channel, label, volume, faces, round(feret,5) AS feret, round(pow(pi(),1/3.0::DOUBLE)*pow(6.0::DOUBLE*volume,2/3.0::DOUBLE)/faces,5) AS sphericity, round(36*pi()*volume*volume/pow(faces::DOUBLE,3),5) AS compactness, round(mean,4) AS mean, round(sd,3) AS sd, round(least,4) AS least, round(most,4) AS most, round(z,4) AS z FROM f JOIN w USING (channel, label)")
 def d34_object_features(spark, sf):
     out = K.object_features(labels(spark, sf), role(spark, sf, "voxels"), ["channel"])
-    digits = {"sphericity": 5, "compactness": 5, "mean": 4, "sd": 3, "least": 4, "most": 4, "z": 4}
+    digits = {"feret": 5, "sphericity": 5, "compactness": 5, "mean": 4, "sd": 3, "least": 4, "most": 4, "z": 4}
     return out.select("channel", "label", "volume", "faces", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in digits.items()])
 
 
