@@ -4,8 +4,12 @@ One pass keeps the stack of open elements, opening and closing those that the pa
 writes visible text to a canvas: blocks on lines of their own with blank lines around paragraphs,
 list items behind bullets or numbers, table cells in aligned columns. Text is visible unless an open
 element hides it: by kind, `hidden` or display none, with all that is in it, or by visibility, until an
-element in it is made visible again. Nothing recurses or looks through the open elements, so the time
-grows with the page however deep it nests; a tag that never ends swallows the rest, as in browsers.
+element in it is made visible again. A tag that never ends swallows the rest, as in browsers.
+
+Time and text grow in proportion to the page however deep it nests: nothing recurses or looks through the
+open elements; tables within MOST_TABLES others have their cells one below the other; a cell keeps its
+columns free in the rows below for MOST_HELD cells at a time; and no line of a table has more than
+MOST_BEGIN blanks before a cell, so a column that would begin further right isn't aligned.
 """
 
 from __future__ import annotations
@@ -46,6 +50,9 @@ _SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I
 _CLOSING = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 #: Columns that nested lists and quotes may indent a line by.
 MOST_INDENT = 60
+#: Tables in one another that are laid out side by side, cells of several rows at a time, and the last aligned column.
+MOST_TABLES, MOST_HELD, MOST_BEGIN = 8, 64, 240
+_COMMENT_END = re.compile("--!?>")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HEAD = frozenset("html head title meta link base script style noscript template".split())
 
@@ -116,7 +123,7 @@ class Canvas:
 
 
 def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int, int]]]:
-    """The cells of each row as (lines, first column, column after): below a cell of several rows its columns stay free."""
+    """The cells of each row as (lines, first column, column after): below a cell of several rows its columns stay free, for MOST_HELD cells at a time."""
     held, out = [], []  # (first column, column after, row after) of such cells
     for r, row in enumerate(rows):
         held, at, k, made = [x for x in held if x[2] > r], 0, 0, []
@@ -126,7 +133,7 @@ def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[lis
                 at = max(at, taken[k][1])
                 k += 1
             made.append((lines, at, at + span))
-            if down > 1:
+            if down > 1 and len(held) < MOST_HELD:
                 held.append((at, at + span, r + down))
             at += span
         out.append(made)
@@ -134,7 +141,10 @@ def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[lis
 
 
 def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table of cells (lines, columns, rows): side by side, each column as wide as its widest cell of one column."""
+    """Lines of a table of cells (lines, columns, rows): side by side, each column as wide as its widest cell of one column.
+
+    Columns begin at MOST_BEGIN at most; a line that is used beyond its cell's column goes on two blanks further.
+    """
     placed = _placed(rows)
     # only columns where a cell begins or ends count, however many a cell spans
     edges = sorted({x for row in placed for _, a, z in row for x in (a, z)})
@@ -146,17 +156,22 @@ def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
                 widths[number[a]] = max([widths[number[a]], *map(width, lines)])
     begin = [0]  # where each column begins, two blanks after the one before
     for w in widths:
-        begin.append(begin[-1] + w + 2)
+        begin.append(min(begin[-1] + w + 2, MOST_BEGIN))
     out = []
     for row in placed:
-        for i in range(max((len(lines) for lines, _, _ in row), default=0)):
-            line, used = [], 0
-            for lines, a, z in row:
-                text = lines[i] if i < len(lines) else ""
+        beside = [[] for _ in range(max((len(lines) for lines, _, _ in row), default=0))]
+        for lines, a, _ in row:
+            for i, text in enumerate(lines):
                 if text:
-                    gap = begin[number[a]] - used if used <= begin[number[a]] else 2
-                    line.append(" " * gap + text)
-                    used += gap + width(text)
+                    beside[i].append((begin[number[a]], text))
+        for texts in beside:
+            line, used = [], 0
+            for at, text in texts:
+                gap = at - used if used <= at else 2
+                own = len(text) - len(text.lstrip(" "))
+                gap = max(min(gap, MOST_BEGIN - own), 2 if used else 0)
+                line.append(" " * gap + text)
+                used += gap + width(text)
             out.append("".join(line).rstrip(" "))
     return out
 
@@ -222,9 +237,11 @@ class Renderer:
         elif tag in ("blockquote", "dd"):
             state, c.indent = c.indent, c.indent + 4
         elif tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
+            self.tables.append([] if len(self.tables) < MOST_TABLES else None)
+        elif tag == "tr" and self.tables and self.tables[-1] is not None:
             self.tables[-1].append([])
+        elif tag in CELLS and self.tables and self.tables[-1] is None:
+            c.block(0)
         elif tag in CELLS:
             span, down = got.get("colspan", ""), got.get("rowspan", "")
             state = (min(int(span), 1000) if re.fullmatch(r"[1-9]\d{0,3}", span) else 1, 65534 if down == "0" else int(down) if re.fullmatch(r"[1-9]\d{0,4}", down) else 1)
@@ -239,7 +256,9 @@ class Renderer:
         self.unseen = before
         if state is False:
             return
-        if tag in CELLS:
+        if tag in CELLS and state is None:
+            self.canvas[-1].block(0)
+        elif tag in CELLS:
             lines = self.canvas.pop().done()
             if tag == "caption":
                 self.canvas[-1].block(0)
@@ -247,7 +266,8 @@ class Renderer:
             elif self.tables and self.tables[-1]:
                 self.tables[-1][-1].append((lines, *state))
         elif tag == "table":
-            lines = lay_out(self.tables.pop())
+            rows = self.tables.pop()
+            lines = lay_out(rows) if rows else []
             if any(lines):
                 self.canvas[-1].put(lines)
         c = self.canvas[-1]
@@ -363,10 +383,11 @@ def render(page: str | None) -> str:
 
 def _other(page: str, at: int) -> int:
     """The end of a comment, declaration or bogus closing tag at a `<`; just after it if it is none."""
+    if page.startswith(("<!-->", "<!--->"), at):
+        return page.index(">", at) + 1
     if page.startswith("<!--", at):
-        ends = [page.find(x, at + 4) for x in ("-->", "--!>")] if not page.startswith(("<!-->", "<!--->"), at) else [page.index(">", at) - 2]
-        found = [(x, n) for x, n in zip(ends, (3, 4), strict=False) if x >= 0]
-        return sum(min(found)) if found else len(page)
+        end = _COMMENT_END.search(page, at + 4)
+        return end.end() if end else len(page)
     if page.startswith(("<!", "<?"), at) or (page.startswith("</", at) and len(page) > at + 2):
         end = page.find(">", at)
         return end + 1 if end >= 0 else len(page)
@@ -374,7 +395,12 @@ def _other(page: str, at: int) -> int:
 
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
-    """pages with html replaced by text. Null and empty pages give an empty text; other columns stay."""
+    """pages with html replaced by text.
+
+    Null and empty pages give an empty text; other columns stay, one named `text` gives way to the result. Rows are
+    rendered one by one, so repeated rows give repeated results, an empty table an empty one, and a page of any
+    length is rendered whole.
+    """
     rest = [c for c in pages.columns if c not in (html_column, "text")]
 
     def run(batches):

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -485,6 +486,39 @@ def test_render(page, text):
     assert html_text.render(page) == text
 
 
+@pytest.mark.parametrize(
+    "piece",
+    ["<!-- a -->x", "<table><tr><td>", "<table><tr><td>a<tr><td>b<td>", "<table><caption>c", "<tr><td rowspan=0>x", "<tr><td><td>x", "<ul><li>a"],
+)
+def test_render_in_proportion_to_the_page(piece):
+    """Four times the page takes about four times as long, and its text is a bounded multiple of it."""
+    first = "<table><tr><td>" + "w" * 5000 + "<td>y" if piece.startswith("<tr") else ""
+    took = []
+    for n in (4000, 16000):
+        page = first + piece * n
+        began = time.process_time()
+        text = html_text.render(page)
+        took.append(time.process_time() - began)
+        assert len(text) < 50 * len(page)
+        assert text.count("x") == page.count("x")
+    assert took[1] < 8 * took[0] + 0.2
+
+
+def test_deep_tables_keep_their_text_and_near_ones_their_columns():
+    deep = html_text.render("<table><tr><td>" * 12 + "<table><tr><td>a<td>b<tr><td>c<td>d</table>")
+    assert deep.split("\n") == ["a", "b", "c", "d"]
+    assert html_text.render("<table><tr><td>k<td><table><tr><td>a<td>b<tr><td>ccc<td>d</table></table>").split("\n") == ["k  a    b", "   ccc  d"]
+    wide = html_text.render("<table><tr><td>" + "w" * 300 + "<td>y<tr><td>a<td>z</table>").split("\n")
+    assert wide == ["w" * 300 + "  y", "a" + " " * (html_text.MOST_BEGIN - 1) + "z"]
+
+
+def test_extract_of_an_empty_table_and_repeated_rows(spark):
+    kind = "page_id int, html string, text string"
+    assert html_text.extract(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, "<p>a", "k")] * 2 + [(None, "<p>" + "long " * 50000, None)]
+    assert sorted((r["page_id"] or 0, len(r["text"])) for r in html_text.extract(spark.createDataFrame(rows, kind)).collect()) == [(0, 249999), (1, 1), (1, 1)]
+
+
 def test_extract_keeps_columns(spark):
     df = spark.createDataFrame([(1, "<p>a", "k"), (2, None, None)], "page_id int, html string, text string")
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "a"), (2, "")]
