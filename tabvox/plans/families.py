@@ -90,9 +90,9 @@ def _profiles(spark, sf):
     return profiles(one, _v(spark, sf).withColumn("g", F.lit(1)), ["g"], "A", Profile())
 
 
-@query(f"{_FRAME} SELECT label, channel, profile, bin, n, round(mean,4) AS mean, round(CASE WHEN hi>lo THEN (mean-lo)/(hi-lo) ELSE 0 END,4) AS normed FROM c JOIN h USING (label, channel)")
+@query(f"{_FRAME} SELECT label, channel, profile, bin, n, round(mean,7) AS mean, round(CASE WHEN hi>lo THEN (mean-lo)/(hi-lo) ELSE 0 END,7) AS normed FROM c JOIN h USING (label, channel)")
 def k45_profiles(spark, sf):
-    return rounded(_profiles(spark, sf)["curves"].where("profile NOT LIKE 'axis%'").drop("g"))
+    return rounded(_profiles(spark, sf)["curves"].where("profile NOT LIKE 'axis%'").drop("g"), 7)
 
 
 @query(f"""{_FRAME}, s AS (SELECT label, channel, CASE WHEN sum(value)>0 THEN sqrt(pow(sum(value*dx)/sum(value),2)+pow(sum(value*dy)/sum(value),2)+pow(sum(value*dz)/sum(value),2))/any_value(far) END AS polarity, CASE WHEN var_pop(src) FILTER (src IS NOT NULL)>1e-9 AND var_pop(value) FILTER (src IS NOT NULL)>1e-9 THEN corr(src,value) END AS pearson, sum(src*value)/nullif(sqrt(sum(src*src)*sum(value*value) FILTER (src IS NOT NULL)),0) AS manders FROM m GROUP BY 1,2), k AS (SELECT label, channel, max(mean) FILTER (profile='shell' AND bin=0) AS "inner", max(mean) FILTER (profile='shell' AND bin=1) AS middle, max(mean) FILTER (profile='shell' AND bin=2) AS "outer", coalesce(avg(mean) FILTER (profile='radial' AND bin<6),0) AS core, coalesce(avg(mean) FILTER (profile='radial' AND bin>=13),0) AS edge, (arg_max(bin, round(mean,9)*1000-bin*1e-9) FILTER (profile='radial')+0.5)/20 AS peak, greatest(0,1-stddev_pop(mean) FILTER (profile='angular')/avg(mean) FILTER (profile='angular')) AS uniformity FROM c GROUP BY 1,2), a AS (SELECT label, channel, max(mean) AS top FROM c WHERE profile='angular' GROUP BY 1,2), r AS (SELECT c.label, c.channel, count(*)/12 AS ring FROM c JOIN a ON a.label=c.label AND a.channel=c.channel AND profile='angular' AND mean>=0.5*top GROUP BY 1,2) SELECT label, channel, round(CASE WHEN edge>0 THEN core/edge END,4) AS core_edge, round(peak,4) AS peak, round(polarity,4) AS polarity, round(ring,4) AS ring, round(uniformity,4) AS uniformity, round("inner",4) AS "inner", round(middle,4) AS middle, round("outer",4) AS "outer", round(pearson,4) AS pearson, round(manders,4) AS manders FROM s JOIN k USING (label, channel) JOIN r USING (label, channel)""")
