@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabvox.operators.background import background_cv, signal_db
 from tabvox.operators.families import Preset, measure
 from tabvox.operators.profiles import Profile, profiles
 from tabvox.operators.spectrum import spectrum
@@ -98,3 +99,17 @@ def k45_profiles(spark, sf):
 @query(f"""{_FRAME}, s AS (SELECT label, channel, CASE WHEN sum(value)>0 THEN sqrt(pow(sum(value*dx)/sum(value),2)+pow(sum(value*dy)/sum(value),2)+pow(sum(value*dz)/sum(value),2))/any_value(far) END AS polarity, CASE WHEN var_pop(src) FILTER (src IS NOT NULL)>1e-9 AND var_pop(value) FILTER (src IS NOT NULL)>1e-9 THEN corr(src,value) END AS pearson, sum(src*value)/nullif(sqrt(sum(src*src)*sum(value*value) FILTER (src IS NOT NULL)),0) AS manders FROM m GROUP BY 1,2), k AS (SELECT label, channel, max(mean) FILTER (profile='shell' AND bin=0) AS "inner", max(mean) FILTER (profile='shell' AND bin=1) AS middle, max(mean) FILTER (profile='shell' AND bin=2) AS "outer", coalesce(avg(mean) FILTER (profile='radial' AND bin<6),0) AS core, coalesce(avg(mean) FILTER (profile='radial' AND bin>=13),0) AS edge, (arg_max(bin, round(mean,9)*1000-bin*1e-9) FILTER (profile='radial')+0.5)/20 AS peak, greatest(0,1-stddev_pop(mean) FILTER (profile='angular')/avg(mean) FILTER (profile='angular')) AS uniformity FROM c GROUP BY 1,2), a AS (SELECT label, channel, max(mean) AS top FROM c WHERE profile='angular' GROUP BY 1,2), r AS (SELECT c.label, c.channel, count(*)/12 AS ring FROM c JOIN a ON a.label=c.label AND a.channel=c.channel AND profile='angular' AND mean>=0.5*top GROUP BY 1,2) SELECT label, channel, round(CASE WHEN edge>0 THEN core/edge END,4) AS core_edge, round(peak,4) AS peak, round(polarity,4) AS polarity, round(ring,4) AS ring, round(uniformity,4) AS uniformity, round("inner",4) AS "inner", round(middle,4) AS middle, round("outer",4) AS "outer", round(pearson,4) AS pearson, round(manders,4) AS manders FROM s JOIN k USING (label, channel) JOIN r USING (label, channel)""")
 def k45_profile_summary(spark, sf):
     return rounded(_profiles(spark, sf)["summary"].drop("g", "axis_polarity", "elongation", "flatness"))
+
+
+@query(f"""{G}, h AS (SELECT channel, value, count(*)::DOUBLE AS c FROM flat GROUP BY 1,2),
+w AS (SELECT *, sum(c) OVER o AS w, sum(c*value) OVER o AS s, sum(c) OVER a AS n, sum(c*value) OVER a AS t FROM h WINDOW o AS (PARTITION BY channel ORDER BY value), a AS (PARTITION BY channel)),
+k AS (SELECT channel, value AS split FROM w WHERE w<n QUALIFY row_number() OVER (PARTITION BY channel ORDER BY round(w*(n-w)*pow(s/w-(t-s)/(n-w),2)/(n*n),9) DESC, value)=1),
+r AS (SELECT channel, 20*log10((avg(value) FILTER (value>=split)-avg(value) FILTER (value<split))/stddev_pop(value) FILTER (value<split)) AS snr_db FROM flat JOIN k USING (channel) GROUP BY 1),
+e AS (SELECT channel, avg(value) AS mean, min(y) AS y0, min(x) AS x0, (max(y)-min(y)+1)//4 AS sy, (max(x)-min(x)+1)//4 AS sx FROM flat GROUP BY 1),
+b AS (SELECT channel, (y-y0)//sy AS ty, (x-x0)//sx AS tx, list_sort(list(value)) AS l FROM flat JOIN e USING (channel) WHERE value<mean AND (y-y0)//sy<4 AND (x-x0)//sx<4 GROUP BY 1,2,3),
+m AS (SELECT channel, l[len(l)//2+1] AS m FROM b WHERE l[len(l)//2+1]>0)
+SELECT r.channel, round(any_value(snr_db),4) AS snr_db, round(stddev_pop(m)/avg(m),6) AS background_cv FROM r JOIN m USING (channel) GROUP BY 1""")
+def k46_background(spark, sf):
+    f = _flat(spark, sf)
+    both = signal_db(f, ["channel"]).join(background_cv(f, ["channel"]), "channel")
+    return both.select("channel", F.round("snr_db", 4).alias("snr_db"), F.round("background_cv", 6).alias("background_cv"))
