@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabvox.functions.lineage import cut
+from tabvox.operators.near import nearest  # noqa: F401
 
 
 def cell(c: str | Column, size: float) -> Column:
@@ -29,31 +29,6 @@ def radius_join(a: DataFrame, b: DataFrame, by: list[str], radius: float, axes:
     return left.join(right.hint("merge"), [*by, *(f"c_{x}" for x in axes)]).drop(*[f"c_{x}" for x in axes]).withColumn("distance", F.sqrt(squares)).where(F.col("distance") <= radius)
 
 
-def nearest(a: DataFrame, b: DataFrame, by: list[str], axes: list[str], id: str = "id", step: float = 1.0, exclude_self: bool = False, most_rounds: int = 40) -> DataFrame:
-    """(by, id, nearest, distance) of every row of a: its nearest row of b in the group, ties to the smaller id; null if there is none.
-
-    Rounds of radius join with a growing radius; rows that have found one leave, as a hit within the
-    radius can't be beaten from outside it. The rounds end when the radius covers the whole extent.
-    """
-    todo, found, radius = a.select(*by, id, *axes), None, step
-    box = a.select(*axes).union(b.select(*axes)).agg(*[(F.max(x) - F.min(x)).alias(x) for x in axes]).first()
-    span = sum((float(v or 0) ** 2 for v in box), 0.0) ** 0.5
-    alive = b.select(*by).distinct()
-    todo = todo.join(alive, by, "left_semi")
-    for _ in range(most_rounds):
-        pairs = radius_join(todo, b.select(*by, id, *axes), by, radius, axes)
-        if exclude_self:
-            pairs = pairs.where(F.col(f"a_{id}") != F.col(f"b_{id}"))
-        got = pairs.groupBy(*by, F.col(f"a_{id}").alias(id)).agg(F.min_by(F.struct(F.col(f"b_{id}").alias("nearest"), "distance"), F.struct("distance", f"b_{id}")).alias("m")).select(*by, id, "m.nearest", "m.distance")
-        got = cut(got)
-        found = got if found is None else found.union(got)
-        todo = cut(todo.join(got.select(*by, id).hint("merge"), [*by, id], "left_anti"))
-        if radius > span or todo.isEmpty():
-            break
-        radius *= 4
-    return a.select(*by, id).join(found.hint("merge"), [*by, id], "left")
-
-
 def closest_counts(found: DataFrame, targets: DataFrame, by: list[str], id: str = "id") -> DataFrame:
     """For each target how many rows have it as their nearest; 0 is kept."""
     n = found.groupBy(*by, F.col("nearest").alias(id)).agg(F.count("*").alias("n"))

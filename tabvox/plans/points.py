@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tabvox.operators import points as P
 from tabvox.operators.aggregate import regression
-from tabvox.operators.spatial import radius_join
 from tabvox.plans.base import query, rounded
 from tabvox.sources.driver import role, role_sql
 
