@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tabvox.functions.lineage import few
+
 
 def partials(df: DataFrame, by: list[str], values: dict[str, Column], run: str = "run_id", file: str = "file", section: str = "section") -> DataFrame:
     """Sums of each run, file, section and group: rows, and of each named value its count, sum, least and greatest; nulls don't count."""
@@ -22,7 +24,8 @@ def partials(df: DataFrame, by: list[str], values: dict[str, Column], run: str =
 def newest(state: DataFrame) -> DataFrame:
     """Of each run and file the rows of the last batch that brought it."""
     last = state.groupBy("run_id", "file").agg(F.max("batch").alias("batch"))
-    return state.join(last.hint("merge"), ["run_id", "file", "batch"])
+    # a join by sort would bring all rows of a file into one task
+    return state.join(few(last), ["run_id", "file", "batch"])
 
 
 def merged(state: DataFrame, by: list[str], values: list[str]) -> DataFrame:
