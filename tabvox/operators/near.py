@@ -299,3 +299,113 @@ def pair_counts(points: DataFrame, by: list[str], radii: list[float], edge: str
         met = radius_join(same, same, [*by, id], top, ["x", "y"]).select(*by, F.col("a_e").alias("e"), "distance", rs, (F.col("a_n") * F.col("b_n") - F.when((F.col("distance") == 0), F.col("a_n")).otherwise(F.lit(0))).alias("n"))
         out = out.union(met.where("distance <= r AND e >= r").select(*by, "r", -F.col("n")))
     return out.groupBy(*by, "r").agg(F.sum("pairs").alias("pairs"))
+
+
+def distinct_rows(m: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of smallest code of each distinct row of m, and which of these each row equals."""
+    order = np.lexsort((code, *m.T))
+    new = np.r_[True, (m[order][1:] != m[order][:-1]).any(axis=1)]
+    which = np.empty(len(m), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def best_box(q: np.ndarray, p: np.ndarray, pid: np.ndarray, by_share: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row of p, share of q in %) of the box of p that covers most of each q, ties to the smaller id; -1 and 0 without one.
+
+    Boxes are rows lo, hi, lo, hi ... with inclusive ends. Without by_share any box that meets q is as good as another. p is sorted along the
+    first axis within strips of the second, apart by size, so that only boxes about q are tested; equal boxes are tested once.
+    """
+    row, which = distinct_rows(q, np.arange(len(q)))
+    all_q, q = q, q[row]
+    keep, _ = distinct_rows(p, pid)
+    p, pid = p[keep], pid[keep]
+    lo, hi, plo, phi = q[:, ::2], q[:, 1::2], p[:, ::2], p[:, 1::2]
+    own = np.prod(hi - lo + 1, axis=1)
+    best, least, found = np.full(len(q), -1.0), np.full(len(q), np.iinfo(np.int64).max), np.full(len(q), -1)
+    strip_axis = min(1, lo.shape[1] - 1)
+    width, height = phi[:, 0] - plo[:, 0], phi[:, strip_axis] - plo[:, strip_axis]
+    kind = np.floor(np.log2(width + 1) / 2) * 1000 + np.floor(np.log2(height + 1) / 2)
+    base, span = plo[:, strip_axis].min(), np.ptp(plo[:, strip_axis])
+    for k in np.unique(kind):
+        rows = np.flatnonzero(kind == k)
+        wide, tall = width[rows].max(), height[rows].max()
+        step = max(tall / 2, span / 64, 1e-300)
+        strip = np.floor((plo[rows, strip_axis] - base) / step).astype(np.int64)
+        order = np.lexsort((plo[rows, 0], strip))
+        rows, strip = rows[order], strip[order]
+        at = np.r_[np.flatnonzero(np.r_[True, strip[1:] != strip[:-1]]), len(rows)]
+        first = np.floor((lo[:, strip_axis] - tall - base) / step) - 1
+        last = np.floor((hi[:, strip_axis] - base) / step) + 1
+        for a, e in zip(at, at[1:], strict=False):
+            near = np.flatnonzero((first <= strip[a]) & (last >= strip[a]))
+            line = plo[rows[a:e], 0]
+            start, end = np.searchsorted(line, lo[near, 0] - wide, "left"), np.searchsorted(line, hi[near, 0], "right")
+            for r, j in ranges(start, end):
+                if not len(r):
+                    continue
+                r, j = near[r], rows[a + j]
+                meet = np.ones(len(r), bool)
+                for x in range(lo.shape[1]):
+                    meet &= (plo[j, x] <= hi[r, x]) & (phi[j, x] >= lo[r, x])
+                r, j = r[meet], j[meet]
+                if not len(r):
+                    continue
+                share = np.zeros(len(r))
+                if by_share:
+                    volume = np.ones(len(r))
+                    for x in range(lo.shape[1]):
+                        volume *= np.minimum(hi[r, x], phi[j, x]) - np.maximum(lo[r, x], plo[j, x]) + 1
+                    share = 100 * volume / own[r]
+                begin = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                size = np.diff(np.r_[begin, len(r)])
+                top, here = np.maximum.reduceat(share, begin), r[begin]
+                tie = np.where(share == np.repeat(top, size), pid[j], np.iinfo(np.int64).max)
+                low = np.minimum.reduceat(tie, begin)
+                pick = np.empty(len(here), np.int64)
+                hit = np.flatnonzero(tie == np.repeat(low, size))[::-1]
+                pick[np.searchsorted(begin, hit, "right") - 1] = j[hit]
+                better = (top > best[here]) | ((top == best[here]) & (low < least[here]))
+                best[here[better]], least[here[better]], found[here[better]] = top[better], low[better], pick[better]
+    found = np.where(found >= 0, keep[found], -1)
+    return found[which], np.maximum(best, 0.0)[which] if len(all_q) else np.zeros(0)
+
+
+def best_boxes(a: DataFrame, b: DataFrame, by: list[str], size: dict[str, float], id: str, by_share: bool = True) -> DataFrame:
+    """(by, id, partner, pct) of the ids of a (x0, x1, ... of the axes in size) that meet a box of b in the group: the one that covers most
+    of the own box, ties to the smaller id; without by_share the smallest id.
+
+    Boxes go to the tiles that they cover, of twice the given size at least, and each tile gives one row a box of a.
+    """
+    ends = [f"{x}{i}" for x in size for i in (0, 1)]
+    ordered = F.lit(True)
+    for x in size:
+        ordered = ordered & (F.col(f"{x}0") <= F.col(f"{x}1"))
+    good = lambda df: df.where(present(df, [*by, id], ends) & ordered).select(*by, id, *[F.col(c).cast("double").alias(c) for c in ends])
+    a, b = good(a), good(b)
+    corners = b.select(*by, *[F.col(f"{x}0").alias(x) for x in size])
+    box = few(extents(corners, by, list(size), 1.0).select(*by, *[f"__lo{x}" for x in size], "__side"))
+    names = [f"__t{x}" for x in size]
+
+    def tiled(df):
+        df = df.join(box, by)
+        for x, s in size.items():
+            at = lambda c, x=x, s=s: F.floor((F.col(c) - F.col(f"__lo{x}")) / F.greatest("__side", F.lit(2.0 * s))).cast("long")
+            df = df.withColumn(f"__t{x}", F.explode(F.sequence(at(f"{x}0"), at(f"{x}1"))))
+        return df.select(*[F.col(c).alias(c) for c in (*by, id, *ends, *names)])
+
+    kind, target = dict(a.dtypes), dict(b.dtypes)[id]
+
+    def within(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left[[*by, id]]
+        if not len(left) or not len(right):
+            return out[:0].assign(partner=right[id][:0], pct=pd.Series(dtype=float))
+        (code,) = codes(right[id])
+        i, pct = best_box(left[ends].to_numpy(float), right[ends].to_numpy(float), code, by_share)
+        return out[i >= 0].assign(partner=right[id].to_numpy()[i[i >= 0]], pct=pct[i >= 0])
+
+    keys = [*by, *names]
+    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in (*by, id)), f"partner {target}, pct double"])
+    got = tiled(a).groupBy(*keys).cogroup(tiled(b).groupBy(*keys)).applyInPandas(within, schema)
+    top = got.groupBy(*by, id).agg(F.min(F.struct((-F.col("pct")).alias("less"), "partner")).alias("m"))
+    return top.select(*by, id, "m.partner", (-F.col("m.less")).alias("pct"))

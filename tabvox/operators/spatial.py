@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabvox.operators.near import nearest  # noqa: F401
+from tabvox.operators.near import best_boxes, nearest  # noqa: F401
 
 
 def cell(c: str | Column, size: float) -> Column:
@@ -56,19 +56,16 @@ def box_join(a: DataFrame, b: DataFrame, by: list[str], size: dict[str, float])
 
 
 def box_overlap(a: DataFrame, b: DataFrame, by: list[str], size: dict[str, float], id: str = "label") -> DataFrame:
-    """(by, id, partner, pct): the largest share of the own box that one partner covers; 0 without one."""
-    own = F.lit(1.0)
-    for x in size:
-        own = own * (F.col(f"a_{x}1") - F.col(f"a_{x}0") + 1)
-    best = box_join(a, b, by, size).withColumn("pct", 100 * F.col("intersection") / own).groupBy(*by, F.col(f"a_{id}").alias(id)).agg(F.max_by(F.struct("pct", F.col(f"b_{id}").alias("partner")), F.struct("pct", -F.col(f"b_{id}"))).alias("m"))
-    return a.select(*by, id).join(best, [*by, id], "left").select(*by, id, "m.partner", F.coalesce("m.pct", F.lit(0.0)).alias("pct"))
+    """(by, id, partner, pct): the largest share of the own box that one partner covers, ties to the smaller id; 0 without one."""
+    best = best_boxes(a, b, by, size, id)
+    return a.select(*by, id).join(best.hint("merge"), [*by, id], "left").select(*by, id, "partner", F.coalesce("pct", F.lit(0.0)).alias("pct"))
 
 
 def point_in_box(points: DataFrame, boxes: DataFrame, by: list[str], size: dict[str, float], id: str = "label") -> DataFrame:
     """(by, id, box): the first box that holds each point's rounded place; null if none does."""
     p = points.select(*by, id, *[F.round(x).alias(f"{x}0") for x in size], *[F.round(x).alias(f"{x}1") for x in size])
-    hit = box_join(p, boxes, by, size).groupBy(*by, F.col(f"a_{id}").alias(id)).agg(F.min(f"b_{id}").alias("box"))
-    return points.select(*by, id).join(hit, [*by, id], "left")
+    hit = best_boxes(p, boxes, by, size, id, by_share=False).select(*by, id, F.col("partner").alias("box"))
+    return points.select(*by, id).join(hit.hint("merge"), [*by, id], "left")
 
 
 def centroid_hits(points: DataFrame, labels: DataFrame, by: list[str], axes: list[str], id: str = "label") -> DataFrame:
