@@ -235,14 +235,20 @@ def _reach(a: str, b: str, percent: int, ends: tuple = (("n", "n", "pos", "rest"
 
     ends: names of least and largest size, position, rest and what is known of the overlap. Before the
     places of a common token lie no more common ones than the smaller position, after it no more than
-    the smaller rest; the others of the overlap are known.
+    the smaller rest; the others of the overlap are known. An entry's gain is what is known, less its part of the overlap
+    needed, times 100 + percent; a block's the largest of its entries, which bounds them closer than its sizes and what is known apart.
     """
     (al, ah, ap, ar, av), (bl, bh, bp, br, bv) = ([F.col(f"{side}.{c}") for c in names] for side, names in zip((a, b), ends, strict=True))
     sizes = (100 * ah >= percent * bl) & (100 * bh >= percent * al)
-    return sizes & (F.least(ap, bp) + 1 + F.least(ar, br) + av + bv - F.col("list.np") >= _need(al, bl, percent))
+    ga, gb = (v if names[-1] == "gain1" else _gain(n, v, percent) for n, v, names in zip((al, bl), (av, bv), ends, strict=True))
+    return sizes & ((100 + percent) * (F.least(ap, bp) + 1 + F.least(ar, br) - F.col("list.np")) + ga + gb >= 0)
 
 
-_BLOCK, _ENTRY = ("n0", "n1", "pos1", "rest1", "have1"), ("n", "n", "pos", "rest", "have")
+def _gain(n, have, percent: int) -> Column:
+    return (100 + percent) * have - percent * n
+
+
+_BLOCK, _ENTRY = ("n0", "n1", "pos1", "rest1", "gain1"), ("n", "n", "pos", "rest", "have")
 
 
 def in_blocks(index: DataFrame, percent: int, *carried: str, where: Column | None = None) -> DataFrame:
@@ -256,10 +262,11 @@ def in_blocks(index: DataFrame, percent: int, *carried: str, where: Column | Non
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / min(percent, 99))).alias("band")
     step = F.floor(F.log2(F.col("pos") + 1)).alias("step")
     end = F.floor(F.log2(F.col("rest") + 1)).alias("end")
-    more = F.floor(F.log2(F.col("n") - F.col("have") + 1)).alias("more")
+    lacking = F.col("list.np") / 2 - _gain(F.col("n"), F.col("have"), percent) / (100 + percent)  # of the shared tokens that a pair needs
+    more = (F.signum(lacking) * F.floor(2 * F.log2(F.abs(lacking) + 1))).cast("int").alias("more")
     salt = F.pmod(F.xxhash64("key"), F.ceil(F.col("df") / BLOCK_ENTRIES)).alias("salt")
     entry = F.struct("key", "n", "pos", "rest", "have", *carried)
-    bounds = F.struct(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("pos1"), F.max("rest").alias("rest1"), F.max("have").alias("have1")).alias("b")
+    bounds = F.struct(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("pos").alias("pos1"), F.max("rest").alias("rest1"), F.max(_gain(F.col("n"), F.col("have"), percent)).alias("gain1")).alias("b")
     kept = index if where is None else index.where(where)
     return kept.groupBy("list", "pivot", home, band, step, end, more, salt).agg(bounds, F.max("df").alias("df"), F.collect_list(entry).alias("entries")).select("list", "pivot", F.struct("band", "step", "end", "more", "salt", "pivot", "home").alias("id"), "b", "df", "entries")
 
