@@ -33,6 +33,8 @@ from tabvox.llm.textbytes import Hasher, chunks, join_hot, mix, plus, table, uni
 
 #: About so many tokens of sets are in a block, and of blocks' distinct tokens in a range of hashes.
 BLOCK_TOKENS, RANGE_TOKENS = 500_000, 1_000_000
+#: Bytes of a hash that are kept of the first tokens. A clash only adds a candidate, and these are compared by whole hashes.
+FIRST_BYTES = 5
 #: Bits of a set's sketch, in 64-bit words.
 SKETCH_WORDS = 16
 #: About so many entries are in a block of an index list, and blocks of one list in a task of a list's pairs.
@@ -70,13 +72,26 @@ def _spare(n, percent: int):
     return np.maximum(1, n * (100 - percent) // 100)
 
 
+def _pack(h: np.ndarray, size: int) -> bytes:
+    """The upper size bytes of each hash."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _unpack(raw: bytes, size: int) -> np.ndarray:
+    """Hashes whose lower bytes are 0."""
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.reshape(-1).view(">u8").astype(np.uint64)
+
+
 def _sign(h: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set."""
     return int(mix(h).sum(dtype=np.uint64).astype(np.int64)), int(mix(h ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64))
 
 
 def sets(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """(key, n, s1, s2, first): size and signature of each text's set and its first tokens in the order of hashes."""
+    """(key, n, s1, s2, first): size and signature of each text's set and its first tokens in the order of hashes, by their upper bytes."""
+    size = FIRST_BYTES
 
     def run(batches):
         for part, buf, off in chunks(batches, text):
@@ -84,17 +99,17 @@ def sets(docs: DataFrame, text: str, width: int, percent: int) -> DataFrame:
             for h in shingles(buf, off, width):
                 n = len(h)
                 first = h[: min(n, n - _least(n, percent) + int(_spare(n, percent)))] if n else h
-                rows.append((n, *_sign(h), first.tobytes()))
+                rows.append((n, *_sign(h), _pack(first, size)))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["key", "n", "s1", "s2", "first"])
 
     return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, n long, s1 long, s2 long, first binary")
 
 
-def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
+def _count(sets: DataFrame, tokens: str, size: int, total: int, use, schema) -> DataFrame:
     """use(keys, sizes, sets, frequencies) for blocks of sets, with in how many sets of all each token is.
 
-    Blocks send their distinct tokens to ranges of hashes, which add up and answer each block in its
+    size: bytes of a token. Blocks send their distinct tokens to ranges of hashes, which add up and answer each block in its
     own order; no row is made for a token.
     """
     n_blocks = max(1, total // BLOCK_TOKENS)
@@ -102,16 +117,16 @@ def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
     placed = sets.select("key", "n", F.col(tokens).alias("tokens"), F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int").alias("block"))
 
     def ask(group: pa.Table) -> pa.Table:
-        u, n = np.unique(np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint64), return_counts=True)
+        u, n = np.unique(_unpack(b"".join(group.column("tokens").to_pylist()), size), return_counts=True)
         n = n.astype(np.uint32)
         r = (u >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), np.int64)
         cut = np.flatnonzero(np.diff(r, prepend=-1))
         ends = [*cut[1:].tolist(), len(u)]
         block = group.column("block")[0].as_py()
-        return pa.table({"range": pa.array(r[cut], pa.int32()), "block": pa.array([block] * len(cut), pa.int32()), "names": pa.array([u[i:j].tobytes() for i, j in zip(cut, ends, strict=True)] if len(u) else [], pa.binary()), "counts": pa.array([n[i:j].tobytes() for i, j in zip(cut, ends, strict=True)] if len(u) else [], pa.binary())})
+        return pa.table({"range": pa.array(r[cut], pa.int32()), "block": pa.array([block] * len(cut), pa.int32()), "names": pa.array([_pack(u[i:j], size) for i, j in zip(cut, ends, strict=True)] if len(u) else [], pa.binary()), "counts": pa.array([n[i:j].tobytes() for i, j in zip(cut, ends, strict=True)] if len(u) else [], pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
-        names = [np.frombuffer(x, np.uint64) for x in group.column("names").to_pylist()]
+        names = [_unpack(x, size) for x in group.column("names").to_pylist()]
         own = [np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()]
         u, inverse = np.unique(np.concatenate(names), return_inverse=True)
         df = np.bincount(inverse, np.concatenate(own)).astype(np.uint32)[inverse]
@@ -120,11 +135,11 @@ def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
 
     def give(group: pa.Table, answered: pa.Table) -> pa.Table:
         raw = group.column("tokens").to_pylist()
-        token = np.frombuffer(b"".join(raw), np.uint64)
+        token = _unpack(b"".join(raw), size)
         dfs = answered.column("dfs").to_pylist()
         df = np.frombuffer(b"".join(dfs[i] for i in np.argsort(answered.column("range").to_numpy())), np.uint32)
         df = df[np.searchsorted(unique(token), token)]
-        at = np.cumsum([0, *(len(x) // 8 for x in raw)])
+        at = np.cumsum([0, *(len(x) // size for x in raw)])
         return use(group.column("key"), group.column("n").to_numpy(), token, df, at)
 
     answers = placed.groupBy("block").applyInArrow(ask, "range int, block int, names binary, counts binary").groupBy("range").applyInArrow(answer, "block int, range int, dfs binary")
@@ -133,13 +148,13 @@ def _count(sets: DataFrame, tokens: str, total: int, use, schema) -> DataFrame:
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
     """(key): the sets that share enough of their first tokens with others."""
-    total = (reps.agg(F.sum(F.octet_length("first"))).first()[0] or 0) // 8
+    total = (reps.agg(F.sum(F.octet_length("first"))).first()[0] or 0) // FIRST_BYTES
 
     def use(keys, n, token, df, at):
         shared = np.add.reduceat(df > 1, at[:-1], dtype=np.int64) if len(n) else np.zeros(0, np.int64)
         return pa.table({"key": keys.filter(pa.array(shared >= _spare(_least(n, percent), percent)))})
 
-    return _count(reps.drop("s1"), "first", total, use, reps.select("key").schema)
+    return _count(reps.drop("s1"), "first", FIRST_BYTES, total, use, reps.select("key").schema)
 
 
 def entries(full: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +179,7 @@ def entries(full: DataFrame, percent: int) -> DataFrame:
         cols = [pa.array(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)) for x in made]
         return pa.table({"key": keys.take(pa.array(who)), "n": pa.array(n[who], pa.int64()), "token": cols[0], "pos": cols[1], "rest": cols[2], "df": cols[3]})
 
-    return _count(full, "set", total, use, plus(full.select("key").schema, *((c, "long") for c in ("n", "token", "pos", "rest", "df"))))
+    return _count(full, "set", 8, total, use, plus(full.select("key").schema, *((c, "long") for c in ("n", "token", "pos", "rest", "df"))))
 
 
 def _full(docs: DataFrame, text: str, width: int, wanted: DataFrame) -> DataFrame:
