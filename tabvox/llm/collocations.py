@@ -7,8 +7,10 @@ of all phrases, of all words, and of the words in all. No shorter n-gram is made
 
 Two words that don't follow each other often enough can't stand in a phrase that is frequent, so a
 window is cut (padded) where that is so. The pairs are found beforehand by 64-bit hashes and passed on as
-a bitmap of a fixed size; a clash there only leaves a window longer. Within a task 64-bit hashes stand for
-words; what is shuffled, rolled up and compared are the words themselves.
+a bitmap of a fixed size; a clash there only leaves a window longer. Texts are cut into chains where that
+is so, and Spark makes a chain's windows and sums them before it shuffles: chains have no word twice (but a few
+in long ones), so no more is sent than the texts hold, however many pairs become frequent. What is
+shuffled, rolled up and compared are the words themselves.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabvox.llm.textbytes import FOLD, Hasher, chunks, gather, hash_bytes, mix, owner, release, spans, table
+from tabvox.llm.textbytes import FOLD, Hasher, chunks, gather, hash_bytes, mix, owner, ranges_of, release, spans, table
 
 # fixed values: the characters that end a piece of text, and those between words
 STOPS, BLANKS = (*map(ord, ".,;:!?"), 0x0A, 0x0B, 0x0C, 0x0D), (0x20, 0x09)
@@ -28,6 +30,7 @@ _STOP[list(STOPS)] = True
 _BREAK[[*STOPS, *BLANKS]] = True
 HELD = 1 << 20  # distinct rows that a task holds before it sends them on
 SENT = 1 << 15  # of them in a batch
+PART = 32  # windows that a row of a chain starts
 SALTS = 16
 U = np.uint64
 
@@ -84,28 +87,6 @@ def _merged(parts):
         yield from parted(*joined())
 
 
-class _Texts:
-    """Texts by their hashes: those of the words that a task meets in windows."""
-
-    def __init__(self):
-        self.hash, self.text = np.zeros(0, U), pa.array([], pa.string())
-
-    def add(self, buf, start, end, hashes):
-        new, at = np.unique(hashes, return_index=True)
-        at = at[~np.isin(new, self.hash)]
-        size = end[at] - start[at]
-        data, ends = FOLD[gather(buf, start[at], size)], np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        text = pa.concat_arrays([self.text, pa.Array.from_buffers(pa.string(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(data)])])
-        both = np.concatenate([self.hash, hashes[at]])
-        order = np.argsort(both)
-        self.hash, self.text = both[order], text.take(pa.array(order))
-
-    def of(self, hashes):
-        """The texts; null for 0."""
-        at = np.searchsorted(self.hash, hashes)
-        return self.text.take(pa.array(at, pa.int64(), mask=hashes == 0))
-
-
 def _frequent_pairs(texts: DataFrame, least: int) -> DataFrame:
     """(a, b): hashes of words that follow each other at least `least` times within a group."""
 
@@ -141,14 +122,14 @@ def _bitmap(pairs: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
-    """(lang, w1 ... w<longest>, n): the distinct windows of parts of the texts and how often they occur there.
+def _chains(texts: DataFrame, longest: int, bitmap) -> DataFrame:
+    """(lang, words, starts, n): chains of words that follow each other in frequent pairs; the first `starts` words start a window each.
 
-    A word that is in no frequent pair gives a window of nulls only, as it counts among all words.
+    A long chain comes in parts, each with the words that follow it in its last windows. A chain of one
+    word comes once a chunk, n times; so do, without words, the words that are in no frequent pair, as they count among all words.
     """
-    names = [f"w{k + 1}" for k in range(longest)]
 
-    def parts(batches, seen, langs):
+    def run(batches):
         bits = bitmap.value
         shift = U(64 - (len(bits) * 64).bit_length() + 1)
 
@@ -158,36 +139,46 @@ def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
 
         for batch, buf, off in chunks(batches):
             w = _Words(batch, buf, off)
-            n = len(w.hash)
-            if not n:
+            if not len(w.hash):
                 continue
-            deep = known(w.hash).astype(np.int64)  # words of the window
-            key, alive = np.where(deep > 0, w.hash, U(0)), deep > 0
-            leads = np.zeros(n, bool)
-            first = np.flatnonzero(w.joins)
-            leads[first] = known(_pair(w.hash[first], w.hash[first + 1]))
-            for k in range(1, min(longest, n)):
-                alive[n - k :] = False
-                alive[: n - k] &= leads[k - 1 : n - 1]
-                here = np.flatnonzero(alive)
-                key[here] = _pair(key[here], w.hash[here + k])
-                deep[here] += 1
-            key = np.where(deep == 0, w.salt[w.group], key)  # windows of nulls, of each group
-            at, many = _count(key)
-            columns = [w.salt[w.group[at]]]
-            for k in range(longest):
-                columns.append(np.where(deep[at] > k, w.hash[np.minimum(at + k, n - 1)], U(0)))
-            some = np.flatnonzero(np.cumsum(np.bincount(np.arange(n), minlength=n + 1) - np.bincount(np.arange(n) + deep, minlength=n + 1))[:n])  # in a window
-            seen.add(buf, w.start[some], w.end[some], w.hash[some])
-            langs.update(zip(w.salt.tolist(), w.names, strict=True))
-            yield key[at], columns, many
+            inside, leads = known(w.hash), np.zeros(len(w.hash), bool)
+            first = np.flatnonzero(w.joins & inside)
+            leads[first] = inside[first + 1] & known(_pair(w.hash[first], w.hash[first + 1]))
+            opens = inside.copy()
+            opens[1:] &= ~leads[:-1]
+            begin, end = np.flatnonzero(opens), np.flatnonzero(inside & ~leads) + 1
+            one, many = _count(w.hash[begin[end - begin == 1]])
+            one = begin[end - begin == 1][one]
+            begin, end = begin[end - begin > 1], end[end - begin > 1]
+            parts = -(-(end - begin) // PART)
+            at = ranges_of(np.zeros(len(parts), np.int64), parts) * PART + np.repeat(begin, parts)
+            left = np.repeat(end, parts) - at
+            other = np.bincount(w.group[~inside], minlength=len(w.names))
+            none = np.flatnonzero(other)
+            ones = np.ones(len(one) + len(none), np.int64)
+
+            first = np.concatenate([at, one, np.zeros(len(none), np.int64)])
+            size = np.concatenate([np.minimum(left, PART + longest - 1), ones[: len(one)], 0 * none])
+            group = np.concatenate([w.group[at], w.group[one], none])
+            word = ranges_of(first, size)
+            length = w.end[word] - w.start[word]
+            data, ends = FOLD[gather(buf, w.start[word], length)], np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            text = pa.Array.from_buffers(pa.string(), len(word), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), text)
+            starts = np.concatenate([np.minimum(left, PART), ones]).astype(np.int32)
+            n = np.concatenate([np.ones(len(at), np.int64), many, other[none]])
+            made = pa.RecordBatch.from_arrays([pa.array(w.names, pa.string()).take(pa.array(group)), lists, pa.array(starts), pa.array(n)], ["lang", "words", "starts", "n"])
+            for i in range(0, len(made), SENT):
+                yield made.slice(i, SENT)
+
+    return texts.mapInArrow(run, "lang string, words array<string>, starts int, n long")
 
-    def run(batches):
-        seen, langs = _Texts(), {}
-        for _, (lang, *words), n in _merged(parts(batches, seen, langs)):
-            yield pa.RecordBatch.from_arrays([pa.array([langs[x] for x in lang.tolist()], pa.string()), *map(seen.of, words), pa.array(n)], ["lang", *names, "n"])
 
-    return texts.mapInArrow(run, ", ".join(["lang string", *(f"{x} string" for x in names), "n long"]))
+def _windows(texts: DataFrame, longest: int, bitmap) -> DataFrame:
+    """(lang, w1 ... w<longest>, n): windows and how often they occur; one of nulls only for the words that are in no frequent pair."""
+    chains = _chains(texts, longest, bitmap)
+    at = chains.select("lang", "words", "n", F.explode(F.sequence(F.lit(0), F.col("starts") - 1)).alias("at"))
+    return at.select("lang", *[F.get("words", F.col("at") + k).alias(f"w{k + 1}") for k in range(longest)], "n")
 
 
 def _salted(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
