@@ -301,6 +301,112 @@ def pair_counts(points: DataFrame, by: list[str], radii: list[float], edge: str
     return out.groupBy(*by, "r").agg(F.sum("pairs").alias("pairs"))
 
 
+def farthest_square(radius: float) -> float:
+    """The largest number whose square root is at most radius."""
+    t = radius * radius
+    while np.sqrt(t) > radius:
+        t = np.nextafter(t, 0.0)
+    while np.sqrt(np.nextafter(t, np.inf)) <= radius:
+        t = np.nextafter(t, np.inf)
+    return float(t)
+
+
+def even_pairs(q: np.ndarray, qe: np.ndarray, p: np.ndarray, pe: np.ndarray, radii: list[float], density: float, chunk: int = 4096) -> list[int]:
+    """For each radius the ordered pairs of a point of q and one of p, in either order, within it whose first has an edge (qe, pe) of the radius
+    or more. Where q is p, of different points.
+
+    For points of about the given density everywhere. They lie in strips of y and there in narrow columns, so that running counts of the columns give
+    what is surely within and where what must be tested lies; a pair is met once for both orders.
+    """
+    if not len(q) or not len(p):
+        return [0] * len(radii)
+    same, slack, top = q is p, 1e-6, max(0.0, *radii)
+    height = max((2 / density) ** 0.5, top / 64)
+    width = height / 8
+    lo, hi = np.minimum(q.min(axis=0), p.min(axis=0)), np.maximum(q.max(axis=0), p.max(axis=0))
+    # room around, so that no strip or column asked for lies outside
+    above, beside = int(np.ceil(top / height)) + 1, int(np.ceil(top / width)) + 2
+    columns, strips = int((hi[0] - lo[0]) / width) + 2 * beside + 2, int((hi[1] - lo[1]) / height) + 2 * above + 2
+
+    def placed(v: np.ndarray, e: np.ndarray):
+        """x, y, edge, column (strips side by side) and share of the strip below, by column."""
+        row = (v[:, 1] - lo[1]) / height + above
+        strip = np.floor(row)
+        line = strip * columns + (v[:, 0] - lo[0]) / width + beside
+        order = np.argsort(line)
+        return v[order, 0], v[order, 1], e[order], line[order], (row - strip)[order]
+
+    x, y, e, line, _ = there = placed(p, pe)
+    start = np.r_[0, np.cumsum(np.bincount(line.astype(np.int64), minlength=columns * strips))]
+    qx, qy, qe, ql, share = there if same else placed(q, qe)
+    got = []
+    for r in radii:
+        if r < 0:
+            got.append(0)
+            continue
+        most, steps = farthest_square(r), int(np.ceil(r / height))
+        first, second = qe >= r, e >= r
+        plain, run, total = first.all() and second.all(), np.r_[0, np.cumsum(second)], 0
+        for at in range(0, len(qx), chunk):
+            part = slice(at, at + chunk)
+            for k in range(0 if same else -steps, steps + 1):
+                xs, ys, ls, f, w = qx[part], qy[part], ql[part], share[part], first[part]
+                # the least and largest difference in y of what lies k strips on, and half the chords at these
+                close = np.maximum((k - slack - f if k > 0 else f - slack - k - 1) * height, 0.0) if k else np.zeros(len(f))
+                far = ((k + 1 - f if k > 0 else f - k if k else np.maximum(f, 1 - f)) + slack) * height
+                if abs(k) >= steps - 1 and (close > r).any():
+                    some = close <= r
+                    xs, ys, ls, w, close, far = (v[some] for v in (xs, ys, ls, w, close, far))
+                outer = np.sqrt(r * r - close * close) / width + slack
+                inner = np.maximum(np.sqrt(np.maximum(r * r - far * far, 0.0)) / width - slack, 0.0)
+                ls = ls + k * columns
+                a, b = start[(ls - outer).astype(np.int64)], start[(ls - inner).astype(np.int64) + 1]
+                c, d = start[(ls + inner).astype(np.int64)], start[(ls + outer).astype(np.int64) + 1]
+                if same and not k:
+                    own = np.arange(at + 1, at + 1 + len(ls))
+                    a, b, c, d = (np.maximum(v, own) for v in (a, b, c, d))
+                c = np.maximum(b, c)
+                total += 2 * int((c - b).sum()) if plain else int(((c - b) * w).sum() + (run[c] - run[b]).sum())
+                n = np.r_[b - a, d - c]
+                j = np.repeat(np.r_[a, c] + n - np.cumsum(n), n)
+                j += np.arange(len(j))
+                dx, dy = x[j] - np.repeat(np.r_[xs, xs], n), y[j] - np.repeat(np.r_[ys, ys], n)
+                hit = dx * dx + dy * dy <= most
+                total += 2 * np.count_nonzero(hit) if plain else np.count_nonzero(hit & second[j]) + np.count_nonzero(hit & np.repeat(np.r_[w, w], n))
+        got.append(int(total))
+    return got
+
+
+def random_tile(seed: list[int], n: int, low: np.ndarray, high: np.ndarray, shape: tuple[int, int], at: tuple[int, int]) -> np.ndarray:
+    """The points in a tile (row, column) of an even random pattern of n points in a window. Any tile can be made by itself; numbers add up to n."""
+    (rows, cols), (row, col) = shape, at
+    if not (0 <= row < rows and 0 <= col < cols):
+        return np.zeros((0, 2))
+    dealt = lambda m, parts, *key: np.random.default_rng([*seed, *key]).multinomial(m, np.full(parts, 1 / parts))
+    held = dealt(dealt(n, rows, 0, 0)[row], cols, row + 1, 0)[col]
+    u = np.random.default_rng([*seed, row + 1, col + 1]).random((held, 2))
+    return low + (u + (col, row)) / (cols, rows) * (high - low)
+
+
+def random_pairs(seed: list[int], n: int, low: np.ndarray, high: np.ndarray, shape: tuple[int, int], at: tuple[int, int], radii: list[float]) -> tuple[list[int], list[int]]:
+    """(anchors, pairs) of a tile of a random pattern for each radius: points as far from the window's border, and ordered pairs within it of which the
+    first is an anchor. Pairs across a side belong to the tile on the left or below; a tile is at least as wide as the largest radius, or alone.
+    """
+    row, col = at
+    edge = lambda v: np.minimum(v - low, high - v).min(axis=1)
+    own = random_tile(seed, n, low, high, shape, at)
+    e, top = edge(own), max(radii)
+    density = n / np.prod(high - low)
+    size = (high - low) / shape[::-1]
+    corner = low + size * (col, row)
+    near = np.concatenate([random_tile(seed, n, low, high, shape, (row + i, col + j)) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    near = near[((near >= corner - top * 1.000001) & (near <= corner + size + top * 1.000001)).all(axis=1)]
+    # of the own points those near a side with such neighbours
+    side = (own > corner + size - top * 1.000001).any(axis=1)
+    within, across = even_pairs(own, e, own, e, radii, density), even_pairs(own[side], e[side], near, edge(near), radii, density)
+    return [int((e >= r).sum()) for r in radii], [a + b for a, b in zip(within, across, strict=True)]
+
+
 def distinct_rows(m: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The row of smallest code of each distinct row of m, and which of these each row equals."""
     order = np.lexsort((code, *m.T))
