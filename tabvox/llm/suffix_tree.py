@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabvox.llm.textbytes import Hasher, chunks, mix, plus, release, shared_dir, sums, table, words
+from tabvox.llm.textbytes import Hasher, chunks, mix, plus, release, shared_dir, sums, words
 
 END = np.uint64(0x1B873593CC9E2D51)  # stands for the end of a text
 STEP = np.uint64(0x9FB21C651E98DF25)
@@ -374,9 +374,9 @@ def answer(asked: pa.Table, round_: int, n: int, at_least: int) -> pa.Table:
 def stored(docs: DataFrame) -> DataFrame:
     """docs (key, text, learned) as blocks of about BLOCK_BYTES of text: distinct words, the most frequent first, and the tokens' places in them.
 
-    They are written in buckets, so that rounds read them without a shuffle.
+    They are written in buckets, and so are the answers to them, so that rounds read both without a shuffle.
     """
-    spark, key = docs.sparkSession, docs.schema["key"].dataType
+    key = docs.schema["key"].dataType
 
     def encode(batches):
         task, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -403,11 +403,15 @@ def stored(docs: DataFrame) -> DataFrame:
             yield block()
 
     binary = [T.StructField(c, T.BinaryType()) for c in ("learned", "sizes", "names", "tokens")]
-    made = docs.mapInArrow(encode, T.StructType([T.StructField("block", T.LongType()), T.StructField("key", T.ArrayType(key)), *binary]))
+    return in_buckets(docs.mapInArrow(encode, T.StructType([T.StructField("block", T.LongType()), T.StructField("key", T.ArrayType(key)), *binary])), f"tabvox_blocks_{uuid.uuid4().hex}")
+
+
+def in_buckets(made: DataFrame, name: str) -> DataFrame:
+    """The table of the name in the shared folder, in buckets of blocks, with the rows of made added."""
     release()
-    name = f"tabvox_blocks_{uuid.uuid4().hex}"
+    spark = made.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.repartition(buckets, "block").write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark).rstrip('/')}/tabvox/{name}").saveAsTable(name, format="parquet")
+    made.repartition(buckets, "block").write.mode("append").bucketBy(buckets, "block").option("path", f"{shared_dir(spark).rstrip('/')}/tabvox/{name}").saveAsTable(name, format="parquet")
     return spark.table(name)
 
 
@@ -422,13 +426,12 @@ def score(docs: DataFrame, learn: Column, text: str = "text", key: str = "doc_id
     blocks = stored(docs)
     ranges = max(1, -(-blocks.count() // BLOCKS_A_RANGE))
     rounds = depth + 2 if depth else 1
-    answers, n, v = None, 0, 0
+    name, answers, n, v = f"tabvox_answers_{uuid.uuid4().hex}", None, 0, 0
     for r in range(rounds):
-        answered = exchange(blocks.drop("key"), answers, r, depth, ranges, n, v, at_least)
+        every = in_buckets(exchange(blocks.drop("key"), answers, r, depth, ranges, n, v, at_least), name)
         if not r:
-            n, v = (x or 0 for x in answered.agg(F.sum("n"), F.sum("v")).first())
-        own = answered.select("round", "block", "range", "totals", "retained", "backs")
-        answers = answers.unionByName(own) if r else own
+            n, v = (x or 0 for x in every.agg(F.sum("n"), F.sum("v")).first())
+        answers = every.drop("n", "v")
 
     schema = plus(docs.select("key", "learned").schema, ("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))
     names = schema.names
@@ -459,4 +462,4 @@ def exchange(blocks: DataFrame, answers: DataFrame | None, r: int, depth: int, r
         return answer(group, r, n, at_least)
 
     asked = blocks.mapInArrow(first, ASKED) if answers is None else blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(asks, ASKED)
-    return table(asked.groupBy("range").applyInArrow(answering, ANSWERED), "counts")
+    return asked.groupBy("range").applyInArrow(answering, ANSWERED)
